@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -62,3 +64,23 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], same: Callable[[pa.Table],
         held = table.slice(cut)
     if held is not None and held.num_rows:
         yield held
+
+
+def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `most` bytes of column, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+        at = total = 0
+        for i, n in enumerate(sizes):
+            if total and total + n > most:
+                yield batch.slice(at, i - at)
+                at, total = i, 0
+            total += int(n) + 1
+        yield batch.slice(at)
+
+
+def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The store that holds uri and the path in it, from within a task."""
+    return pa.fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") else f"file://{uri}")

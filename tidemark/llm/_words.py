@@ -59,9 +59,9 @@ def _span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 class Words:
     """Words of a batch of texts: hash, first and last byte, and each text's slice."""
 
-    __slots__ = ("raw", "hashes", "starts", "ends", "first")
+    __slots__ = ("raw", "data", "hashes", "starts", "ends", "first")
 
-    def __init__(self, texts: list, lower: bool = False):
+    def __init__(self, texts: list, lower: bool = False, space: np.ndarray = _SPACE):
         parts = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.raw = b"\n".join(parts)
         data = np.frombuffer(self.raw, dtype=np.uint8)
@@ -69,9 +69,9 @@ class Words:
             data = _LOWER[data]
         inside = np.empty(len(data) + 2, dtype=bool)
         inside[0] = inside[-1] = False
-        np.logical_not(_SPACE[data], out=inside[1:-1])
+        np.logical_not(space[data], out=inside[1:-1])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        self.starts, self.ends = edges[0::2], edges[1::2]
+        self.data, self.starts, self.ends = data, edges[0::2], edges[1::2]
         self.hashes = _span_hash(data, self.starts, self.ends)
         bounds = np.zeros(len(parts) + 1, dtype=np.int64)
         np.cumsum([len(p) + 1 for p in parts], out=bounds[1:])
@@ -80,6 +80,17 @@ class Words:
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.first[i] : self.first[i + 1]]
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words, each followed by one space, and where each begins; one more place ends the last."""
+        lengths = self.ends - self.starts + 1
+        places = np.zeros(len(lengths) + 1, dtype=np.int64)
+        np.cumsum(lengths, out=places[1:])
+        padded = np.append(self.data, np.uint8(0x20))
+        source = np.repeat(self.starts - places[:-1], lengths) + np.arange(places[-1])
+        out = padded[source]
+        out[places[1:] - 1] = 0x20
+        return out.tobytes(), places
+
 
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:
     """Fingerprints of all runs of `width` consecutive hashes."""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import sorted_groups, written
+from ._shared import small, sorted_groups, written
 from ._words import Words, mix64, shingle_set
 from .components import components
 
@@ -74,7 +74,7 @@ def _describe(near: Near):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("idx", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, "text"):
             words = Words(batch.column(1).to_pylist(), lower=True)
             rows = []
             for i in range(batch.num_rows):
@@ -169,7 +169,7 @@ def _confirm(near: Near):
     """Pairs whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(small(batches, "text_u"), "text_v"):
             left, right = (Words(batch.column(c).to_pylist(), lower=True) for c in ("text_u", "text_v"))
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):
