@@ -1,7 +1,7 @@
 """Quality filter by a weak-label model and a hashed linear scorer.
 
 Overlapping heuristics vote good, bad or nothing on each text.  Expectation-maximisation over the counts
-of vote patterns of all documents, at most 3 to the number of heuristics, estimates how
+of vote patterns of all documents, at most 3 ** 9 of them, estimates how
 accurate each heuristic is without any label; a pattern's posterior is the weak label of its documents.  A
 logistic scorer on hashed word shapes and text figures is trained on posteriors of at most `sample`
 documents, chosen by the hash of their id and text, and scores every document.
@@ -35,7 +35,7 @@ _LETTER[128:] = True
 
 
 def figures(words: Words) -> np.ndarray:
-    """Of each text: words, and shares of words that have symbols, are bars, are in capitals, shout, are plain, end a sentence, repeat the word before."""
+    """Of each text: words, and shares of words that have symbols, are bars, are in capitals, shout, are plain, end a sentence, repeat the word before, are distinct."""
     data, n = words.data, len(words.first) - 1
     counts = np.diff(words.first)
     text = np.repeat(np.arange(n), counts)
@@ -51,9 +51,10 @@ def figures(words: Words) -> np.ndarray:
     plain = own(letters) >= size - np.isin(last, list(b".,;:!?"))
     some = np.maximum(counts, 1)
     capital = own(upper) > 1
+    distinct = np.array([len(np.unique(words.of(i))) for i in range(n)])
     again = np.zeros(len(size), dtype=bool)
     again[1:] = (words.hashes[1:] == words.hashes[:-1]) & (text[1:] == text[:-1])
-    return np.stack([counts, per(own(symbols) > 0) / some, per(bars) / some, per(capital) / some, per(bangs) / some, per(plain & ~bangs & (own(letters) > 0)) / some, per(np.isin(last, list(b".?!"))) / some, per(again) / some], axis=1)
+    return np.stack([counts, per(own(symbols) > 0) / some, per(bars) / some, per(capital) / some, per(bangs) / some, per(plain & ~bangs & (own(letters) > 0)) / some, per(np.isin(last, list(b".?!"))) / some, per(again) / some, distinct / some], axis=1)
 
 
 def repeated_lines(texts: list) -> np.ndarray:
@@ -70,16 +71,18 @@ def votes(f: np.ndarray, lines: np.ndarray) -> np.ndarray:
     def pick(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         return np.where(bad, 0, np.where(good, 1, 2))
 
-    n, symbols, bars, capitals, bangs, plain, ends, again = f.T
+    n, symbols, bars, capitals, bangs, plain, ends, again, distinct = f.T
+    never = np.zeros(len(n), dtype=bool)
     return np.stack([
-        pick(symbols > 0.25, symbols < 0.05),
-        pick(bars > 0.1, bars == 0),
-        pick(capitals > 0.3, capitals < 0.05),
-        pick(bangs > 0.1, bangs == 0),
+        pick(symbols > 0.25, never),
+        pick(bars > 0.1, never),
+        pick(capitals > 0.3, never),
+        pick(bangs > 0.1, never),
         pick(plain < 0.75, plain > 0.9),
         pick((ends > 0.6) & (n > 20), (ends > 0.02) & (ends < 0.4)),
-        pick(lines > 0.5, lines < 0.1),
-        pick(again > 0.2, again < 0.05),
+        pick(lines > 0.5, never),
+        pick(again > 0.2, never),
+        pick((distinct < 0.2) & (n >= 20) & (again > 0.05), distinct > 0.4),
     ], axis=1)
 
 
@@ -88,7 +91,7 @@ def _hashed(words: Words, f: np.ndarray, lines: np.ndarray) -> np.ndarray:
     n = len(words.first) - 1
     text = np.repeat(np.arange(n), np.diff(words.first))
     out = np.zeros((n, SIZE), dtype=np.float32)
-    room = SIZE - 16
+    room = SIZE - 20
     if len(words.starts):
         data = words.data
         last, first = data[words.ends - 1].astype(np.uint64), data[words.starts].astype(np.uint64)
@@ -99,28 +102,33 @@ def _hashed(words: Words, f: np.ndarray, lines: np.ndarray) -> np.ndarray:
     some = np.maximum(f[:, :1], 1)
     out /= some
     out[:, room : room + f.shape[1] - 1] = f[:, 1:]
-    out[:, room + 8] = lines
-    out[:, room + 9] = np.log1p(f[:, 0]) / 10
+    out[:, room + 10] = lines
+    out[:, room + 11] = np.log1p(f[:, 0]) / 10
     out[:, SIZE - 1] = 1
     return out
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[tuple[int, ...], float]:
-    """Posterior of good for each pattern of votes, given how many documents have it."""
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, least: float = 5.0) -> dict[tuple[int, ...], float]:
+    """Posterior of good for each pattern of votes, given how many documents have it.
+
+    A heuristic is taken to be better than chance: its vote against a text is at least `least` times as
+    likely on a bad one as on a good one, and its vote for a text is no less likely on a good one.
+    """
     if not patterns:
         return {}
     v = np.array([p for p, _ in patterns])
     weight = np.array([n for _, n in patterns], dtype=np.float64)
-    bad, good = (v == 0).sum(1), (v == 1).sum(1)
-    post = np.where(bad > 0, 0.1 / np.maximum(bad, 1), 0.9 + 0.09 * (good > 0))
+    post = np.where((v == 0).any(1), 0.1, 0.95)
     for _ in range(rounds):
-        prior = (post * weight).sum() / weight.sum()
-        say = {1: np.log(max(prior, 1e-9)) * np.ones(len(v)), 0: np.log(max(1 - prior, 1e-9)) * np.ones(len(v))}
+        prior = np.clip((post * weight).sum() / weight.sum(), 0.01, 0.99)
+        odds = np.full(len(v), np.log(prior / (1 - prior)))
         for j in range(v.shape[1]):
-            for y, p in ((1, post), (0, 1 - post)):
-                share = np.array([(p * weight)[v[:, j] == x].sum() for x in range(3)]) + 1.0
-                say[y] += np.log(share / share.sum())[v[:, j]]
-        new = 1 / (1 + np.exp(np.clip(say[0] - say[1], -500, 500)))
+            good, bad = (np.array([(p * weight)[v[:, j] == x].sum() for x in range(3)]) + 0.1 for p in (post, 1 - post))
+            ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
+            ratio[0] = min(ratio[0], -np.log(least))
+            ratio[1] = max(ratio[1], 0.0)
+            odds += ratio[v[:, j]]
+        new = sigmoid(odds)
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
@@ -172,7 +180,7 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """EM over the vote patterns of all docs; the scorer is fit on at most `sample` of them."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    seen = texts.select("text").mapInArrow(_voted, "votes string").where("votes is not null").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3**8 at most
+    seen = texts.select("text").mapInArrow(_voted, "votes string").where("votes is not null").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3**9 at most
     posterior = estimate(sorted((tuple(map(int, r.votes)), r.n) for r in seen))
     mark = F.xxhash64("doc_id", "text")
     cut = texts.select(mark.alias("mark")).distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]

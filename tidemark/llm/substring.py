@@ -15,7 +15,7 @@ and text count as one document and get the same result.  Extra columns are ignor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +191,7 @@ def _kept(window: int):
                     continue
                 edge = np.flatnonzero(np.diff(np.concatenate([[True], out, [True]]).astype(np.int8)))
                 kept.append(b"".join(joined[places[a + s] : places[a + e]] for s, e in zip(edge[0::2].tolist(), edge[1::2].tolist()))[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(words.first)), pa.array(removed, pa.int64())], names=["doc_id", "text", "kept", "n_words", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "text", "rest")), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(words.first)), pa.array(removed, pa.int64())], names=["doc_id", "text", "rest", "kept", "n_words", "n_removed"])
 
     return run
 
@@ -202,9 +202,10 @@ def _with(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), how).drop("_doc", "_digest")
 
 
-def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 20000) -> DataFrame:
-    """(doc_id, text, kept, n_words, n_removed) for every row of docs (doc_id, text, ...)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"))
+def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 20000, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, kept, n_words, n_removed and the columns in carry) for every row of docs (doc_id, text, ...)."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    texts = whole.drop("rest")
     occ = written(texts.mapInArrow(_occurrences(window), "doc long, digest long, start int, n int, key long, hits long"), "kmers")
     again = written(occ.groupBy("key").agg(F.sum("hits").alias("hits")).where("hits > 1").select("key"), "kmers-again")
     flags = written(occ.join(again, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "n", "key")).alias("flags")), "kmers-flags")
@@ -219,5 +220,7 @@ def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 20000) -> D
     firsts = calm.unionByName(single).groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
     none = F.array().cast("array<struct<start:int,n:int>>")
     marks = _with(flags, firsts, "left").select("doc", "digest", F.expr("transform(flags, x -> struct(x.start AS start, x.n AS n))").alias("flags"), F.coalesce("firsts", none).alias("firsts"))
-    marked = _with(texts, written(marks, "kmers-marks"), "left").select("doc", "text", F.coalesce("flags", none).alias("flags"), F.coalesce("firsts", none).alias("firsts"))
-    return marked.mapInArrow(_kept(window), "doc_id long, text string, kept string, n_words long, n_removed long")
+    marked = _with(whole, written(marks, "kmers-marks"), "left").select("doc", "text", "rest", F.coalesce("flags", none).alias("flags"), F.coalesce("firsts", none).alias("firsts"))
+    rest = whole.schema["rest"].dataType.simpleString()
+    out = marked.mapInArrow(_kept(window), f"doc_id long, text string, rest {rest}, kept string, n_words long, n_removed long")
+    return out.select("doc_id", "text", *(F.col("rest")[c].alias(c) for c in carry), "kept", "n_words", "n_removed")
