@@ -41,6 +41,13 @@ def drop(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing reads any more."""
+    for table in tables:
+        if path := source_of(table):
+            drop(table.sparkSession, path)
+
+
 def source_of(df: DataFrame) -> str:
     """Folder of a table that written() returned."""
     return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""

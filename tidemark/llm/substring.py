@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import small, sorted_groups, written
+from ._shared import forget, small, sorted_groups, written
 from ._words import Words, chain
 
 GRAM = 3
@@ -202,13 +202,14 @@ def _with(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(right, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest")), how).drop("_doc", "_digest")
 
 
-def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 20000, carry: Sequence[str] = ()) -> DataFrame:
+def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 1000, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, text, kept, n_words, n_removed and the columns in carry) for every row of docs (doc_id, text, ...)."""
     whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
     texts = whole.drop("rest")
     occ = written(texts.mapInArrow(_occurrences(window), "doc long, digest long, start int, n int, key long, hits long"), "kmers")
     again = written(occ.groupBy("key").agg(F.sum("hits").alias("hits")).where("hits > 1").select("key"), "kmers-again")
     flags = written(occ.join(again, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "n", "key")).alias("flags")), "kmers-flags")
+    forget(occ, again)
     strings = _with(texts, flags, "inner").mapInArrow(_packed(window), "key long, packed binary, doc long, digest long, start int")
     strings = strings.groupBy("key", "packed").agg(F.min(F.struct("doc", "digest", "start")).alias("at")).select("key", "packed", "at.*")
     strings = written(strings, "kmers-packed")
@@ -220,7 +221,9 @@ def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 20000, carr
     firsts = calm.unionByName(single).groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
     none = F.array().cast("array<struct<start:int,n:int>>")
     marks = _with(flags, firsts, "left").select("doc", "digest", F.expr("transform(flags, x -> struct(x.start AS start, x.n AS n))").alias("flags"), F.coalesce("firsts", none).alias("firsts"))
-    marked = _with(whole, written(marks, "kmers-marks"), "left").select("doc", "text", "rest", F.coalesce("flags", none).alias("flags"), F.coalesce("firsts", none).alias("firsts"))
+    marks = written(marks, "kmers-marks")
+    forget(strings, hot, flags)
+    marked = _with(whole, marks, "left").select("doc", "text", "rest", F.coalesce("flags", none).alias("flags"), F.coalesce("firsts", none).alias("firsts"))
     rest = whole.schema["rest"].dataType.simpleString()
     out = marked.mapInArrow(_kept(window), f"doc_id long, text string, rest {rest}, kept string, n_words long, n_removed long")
     return out.select("doc_id", "text", *(F.col("rest")[c].alias(c) for c in carry), "kept", "n_words", "n_removed")
