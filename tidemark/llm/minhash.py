@@ -10,8 +10,8 @@ after its full shingle sets are compared.
 At Jaccard 0.8 a place differs with probability 0.2: more than 32 of 64 has probability
 below 1e-8, and the distance limit lies four and a half deviations beyond the mean.
 
-Pairs already joined through others are not compared again: each text is
-first compared with its nearest earlier neighbour, and then only pairs across the classes found
+Pairs already joined through others are not compared again: each text is first compared with its nearest
+neighbour, then with the nearest in another class, and at last all pairs across the classes found
 so far are. Buckets above `block` rows are split into block pairs, so no group is collected whole.
 
 Null and empty texts have an empty set, n_shingles 0, and are their own class. Repeated
@@ -140,6 +140,7 @@ def _pairs_in(near: Near, nearest: bool):
             ids, n, side, group = (table.column(c).to_numpy() for c in ("id", "n", "side", "component"))
             sig = _unpacked(table.column("sig"))
             out: list[tuple] = []
+            best, other = np.full(len(ids), far + 1), np.zeros(len(ids), dtype=np.int64)
             for lo, hi in zip(first[:-1], first[1:]):
                 split = table.column("bi")[int(lo)].as_py() != table.column("bj")[int(lo)].as_py()
                 for v in range(lo + 1, hi):
@@ -151,16 +152,21 @@ def _pairs_in(near: Near, nearest: bool):
                     if not len(u):
                         continue
                     d = (sig[u] != sig[v]).sum(axis=1)
-                    if nearest:
-                        best = int(d.argmin())
-                        if d[best] <= far:
-                            out.append((ids[u[best]], ids[v], d[best]))
-                    else:
+                    if not nearest:
                         out += [(ids[a], ids[v], x) for a, x in zip(u[d <= far], d[d <= far])]
-            if out:
+                        continue
+                    if d.min() < best[v]:
+                        best[v], other[v] = d.min(), u[d.argmin()]
+                    closer = u[d < best[u]]
+                    other[closer] = v
+                    best[u] = np.minimum(best[u], d)
+            if nearest:
+                v = np.flatnonzero(best <= far)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[other[v]]), pa.array(ids[v]), pa.array(best[v].astype(np.int64))], names=["u", "v", "d"])
+            elif out:
                 a, b, d = (np.array(x, dtype=np.int64) for x in zip(*out))
                 got = pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b), "d": d})
-                yield from (got if nearest else got.group_by(["u", "v"]).aggregate([("d", "min")]).rename_columns(["u", "v", "d"])).to_batches()
+                yield from got.group_by(["u", "v"]).aggregate([("d", "min")]).rename_columns(["u", "v", "d"]).to_batches()
 
     return run
 
@@ -187,19 +193,19 @@ def _links(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(near), "a long, b long")
 
 
-def _candidates(shared: DataFrame, reps: DataFrame, near: Near, classes: DataFrame | None) -> DataFrame:
-    """Pairs of one round: nearest earlier neighbours at first, all pairs across classes afterwards."""
+def _candidates(shared: DataFrame, reps: DataFrame, near: Near, classes: DataFrame | None, nearest: bool) -> DataFrame:
+    """Pairs of one round: of each text the nearest in another class, or all pairs across classes."""
     rows = shared.withColumn("component", F.col("id")) if classes is None else shared.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
     rows = rows.join(sizes.where("low < high").select("key", F.ceil(F.col("rows") / near.block).cast("int").alias("blocks")), "key")
     rows = rows.withColumn("side", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    if classes is None:
+    if nearest:
         rows = rows.withColumns({"bi": F.col("side"), "bj": F.col("side")})
     else:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
     rows = rows.join(reps.select("id", "n", "sig"), "id").select("key", "bi", "bj", "id", "n", "side", "component", "sig")
-    found = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(_pairs_in(near, classes is None), "u long, v long, d long")
-    if classes is None:  # of each text's offers, the nearest
+    found = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(_pairs_in(near, nearest), "u long, v long, d long")
+    if nearest:  # of each text's offers, the nearest
         return found.groupBy("v").agg(F.min_by("u", F.struct("d", "u")).alias("u")).select("u", "v")
     return found.select("u", "v").distinct()
 
@@ -213,10 +219,12 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     keys = reps.select("id", "idx").mapInArrow(_keys, "key long, id long")
     shared = written(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_only, "key long, id long"), "minhash-keys")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "minhash-texts")
-    first = written(_links(_candidates(shared, reps, near, None), texts, near), "minhash-links")
-    classes = components(first)
-    second = _links(_candidates(shared, reps, near, classes), texts, near)
-    final = components(first.unionByName(second))
+    links, classes = None, None
+    for nearest in (True, True, False):
+        found = _links(_candidates(shared, reps, near, classes, nearest), texts, near)
+        links = written(found if links is None else links.unionByName(found), "minhash-links")
+        classes = components(links)
+    final = classes
     heads = reps.select("set_id", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = described.select("doc_id", "n_shingles", "set_id").join(heads, "set_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
