@@ -101,7 +101,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if p != left_out:
                         key = mix64(key * np.uint64(0x10001) + sig[:, p])
                 out.append(key)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids, len(out)))], names=["key", "id"])
+        slots = np.repeat(np.arange(len(out), dtype=np.int32), len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(ids, len(out))), pa.array(slots)], names=["key", "id", "slot"])
 
 
 def _starts(*names: str):
@@ -124,6 +125,13 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.filter(pa.array(many)).to_batches()
 
 
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first key that each pair of indexed values shares: the place left out."""
+    unlike = (a != b).astype(np.int8)
+    per_chunk = np.add.reduceat(unlike, _EDGES[:-1], axis=1)
+    return (np.repeat(per_chunk, np.diff(_EDGES), axis=1) == unlike).argmax(axis=1)
+
+
 def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES // 2)
     return np.concatenate([raw >> 4, raw & 15], axis=1)
@@ -139,6 +147,9 @@ def _pairs_in(near: Near, nearest: bool):
             first = np.append(starts(table), table.num_rows)
             ids, n, side, group = (table.column(c).to_numpy() for c in ("id", "n", "side", "component"))
             sig = _unpacked(table.column("sig"))
+            slot = table.column("slot").to_numpy()
+            if not nearest:
+                idx = np.frombuffer(b"".join(table.column("idx").to_pylist()), np.uint16).reshape(-1, INDEXED)
             out: list[tuple] = []
             best, other = np.full(len(ids), far + 1), np.zeros(len(ids), dtype=np.int64)
             for lo, hi in zip(first[:-1], first[1:]):
@@ -152,8 +163,10 @@ def _pairs_in(near: Near, nearest: bool):
                     if not len(u):
                         continue
                     d = (sig[u] != sig[v]).sum(axis=1)
-                    if not nearest:
-                        out += [(ids[a], ids[v], x) for a, x in zip(u[d <= far], d[d <= far])]
+                    if not nearest:  # a pair is told by the first of the buckets that it shares
+                        u, d = u[d <= far], d[d <= far]
+                        told = _first_shared(idx[u], idx[v]) == slot[v]
+                        out += [(ids[a], ids[v], x) for a, x in zip(u[told], d[told])]
                         continue
                     if d.min() < best[v]:
                         best[v], other[v] = d.min(), u[d.argmin()]
@@ -203,7 +216,8 @@ def _candidates(shared: DataFrame, reps: DataFrame, near: Near, classes: DataFra
         rows = rows.withColumns({"bi": F.col("side"), "bj": F.col("side")})
     else:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
-    rows = rows.join(reps.select("id", "n", "sig"), "id").select("key", "bi", "bj", "id", "n", "side", "component", "sig")
+    about = ["n", "sig"] if nearest else ["n", "sig", "idx"]
+    rows = rows.join(reps.select("id", *about), "id").select("key", "bi", "bj", "id", "slot", "side", "component", *about)
     found = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(_pairs_in(near, nearest), "u long, v long, d long")
     if nearest:  # of each text's offers, the nearest
         return found.groupBy("v").agg(F.min_by("u", F.struct("d", "u")).alias("u")).select("u", "v")
@@ -216,8 +230,8 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     described = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "minhash")
     reps = described.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("idx").alias("idx"))
     reps = written(reps, "minhash-reps")
-    keys = reps.select("id", "idx").mapInArrow(_keys, "key long, id long")
-    shared = written(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_only, "key long, id long"), "minhash-keys")
+    keys = reps.select("id", "idx").mapInArrow(_keys, "key long, id long, slot int")
+    shared = written(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_only, "key long, id long, slot int"), "minhash-keys")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "minhash-texts")
     links, classes = None, None
     for nearest in (True, True, False):
