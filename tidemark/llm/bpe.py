@@ -18,6 +18,7 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def _distinct(parts: list) -> np.ndarray:
+    x = np.sort(np.concatenate(parts))
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 class Merges:
     """The vocabulary as pairs of ids."""
 
@@ -51,10 +57,6 @@ class Merges:
         self.pairs = pairs
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        size = max(self.bytes_of) + 1
-        self.lengths = np.array([len(self.bytes_of.get(i, b"")) for i in range(size)], dtype=np.int64)
-        self.flat = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(size)), dtype=np.uint8)
-        self.begins = np.cumsum(self.lengths) - self.lengths
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, or _NONE."""
@@ -102,7 +104,7 @@ class Merges:
             if sum(map(len, places)) <= _FEW:
                 self._few(rank, sorted({int(i) for p in places for i in p}), token, after, before, current, index, heap, word, odd)
                 continue
-            at = np.unique(np.concatenate(places))
+            at = _distinct(places)
             at = at[current[at] == rank]
             nxt = after[at]
             if len(at) > 1:  # of places that overlap, every second one from the left
@@ -122,7 +124,7 @@ class Merges:
             current[at] = _NONE
             left = before[at]
             left = left[left < n]
-            fresh = np.unique(np.concatenate([left, at[some]]))
+            fresh = _distinct([left, at[some]])
             value = self.rank(token[fresh], token[after[fresh]])
             current[fresh] = value
             odd.update(word[fresh[value < rank]].tolist())
@@ -173,54 +175,50 @@ class Merges:
                             heappush(heap, value)
                         index[value].append((a,))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        sizes = self.lengths[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.begins[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _encoded(ranks_path: str, pattern: str, keep: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        merges, split = Merges(read_ranks(ranks_path)), regex.compile(pattern).findall
-        known: dict[str, np.ndarray] = {}
-        for batch in small(batches, "text", 8 << 20):
-            found = [split(t) if t else [] for t in batch.column("text").to_pylist()]
-            new = list(set().union(*found).difference(known))
-            if len(known) + len(new) > keep:
-                known.clear()
-                new = list(set().union(*found))
-            if new:
-                known.update(zip(new, merges.replay([w.encode("utf-8", "surrogatepass") for w in new])))
-            ids, texts = [], []
-            for words in found:
-                flat = [i for w in words for i in known[w]]
-                ids.append(flat)
-                texts.append(merges.decode(np.array(flat, dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
-
-    return run
+def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, keep: int) -> Iterator[tuple[pa.Array, list[list[int]], list[str], list[bytes]]]:
+    """For each small batch: doc_id, ids, the ids as text, and the decoded bytes."""
+    import regex
+
+    merges, split = Merges(read_ranks(ranks_path)), regex.compile(pattern).findall
+    known: dict[str, list[int]] = {}
+    named: dict[str, str] = {}
+    for batch in small(batches, "text", 8 << 20):
+        found = [split(t) if t else [] for t in batch.column("text").to_pylist()]
+        new = list(set().union(*found).difference(known))
+        if len(known) + len(new) > keep:
+            known.clear()
+            named.clear()
+            new = list(set().union(*found))
+        if new:
+            got = merges.replay([w.encode("utf-8", "surrogatepass") for w in new])
+            known.update(zip(new, got))
+            named.update(zip(new, [" ".join(map(str, x)) for x in got]))
+        ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in found]
+        yield batch.column("doc_id"), ids, [" ".join(map(named.__getitem__, words)) for words in found], [merges.decode(x) for x in ids]
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: int = 1_000_000) -> DataFrame:
     """(doc_id, ids, decoded) for every row of docs (doc_id, text, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, ids, _, decoded in _encoded(batches, ranks_path, pattern, keep):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_encoded(ranks_path, pattern, keep), "doc_id long, ids array<int>, decoded binary")
+    return texts.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode_decode returns, in short."""
-    inner = _encoded(ranks_path, pattern, 1_000_000)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in inner(batches):
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()])],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        for doc_id, ids, text, decoded in _encoded(batches, ranks_path, pattern, keep):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.encode()) for x in text]), pa.array([sha(x) for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -198,6 +198,6 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: int = 0) -
     parts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pieces-counts")
     counts = {r.length: r.n for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = pieces.join(written(parts.withColumn("before", before).select("part", "length", "before"), "pieces-ranks"), ["part", "length"])
+    ranked = pieces.join(written(parts.withColumn("before", before).select("part", "length", "before"), "pieces-ranks").hint("merge"), ["part", "length"])
     run, schema = _seated(Plan(counts, capacity).runs, capacity)
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank")).mapInArrow(run, schema)

@@ -89,4 +89,4 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, end: int = END,
     folder = new_path(docs.sparkSession, "flat")
     order = write_flat(docs, folder, ranks_path, pattern, end)
     files = order.groupBy("file").agg(F.max("size").alias("size"))
-    return order.select("doc_id", "file", "nth").join(separator_counts(files, folder, end, block), ["file", "nth"]).select("doc_id", "file", "nth", "start", "n_tokens")
+    return order.select("doc_id", "file", "nth").join(separator_counts(files, folder, end, block).hint("merge"), ["file", "nth"]).select("doc_id", "file", "nth", "start", "n_tokens")
