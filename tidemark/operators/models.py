@@ -70,7 +70,7 @@ def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    marks = folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date").persist()
+    marks = folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date")
     out = None
     for fold in range(splits):  # a handful of distributed fits
         train, test = (data.join(F.broadcast(marks.where((F.col("fold") == fold) & (F.col("role") == r)).select("trade_date")), "trade_date") for r in ("train", "test"))

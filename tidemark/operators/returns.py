@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.stats import t_stat
 
-BY_TICKER = W.partitionBy("ticker").orderBy("date")
+
+def by_ticker():
+    return W.partitionBy("ticker").orderBy("date")
 
 
 def with_returns(prices: DataFrame) -> DataFrame:
     """prices with ret, close over the ticker's last close; rows without close are dropped before."""
-    return prices.where("close is not null").withColumn("ret", F.try_divide("close", F.lag("close").over(BY_TICKER)) - 1)
+    return prices.where("close is not null").withColumn("ret", F.try_divide("close", F.lag("close").over(by_ticker())) - 1)
 
 
 def daily_returns(prices: DataFrame) -> DataFrame:
@@ -22,19 +24,19 @@ def daily_returns(prices: DataFrame) -> DataFrame:
 
 def trade_returns(prices: DataFrame, delay: int, horizon: int) -> DataFrame:
     """Return of entering `delay` rows after a row and holding for `horizon` rows of the ticker."""
-    return prices.withColumn("trade_ret", F.try_divide(F.lead("close", delay + horizon).over(BY_TICKER), F.lead("close", delay).over(BY_TICKER)) - 1)
+    return prices.withColumn("trade_ret", F.try_divide(F.lead("close", delay + horizon).over(by_ticker()), F.lead("close", delay).over(by_ticker())) - 1)
 
 
 def rolling_features(prices: DataFrame) -> DataFrame:
     """Momentum, volatility and dollar volume from rows before the current one; null until a frame is full."""
 
     def full(value, what: str, k: int):
-        frame = BY_TICKER.rowsBetween(-k, -1)
+        frame = by_ticker().rowsBetween(-k, -1)
         return F.when(F.count(what).over(frame) == k, value.over(frame))
 
     rows = with_returns(prices).withColumns({"gross": 1 + F.col("ret"), "dollars": F.col("close") * F.col("volume")})
     return rows.withColumns({
-        "mom_1d": F.lag("ret").over(BY_TICKER),
+        "mom_1d": F.lag("ret").over(by_ticker()),
         "mom_5d": full(F.product("gross"), "ret", 5) - 1,
         "mom_20d": full(F.product("gross"), "ret", 20) - 1,
         "vol_20d": full(F.stddev_samp("ret"), "ret", 20),
@@ -52,9 +54,9 @@ def market_model(returns: DataFrame, market: str, first: int = -120, last: int =
     """(ticker, date, pos, n, ret, mkt, alpha, beta, n_est) once for each ticker and date, over the rows first..last before it."""
     mkt = returns.where(F.col("ticker") == market).select("date", F.col("ret").alias("mkt"))
     joint = returns.where(F.col("ticker") != market).select("ticker", "date", "ret").join(mkt, "date")
-    frame = BY_TICKER.rowsBetween(first, last)
+    frame = by_ticker().rowsBetween(first, last)
     return joint.withColumns({
-        "pos": F.row_number().over(BY_TICKER) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("ticker")),
+        "pos": F.row_number().over(by_ticker()) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("ticker")),
         "alpha": F.regr_intercept("ret", "mkt").over(frame), "beta": F.regr_slope("ret", "mkt").over(frame), "n_est": F.count("ret").over(frame),
     })
 

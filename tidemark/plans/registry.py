@@ -290,7 +290,7 @@ def cv_summary(spark, d):
 
 
 def _walk(spark, d, model):
-    out = models.walk_forward(_dataset(spark, d).persist(), model)
+    out = S.written(models.walk_forward(S.written(_dataset(spark, d), "dataset"), model), "out-of-sample")
     if model == "logit":
         return near(models.class_metrics(out.withColumnRenamed("pred", "prob"), ["fold"]), "accuracy, pos_rate_pred, pos_rate_true", 6)
     return near(models.regression_metrics(out, ["fold"]), "mse, r2, pearson, spearman, hit_rate", 6)
@@ -387,7 +387,7 @@ _GRID = [
 
 def _grid(spark, d):
     study = returns.study_events(S.filings(spark, d), _model(spark, d)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred")
-    px, by = S.prices(spark, d), returns.BY_TICKER
+    px, by = S.prices(spark, d), returns.by_ticker()
     cells = [F.struct(F.lit(a).alias("delay_days"), F.lit(h).alias("horizon_days"), (F.try_divide(F.lead("close", a + h).over(by), F.lead("close", a).over(by)) - 1).alias("trade_ret")) for a, h in _CELLS]
     trade = px.select("ticker", "date", F.array(*cells).alias("c")).select("ticker", "date", F.explode("c").alias("c")).select("ticker", "date", "c.*")
     grid = spark.createDataFrame([(a, h, q, c) for a, h in _CELLS for q in (0.1, 0.2, 0.3) for c in (0.0, 2.0, 5.0, 10.0)], "delay_days int, horizon_days int, q double, cost_bps double")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,18 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, for what several jobs read."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_report_csv(df: DataFrame, path: str) -> None:
     """Small result tables as one CSV file with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
