@@ -1,14 +1,15 @@
 """Near-duplicate classes by a multi-index Hamming join of b-bit minwise signatures.
 
-Every text's set of word shingles gets HASHES minwise values.  The first INDEXED values,
-sixteen bits each, are split into CHUNKS runs; two signatures that differ in at most
-INDEXED // 2 places agree in some chunk up to one error, so each chunk is entered once for
-every place left out (the enumerated error) and all such pairs meet in a bucket.  A
-pair goes on if its four-bit signatures differ in at most `far` places, and is linked only
-after its full shingle sets are compared.
+Every text's set of word shingles gets INDEXED minwise values of sixteen bits, split into
+CHUNKS runs; two signatures that differ in at most INDEXED // 2 places agree in some chunk
+up to one error, so each chunk is entered once for every place left out (the enumerated
+error) and all such pairs meet in a bucket.  Texts that meet another get one bit of each of
+HASHES minwise values.  A pair goes on if these bits differ in at most `far` places, and is
+linked only after its full shingle sets are compared.
 
 At Jaccard 0.8 a place differs with probability 0.2: more than 32 of 64 has probability
-below 1e-8, and the distance limit lies four and a half deviations beyond the mean.
+below 1e-8. A bit differs with probability 0.1, and the distance limit lies four and a half
+deviations beyond the mean, which rules out most pairs below 0.74.
 
 Pairs already joined through others are not compared again: each text is first compared with its nearest
 neighbour, then with the nearest in another class, and at last all pairs across the classes found
@@ -33,12 +34,12 @@ from ._shared import small, sorted_groups, written
 from ._words import Words, mix64, shingle_set
 from .components import components
 
-HASHES = 256
+HASHES = 2048
 INDEXED = 64
 CHUNKS = 17
 _EDGES = np.linspace(0, INDEXED, CHUNKS + 1).astype(int)
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_STEP = 256
+_STEP, _ROWS = 1024, 64
 
 
 @dataclass(frozen=True)
@@ -51,27 +52,24 @@ class Near:
 
     @property
     def far(self) -> int:
-        """Most places in which linked signatures may differ, four-bit matches by chance counted."""
-        differ = (1 - self.percent / 100) * 15 / 16
+        """Most bits in which linked signatures may differ, matches by chance counted."""
+        differ = (1 - self.percent / 100) / 2
         return int(HASHES * differ + 4.5 * (HASHES * differ * (1 - differ)) ** 0.5) + 1
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The minwise values of a non-empty set."""
+def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
+    """The first `hashes` minwise values of a non-empty set."""
     short = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(short), _STEP):
-        np.minimum(low, (_MULTIPLIERS[:, None] * short[None, at : at + _STEP]).min(axis=1), out=low)
+    low = np.full(hashes, 0xFFFFFFFF, dtype=np.uint32)
+    for row in range(0, hashes, _ROWS):
+        part, by = low[row : row + _ROWS], _MULTIPLIERS[row : min(row + _ROWS, hashes), None]
+        for at in range(0, len(short), _STEP):
+            np.minimum(part, (by * short[None, at : at + _STEP]).min(axis=1), out=part)
     return mix64(low.astype(np.uint64) + np.uint64(1))
 
 
-def _packed(low: np.ndarray) -> tuple[bytes, bytes]:
-    nibbles = (low >> np.uint64(60)).astype(np.uint8)
-    return (nibbles[0::2] << 4 | nibbles[1::2]).tobytes(), (low[:INDEXED] >> np.uint64(40)).astype(np.uint16).tobytes()
-
-
 def _describe(near: Near):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("sig", pa.binary()), ("idx", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("idx", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
@@ -79,11 +77,23 @@ def _describe(near: Near):
             rows = []
             for i in range(batch.num_rows):
                 s = shingle_set(words.of(i), near.words)
-                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *_packed(signature(s))) if len(s) else (0, None, None, None))
-            n, ids, sig, idx = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sig, pa.binary()), pa.array(idx, pa.binary())], schema=schema)
+                rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (signature(s, INDEXED) >> np.uint64(40)).astype(np.uint16).tobytes()) if len(s) else (0, None, None))
+            n, ids, idx = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(idx, pa.binary())], schema=schema)
+
+    return run, "doc_id long, n_shingles long, set_id binary, idx binary"
+
+
+def _bits(near: Near):
+    """Adds one bit of each minwise value to rows (id, n, idx, text)."""
 
-    return run, "doc_id long, n_shingles long, set_id binary, sig binary, idx binary"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "text"):
+            words = Words(batch.column("text").to_pylist(), lower=True)
+            sig = [np.packbits((signature(shingle_set(words.of(i), near.words), HASHES) >> np.uint64(63)).astype(np.uint8)).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.binary())], names=[*batch.schema.names, "sig"])
+
+    return run, "id long, n long, idx binary, text string, sig binary"
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,11 +142,6 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.repeat(per_chunk, np.diff(_EDGES), axis=1) == unlike).argmax(axis=1)
 
 
-def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES // 2)
-    return np.concatenate([raw >> 4, raw & 15], axis=1)
-
-
 def _pairs_in(near: Near, nearest: bool):
     """Pairs (u, v, distance) of a bucket's block pair that may be linked and aren't in one class yet."""
     far = near.far
@@ -146,7 +151,7 @@ def _pairs_in(near: Near, nearest: bool):
         for table in sorted_groups(batches, starts):
             first = np.append(starts(table), table.num_rows)
             ids, n, side, group = (table.column(c).to_numpy() for c in ("id", "n", "side", "component"))
-            sig = _unpacked(table.column("sig"))
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(-1, HASHES // 64)
             slot = table.column("slot").to_numpy()
             if not nearest:
                 idx = np.frombuffer(b"".join(table.column("idx").to_pylist()), np.uint16).reshape(-1, INDEXED)
@@ -162,7 +167,7 @@ def _pairs_in(near: Near, nearest: bool):
                     u = np.flatnonzero(keep) + lo
                     if not len(u):
                         continue
-                    d = (sig[u] != sig[v]).sum(axis=1)
+                    d = np.bitwise_count(sig[u] ^ sig[v]).sum(axis=1, dtype=np.int64)
                     if not nearest:  # a pair is told by the first of the buckets that it shares
                         u, d = u[d <= far], d[d <= far]
                         told = _first_shared(idx[u], idx[v]) == slot[v]
@@ -206,7 +211,7 @@ def _links(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(near), "a long, b long")
 
 
-def _candidates(shared: DataFrame, reps: DataFrame, near: Near, classes: DataFrame | None, nearest: bool) -> DataFrame:
+def _candidates(shared: DataFrame, texts: DataFrame, near: Near, classes: DataFrame | None, nearest: bool) -> DataFrame:
     """Pairs of one round: of each text the nearest in another class, or all pairs across classes."""
     rows = shared.withColumn("component", F.col("id")) if classes is None else shared.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -217,7 +222,7 @@ def _candidates(shared: DataFrame, reps: DataFrame, near: Near, classes: DataFra
     else:
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
     about = ["n", "sig"] if nearest else ["n", "sig", "idx"]
-    rows = rows.join(reps.select("id", *about), "id").select("key", "bi", "bj", "id", "slot", "side", "component", *about)
+    rows = rows.join(texts.select("id", *about), "id").select("key", "bi", "bj", "id", "slot", "side", "component", *about)
     found = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(_pairs_in(near, nearest), "u long, v long, d long")
     if nearest:  # of each text's offers, the nearest
         return found.groupBy("v").agg(F.min_by("u", F.struct("d", "u")).alias("u")).select("u", "v")
@@ -228,14 +233,17 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...)."""
     run, schema = _describe(near)
     described = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "minhash")
-    reps = described.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("idx").alias("idx"))
+    reps = described.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("idx").alias("idx"))
     reps = written(reps, "minhash-reps")
     keys = reps.select("id", "idx").mapInArrow(_keys, "key long, id long, slot int")
     shared = written(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_only, "key long, id long, slot int"), "minhash-keys")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "minhash-texts")
+    met = reps.select("id", "n", "idx").join(shared.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(met, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("idx").alias("idx"), F.first("text").alias("text"))
+    run, schema = _bits(near)
+    texts = written(texts.select("id", "n", "idx", "text").mapInArrow(run, schema), "minhash-texts")
     links, classes = None, None
     for nearest in (True, True, False):
-        found = _links(_candidates(shared, reps, near, classes, nearest), texts, near)
+        found = _links(_candidates(shared, texts, near, classes, nearest), texts, near)
         links = written(found if links is None else links.unionByName(found), "minhash-links")
         classes = components(links)
     final = classes
