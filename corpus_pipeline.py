@@ -25,9 +25,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates: five words, similarity 0.8."""
-    kept = minhash.near_duplicates(docs, minhash.Near(words=5, percent=80)).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(written(kept.distinct(), "kept").hint("merge"), F.col("doc_id") == F.col("_kept"), "left_semi")
+    """One row of each group of near duplicates, that of the smallest id, nulls last, and every row without words: five words, similarity 0.8."""
+    return minhash.deduplicated(docs, minhash.Near(words=5, percent=80))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

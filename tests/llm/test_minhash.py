@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from tidemark.llm.minhash import Near, near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, id long, component string, u int"
@@ -61,3 +62,21 @@ def test_split_buckets(spark):
 
 def test_empty(spark):
     assert run(spark, [], Near()) == {}
+
+
+def test_null_and_repeated_ids(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    near, other, third = long.replace("w40", "x"), long.upper().replace("W", "y"), " ".join(f"z{i}" for i in range(30))
+    rows = [(None, long), (9, near), (4, other), (4, third), (4, other), (None, third + " end"), (None, "only null ids"), (None, "only null ids"), (None, "alone"), (None, None), (None, ""), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, f"tag{k}", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, id string, n int")
+    sort = lambda x: sorted(x, key=str)
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, Near(words=4)).collect()]
+    want = [(None, 9, False), (9, 9, True), (4, 4, True), (4, 4, True), (4, 4, False), (None, 4, False), (None, None, True), (None, None, False), (None, None, True)]
+    assert sort(got) == sort(want + [(None, None, True)] * 2 + [(7, 7, True)] * 2)
+
+    out = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    texts = [(9, near), (4, other), (4, third), (None, "only null ids"), (None, "alone"), (None, None), (None, ""), (7, ""), (7, "")]
+    left = out.collect()
+    assert sort((r.doc_id, r.text) for r in left) == sort(texts)
+    assert all((r.doc_id, r.text, r.id) == (*rows[r.n], f"tag{r.n}") for r in left)

@@ -15,8 +15,11 @@ Pairs already joined through others are not compared again: each text is first c
 neighbour, then with the nearest in another class, and at last all pairs across the classes found
 so far are. Buckets above `block` rows are split into block pairs, so no group is collected whole.
 
-Null and empty texts have an empty set, n_shingles 0, and are their own class. Repeated
-texts fall together before the join. An empty table gives an empty result.
+Every row gets a number as the table is written once with its sets; sets, buckets, links and classes go by these numbers,
+never by doc_id, which may be null or repeated. A set has the number of its first row: the smallest doc_id, nulls
+last, then the smallest number. A class keeps the first row of its sets, so one row whatever its ids, and component_id is
+that row's doc_id: null where all ids of the class are. Null and empty texts have an empty set, n_shingles 0, and each of
+their rows is its own class and kept. Repeated texts fall together before the join. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from ._shared import small, sorted_groups, written
 from ._words import Words, mix64, shingle_set
@@ -69,19 +73,26 @@ def signature(shingles: np.ndarray, hashes: int) -> np.ndarray:
 
 
 def _describe(near: Near):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("idx", pa.binary())])
+    """Adds the size and hash of each text's set and its indexed minwise values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
-            words = Words(batch.column(1).to_pylist(), lower=True)
+            words = Words(batch.column("text").to_pylist(), lower=True)
             rows = []
             for i in range(batch.num_rows):
                 s = shingle_set(words.of(i), near.words)
                 rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), (signature(s, INDEXED) >> np.uint64(40)).astype(np.uint16).tobytes()) if len(s) else (0, None, None))
             n, ids, idx = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(idx, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(idx, pa.binary())], names=[*batch.schema.names, "_n", "_set", "_idx"])
+
+    return run
 
-    return run, "doc_id long, n_shingles long, set_id binary, idx binary"
+
+def _numbered(docs: DataFrame, near: Near) -> DataFrame:
+    """docs written with _row, which no other row has, and _n, _set and _idx of their sets."""
+    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "_row": F.monotonically_increasing_id()})
+    schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema), StructField("_n", LongType()), StructField("_set", BinaryType()), StructField("_idx", BinaryType())])
+    return written(rows.mapInArrow(_describe(near), schema), "minhash")
 
 
 def _bits(near: Near):
@@ -229,16 +240,15 @@ def _candidates(shared: DataFrame, texts: DataFrame, near: Near, classes: DataFr
     return found.select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...)."""
-    run, schema = _describe(near)
-    described = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema), "minhash")
-    reps = described.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("idx").alias("idx"))
-    reps = written(reps, "minhash-reps")
+def _classes(rows: DataFrame, near: Near) -> DataFrame:
+    """(_row, doc_id, n_shingles, component_id, kept) for every row of _numbered()."""
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_row")
+    reps = rows.where("_n > 0").groupBy("_set").agg(F.min(first).alias("first"), F.first("_n").alias("n"), F.first("_idx").alias("idx"))
+    reps = written(reps.withColumn("id", F.col("first._row")), "minhash-reps")
     keys = reps.select("id", "idx").mapInArrow(_keys, "key long, id long, slot int")
     shared = written(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared_only, "key long, id long, slot int"), "minhash-keys")
     met = reps.select("id", "n", "idx").join(shared.select("id").distinct(), "id", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(met, "id").groupBy("id").agg(F.first("n").alias("n"), F.first("idx").alias("idx"), F.first("text").alias("text"))
+    texts = rows.select(F.col("_row").alias("id"), "text").join(met, "id")
     run, schema = _bits(near)
     texts = written(texts.select("id", "n", "idx", "text").mapInArrow(run, schema), "minhash-texts")
     links, classes = None, None
@@ -246,8 +256,22 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
         found = _links(_candidates(shared, texts, near, classes, nearest), texts, near)
         links = written(found if links is None else links.unionByName(found), "minhash-links")
         classes = components(links)
-    final = classes
-    heads = reps.select("set_id", "id").join(final.withColumnRenamed("node", "id"), "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
-    out = described.select("doc_id", "n_shingles", "set_id").join(heads, "set_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    members = classes.withColumnRenamed("node", "id").join(reps.select("id", "first"), "id")
+    heads = classes.join(members.groupBy("component").agg(F.min("first").alias("head")), "component").select(F.col("node").alias("id"), "head")
+    heads = reps.select("_set", "id", "first").join(heads, "id", "left").select("_set", F.coalesce("head", "first").alias("head"))
+    out = rows.select("_row", "doc_id", F.col("_n").alias("n_shingles"), "_set").join(heads, "_set", "left")
+    alone = F.col("head").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    return out.select("_row", "doc_id", "n_shingles", component.alias("component_id"), (alone | (F.col("_row") == F.col("head._row"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...); ids may be null or repeated."""
+    return _classes(_numbered(docs.select("doc_id", "text"), near), near).drop("_row")
+
+
+def deduplicated(docs: DataFrame, near: Near = Near()) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with all their columns."""
+    rows = _numbered(docs, near)
+    kept = written(_classes(rows, near).where("kept").select("_row"), "kept")
+    return rows.select("_row", *docs.columns).join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
