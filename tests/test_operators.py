@@ -107,3 +107,29 @@ def test_false_discovery_null(spark):
 def test_zero_close_gives_null(spark):
     px = spark.createDataFrame([("A", dt.date(2024, 1, i), c, 1) for i, c in ((1, 1.0), (2, 0.0), (3, 2.0), (4, None))], "ticker string, date date, close double, volume long")
     assert [r.ret for r in returns.with_returns(px).orderBy("date").collect()] == [None, -1.0, None]
+
+
+def test_bootstrap_of_all_groups(spark):
+    rng = random.Random(4)
+    rows = [(i, "AB"[i % 2] if i % 50 else "C", None if i % 3 else "open", rng.gauss(0.05, 1), None if i % 7 == 0 else rng.gauss(0, 1)) for i in range(600)]
+    cars = spark.createDataFrame(rows, "event_id long, form string, bucket string, x double, y double")
+    got = {(r.group, r.split, r.metric): r for r in returns.bootstrap_tests(cars, ["form", "bucket"], ["x", "y"]).collect()}
+    assert set(got) == {(g, s, m) for g, s in (("ALL", "ALL"), ("form", "A"), ("form", "B"), ("bucket", "open")) for m in "xy"}
+    for (group, split, metric), r in got.items():
+        at = {"ALL": None, "form": 1, "bucket": 2}[group]
+        x = [v for row in rows if (v := row[3 if metric == "x" else 4]) is not None and (at is None or row[at] == split)]
+        mean = sum(x) / len(x)
+        means = [sum(rng.choices(x, k=len(x))) / len(x) for _ in range(400)]
+        assert r.n == len(x) and abs(r.mean - mean) < 1e-12
+        assert abs(r.boot_p * 2000 - round(r.boot_p * 2000)) < 1e-6
+        assert abs(r.boot_p - sum(abs(m) >= abs(mean) for m in means) / 400) < 0.13
+
+
+def test_bootstrap_reaches_q(spark):
+    rows = {(r.group, r.split, r.metric): r for r in QUERIES["event_study_robustness"](spark, SF).collect()}
+    assert {("ALL", "ALL", m) for m in ("car_main", "car_pretrend")} <= set(rows)
+    tests = sorted((r.boot_p, r.bh_q) for k, r in rows.items() if k[0] != "ALL")
+    least = 1.0
+    for k in range(len(tests), 0, -1):
+        least = min(least, tests[k - 1][0] * len(tests) / k)
+        assert abs(tests[k - 1][1] - least) < 1e-5

@@ -100,18 +100,25 @@ def false_discovery(tests: DataFrame, p: str = "p") -> DataFrame:
     return rows.withColumn("q", F.when(F.col("_known") == F.col("_n"), q)).drop("_k", "_n", "_known")
 
 
-def bootstrap_pvalues(df: DataFrame, group: str, x: str, draws: int = 2000) -> DataFrame:
-    """(group, n, mean, boot_p): share of uncentred resample means at least as far from 0 as the mean.
+def bootstrap_tests(cars: DataFrame, groups: list[str], metrics: list[str], draws: int = 2000, least: int = 100) -> DataFrame:
+    """subgroup_tests() with boot_p: share of uncentred resample means at least as far from 0 as the mean; null below five rows.
 
-    Resampling is by Poisson weights from hashes, so groups are never gathered: sums are combined on the map side.
+    Resampling is by Poisson weights from hashes, so groups are never gathered: an event is drawn once for all tests, sums
+    are combined on the map side by cell of all groups, and cells are added up to splits.
     """
-    rows = df.where(F.col(x).isNotNull() & ~F.isnan(x)).select(group, F.col(x).alias("x"), F.xxhash64("event_id").alias("h"))
-    u = lambda i: (F.xxhash64("h", i) / F.lit(2.0**64)) + 0.5
+    cars = cars.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in metrics})
+    u = (F.xxhash64("h", "i") / F.lit(2.0**64)) + 0.5
     # Poisson(1) by its cumulative probabilities
     cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    draw = rows.select(group, "x", "h", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i")).withColumn("u", u("i"))
+    draw = cars.select(*groups, *metrics, F.xxhash64("event_id").alias("h"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i")).withColumn("u", u)
     k = sum(((F.col("u") > c).cast("int") for c in cut[1:]), (F.col("u") > cut[0]).cast("int"))
-    means = draw.withColumn("k", k).groupBy(group, "i").agg(F.try_divide(F.sum(F.col("k") * F.col("x")), F.sum("k")).alias("m"))
-    base = rows.groupBy(group).agg(F.count("x").alias("n"), F.avg("x").alias("mean"))
-    out = means.join(base, group).groupBy(group, "n", "mean").agg(F.avg((F.abs("m") >= F.abs("mean")).cast("double")).alias("p"))
-    return out.select(group, "n", "mean", F.when(F.col("n") >= 5, F.col("p")).alias("boot_p"))
+    weighed = [x for m in metrics for x in (F.sum(F.col("k") * F.col(m)).alias(f"s_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col("k"))).alias(f"w_{m}"))]
+    cells = draw.withColumn("k", k).groupBy(*groups, "i").agg(*weighed)
+    splits = F.explode(F.array(F.struct(F.lit("ALL").alias("group"), F.lit("ALL").alias("split")), *[F.struct(F.lit(g).alias("group"), F.col(g).alias("split")) for g in groups]))
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"s_{m}").alias("s"), F.col(f"w_{m}").alias("w")) for m in metrics]))
+    sums = cells.withColumn("g", splits).select("g.*", "i", each.alias("m")).select("group", "split", "m.metric", "i", "m.s", "m.w")
+    means = sums.groupBy("group", "split", "metric", "i").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    tests = subgroup_tests(cars, groups, metrics, least)
+    keys = ["group", "split", "metric"]
+    share = means.join(tests.select(*keys, "mean"), keys).groupBy(*keys).agg(F.avg((F.abs("m") >= F.abs("mean")).cast("double")).alias("p"))
+    return tests.join(share, keys, "left").select(*keys, "n", "mean", "t_stat", F.when(F.col("n") >= 5, F.col("p")).alias("boot_p"))

@@ -231,9 +231,21 @@ def bh_fdr(spark, d):
     return near(returns.false_discovery(tests), "p, q", 6)
 
 
+def _boot(spark, d):
+    return returns.bootstrap_tests(_grouped_cars(spark, d), ["form", "session_bucket"], ["car_main", "car_pretrend"])
+
+
 @query()
 def boot_pvalue(spark, d):
-    return near(returns.bootstrap_pvalues(_grouped_cars(spark, d), "form", "car_main", 500), "mean, boot_p", 6)
+    return near(near(_boot(spark, d), "mean", 8), "t_stat, boot_p", 6)
+
+
+@query()
+def event_study_robustness(spark, d):
+    tests = S.written(_boot(spark, d), "bootstrap")
+    q = returns.false_discovery(tests.where("group <> 'ALL'"), "boot_p").withColumnRenamed("q", "bh_q")
+    out = tests.where("group = 'ALL'").unionByName(q, allowMissingColumns=True)
+    return near(near(out, "mean", 8), "t_stat, boot_p, bh_q", 6)
 
 
 # Dataset, folds, metrics and models
