@@ -133,3 +133,18 @@ def test_bootstrap_reaches_q(spark):
     for k in range(len(tests), 0, -1):
         least = min(least, tests[k - 1][0] * len(tests) / k)
         assert abs(tests[k - 1][1] - least) < 1e-5
+
+
+def test_whole_filings(spark, tmp_path):
+    def check(name, folder):
+        rows = duckdb.sql(ORACLE[name].replace("FROM orders", f"FROM '{folder}/orders.parquet{'/*.parquet' if os.path.isdir(f'{folder}/orders.parquet') else ''}'")).fetchall()
+        got = QUERIES[name](spark, str(folder)).collect()
+        assert sorted(map(tuple, got)) == sorted(rows)
+        return got
+
+    whole, cut = check("explode_filings_2000", SF), check("explode_filings", SF)
+    assert len(whole) == duckdb.sql(f"SELECT count(*) FROM '{SF}/orders.parquet' WHERE o_orderstatus IN ('F', 'O')").fetchall()[0][0] > len(cut)
+    # the cap binds for one customer
+    spark.range(2600).selectExpr("id as o_orderkey", "if(id % 13 = 0, 2L, 1L) as o_custkey", "array('F', 'O', 'P')[id % 3] as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    got = check("explode_filings_2000", tmp_path)
+    assert {c: sum(r.cik == c for r in got) for c in "12"} == {c: sum(i % 3 < 2 for i in [i for i in range(2600) if (i % 13 == 0) == (c == "2")][:2000]) for c in "12"}

@@ -43,6 +43,13 @@ def filings_of(submissions: DataFrame, most: int, forms: list[str]) -> DataFrame
     return submissions.select("cik", F.explode(zipped).alias("f")).select("cik", "f.*").where(F.col("form").isin(forms))
 
 
+def first_rows(rows: DataFrame, key: str, order: str, most: int, parts: int = 32) -> DataFrame:
+    """The first `most` rows of each key by order; parts of a key are cut first, so no task ranks a whole large key."""
+    part = F.pmod(F.xxhash64(order), F.lit(parts))
+    cut = rows.withColumn("_i", F.row_number().over(W.partitionBy(key, part).orderBy(order))).where(F.col("_i") <= most)
+    return cut.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(order))).where(F.col("_i") <= most).drop("_i")
+
+
 def sessions(dates: DataFrame, column: str = "date") -> DataFrame:
     """(date, pos) of distinct dates in order; as many rows as there are days."""
     return dates.select(F.col(column).alias("date")).where("date is not null").distinct().withColumn("pos", F.row_number().over(W.orderBy("date")) - 1)

@@ -124,14 +124,25 @@ def effective_trade_date(spark, d):
     return cleaning.effective_dates(_bucketed(spark, d), _weekdays(spark, d), "accepted_et", "session_bucket").select("event_id", "session_bucket", "effective_date")
 
 
-@query("""WITH o AS (SELECT o_custkey, list(struct_pack(k := o_orderkey, f := o_orderstatus) ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
- SELECT cik, x.f AS form, CAST(x.k AS VARCHAR) AS accession FROM (SELECT CAST(o_custkey AS VARCHAR) AS cik, unnest(l[1:5]) AS x FROM o) WHERE x.f IN ('F', 'O')""")
-def explode_filings(spark, d):
-    lists = S.table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("l"))
+def _exploded(spark, d, most):
+    orders = cleaning.first_rows(S.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey", most)
+    lists = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("l"))
     text = F.transform("l", lambda x: x["o_orderkey"].cast("string"))
     recent = F.struct(F.transform("l", lambda x: x["o_orderstatus"]).alias("form"), text.alias("accessionNumber"), text.alias("acceptanceDateTime"))
     docs = lists.select(F.col("o_custkey").cast("string").alias("cik"), F.struct(recent.alias("recent")).alias("filings"))
-    return cleaning.filings_of(docs, 5, ["F", "O"]).select("cik", "form", "accession")
+    return cleaning.filings_of(docs, most, ["F", "O"]).select("cik", "form", "accession")
+
+
+@query("""WITH o AS (SELECT o_custkey, list(struct_pack(k := o_orderkey, f := o_orderstatus) ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
+ SELECT cik, x.f AS form, CAST(x.k AS VARCHAR) AS accession FROM (SELECT CAST(o_custkey AS VARCHAR) AS cik, unnest(l[1:5]) AS x FROM o) WHERE x.f IN ('F', 'O')""")
+def explode_filings(spark, d):
+    return _exploded(spark, d, 5)
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS cik, o_orderstatus AS form, CAST(o_orderkey AS VARCHAR) AS accession
+ FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders) WHERE i <= 2000 AND o_orderstatus IN ('F', 'O')""")
+def explode_filings_2000(spark, d):
+    return _exploded(spark, d, 2000)
 
 
 # Returns, features and the event study
