@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as X
-from tidemark.operators import cleaning, engine, models, returns
+from tidemark.operators import cleaning, engine, models, returns, robustness
 from tidemark.operators.engine import Scenario
-from tidemark.plans.registry import ORACLE, QUERIES
+from tidemark.plans.registry import ORACLE, QUERIES, _year_scenarios
 
 SF = "/root/testdata/sf0.001"
 SOME = ["clean_normalize", "effective_trade_date", "rolling_features", "caar", "bh_fdr", "purged_folds", "quantile_ls_daily", "ls_pairs", "active_book", "vol_target", "engine_summary", "shuffled_labels"]
@@ -148,3 +148,31 @@ def test_whole_filings(spark, tmp_path):
     spark.range(2600).selectExpr("id as o_orderkey", "if(id % 13 = 0, 2L, 1L) as o_custkey", "array('F', 'O', 'P')[id % 3] as o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
     got = check("explode_filings_2000", tmp_path)
     assert {c: sum(r.cik == c for r in got) for c in "12"} == {c: sum(i % 3 < 2 for i in [i for i in range(2600) if (i % 13 == 0) == (c == "2")][:2000]) for c in "12"}
+
+
+def test_sanity_sets(spark):
+    day = lambda i: dt.date(2024, 1, 1 + i % 3)
+    rows = [(i, f"T{i % 5}", day(i), i / 60, [None, float("nan"), i / 7][i % 3] if i % 2 else 1.0) for i in range(60)]
+    sets = {}
+    for r in robustness.sanity_sets(spark.createDataFrame(rows, "event_id long, ticker string, date date, pred double, y_true double")).collect():
+        sets.setdefault(r.pred_set, {})[r.event_id] = (r.ticker, r.date, r.pred)
+    assert all({i: v[:2] for i, v in s.items()} == {r[0]: r[1:3] for r in rows} for s in sets.values())
+    preds = {name: [s[i][2] for i in range(60)] for name, s in sets.items()}
+    base, labels = [r[3] for r in rows], [0.0 if r[4] is None or r[4] != r[4] else r[4] for r in rows]
+    assert preds["base_oos_pred"] == base
+    assert preds["shuffled_labels_proxy"] != labels and sorted(preds["shuffled_labels_proxy"]) == sorted(labels)
+    assert preds["within_day_shuffle"] != base and all(sorted(preds["within_day_shuffle"][k::3]) == sorted(base[k::3]) for k in range(3))
+    assert len(set(preds["random_predictions"])) == 60
+
+
+def test_sanity_engine(spark):
+    got = {r.variant: r.asDict() for r in QUERIES["sanity_engine"](spark, SF).collect()}
+    assert set(got) == {"base_oos_pred", "random_predictions", "shuffled_labels_proxy", "within_day_shuffle"}
+    base = next(r.asDict() for r in QUERIES["engine_summary"](spark, SF).collect() if r.scenario_id == 0)
+    assert all(got["base_oos_pred"][c] == v for c, v in base.items() if c != "scenario_id")
+
+
+def test_years_outside_the_list(spark):
+    days = spark.range(450).selectExpr("id as event_id", "'A' as ticker", "make_date(if(id < 220, 2024, if(id < 440, 1995, 2023)), 3, 1) as date", "0.5D as pred")
+    scenarios = {s.pred_set: s.scenario_id for s in _year_scenarios(robustness.by_year(days))}
+    assert scenarios["2024"] == 12 and scenarios["1995"] == 4 and "2023" not in scenarios and len(scenarios) == 13

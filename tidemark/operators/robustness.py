@@ -49,3 +49,14 @@ def by_year(preds: DataFrame, least: int = 200) -> DataFrame:
     rows = preds.withColumn("_year", F.year("date").cast("string")).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("_year")))
     sets = F.when(F.col("_n") >= least, F.array(F.lit("ALL"), "_year")).otherwise(F.array(F.lit("ALL")))
     return rows.withColumn("pred_set", F.explode(sets)).drop("_year", "_n")
+
+
+def sanity_sets(preds: DataFrame) -> DataFrame:
+    """preds (event_id, ticker, date, pred, y_true) as they are, random, as labels dealt anew with 0 for none, and dealt anew within days."""
+    labels = preds.withColumn("pred", F.coalesce(F.nanvl("y_true", F.lit(0.0)), F.lit(0.0)))
+    sets = {"base_oos_pred": preds, "random_predictions": random_predictions(preds), "shuffled_labels_proxy": shuffled(labels, [], "pred"), "within_day_shuffle": shuffled(preds, ["date"], "pred")}
+    out = None
+    for name, rows in sets.items():
+        rows = rows.select(F.lit(name).alias("pred_set"), "event_id", "ticker", "date", "pred")
+        out = rows if out is None else out.unionByName(rows)
+    return out

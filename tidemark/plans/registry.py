@@ -549,12 +549,37 @@ def shuffled_labels(spark, d):
     return near(robustness.shuffled(S.signals(spark, d), [], "y_true").select("event_id", "y_true"), "y_true")
 
 
+def _year_scenarios(sets):
+    """YEARS, and after them every other set there is: one for each year at most."""
+    found = {r.pred_set for r in sets.select("pred_set").where("pred_set is not null").distinct().collect()}
+    return YEARS + [Scenario(len(YEARS) + i, pred_set=p) for i, p in enumerate(sorted(found - {s.pred_set for s in YEARS}))]
+
+
 @query(sql(_SUM_SQL + " WHERE days > 0", ("yr", "SELECT *, CAST(year(date) AS VARCHAR) AS y, count(*) OVER (PARTITION BY year(date)) AS c FROM sp"), ("ys", "SELECT 'ALL' AS pred_set, event_id, ticker, date, pred FROM yr UNION ALL SELECT y, event_id, ticker, date, pred FROM yr WHERE c >= 200"), *engine_sql("ys", YEARS)))
 def subsample_engine(spark, d):
     rets, preds = _engine_inputs(spark, d)
-    return _summary(engine.backtest(rets, robustness.by_year(preds), engine.scenario_table(spark, YEARS)))
+    sets = S.written(robustness.by_year(preds), "years")
+    return _summary(engine.backtest(rets, sets, engine.scenario_table(spark, _year_scenarios(sets))))
 
 
 @query()
 def random_predictions(spark, d):
     return near(robustness.random_predictions(S.signals(spark, d)).select("event_id", "pred"), "pred")
+
+
+SANITY = [Scenario(i, pred_set=p) for i, p in enumerate(("base_oos_pred", "random_predictions", "shuffled_labels_proxy", "within_day_shuffle"))]
+
+
+def _sanity_preds(spark, d):
+    rets, preds = _engine_inputs(spark, d)
+    labels = returns.event_cars(_study(spark, d)[1], {"y_true": (1, 5)})
+    return rets, S.written(preds.drop("pred_set").join(labels, "event_id", "left"), "sanity")
+
+
+@query()
+def sanity_engine(spark, d):
+    rets, preds = _sanity_preds(spark, d)
+    scenarios = engine.scenario_table(spark, SANITY)
+    out = _summary(engine.backtest(rets, S.written(robustness.sanity_sets(preds), "sanity-sets"), scenarios))
+    names = F.broadcast(scenarios.select("scenario_id", F.col("pred_set").alias("variant")))  # four rows
+    return out.join(names, "scenario_id").select("variant", *[c for c in out.columns if c != "scenario_id"])
