@@ -1,10 +1,12 @@
 """Core operators against the SQL oracle, brute force and hand-made cases."""
 
 import datetime as dt
+import inspect
 import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,33 @@ def test_years_outside_the_list(spark):
     days = spark.range(450).selectExpr("id as event_id", "'A' as ticker", "make_date(if(id < 220, 2024, if(id < 440, 1995, 2023)), 3, 1) as date", "0.5D as pred")
     scenarios = {s.pred_set: s.scenario_id for s in _year_scenarios(robustness.by_year(days))}
     assert scenarios["2024"] == 12 and scenarios["1995"] == 4 and "2023" not in scenarios and len(scenarios) == 13
+
+
+def events_of_days(spark, per_day):
+    rng = random.Random(2)
+    rows = []
+    for i in range(40 * per_day):
+        day = dt.date(2024, 1, 1) + dt.timedelta(i // per_day)
+        form, bucket = rng.choice("AB"), rng.choice(["open", "close", "late"])
+        rows.append((i, form, bucket, day, rng.gauss(0, 1) + day.weekday() + (bucket == "late"), *(rng.gauss(0, 2) for _ in models.FEATURES), day.weekday(), day.month))
+    return rows, spark.createDataFrame(rows, f"event_id long, form string, session_bucket string, trade_date date, y double, {', '.join(c + ' double' for c in models.FEATURES)}, dow long, month long")
+
+
+def test_ridge_against_closed_form(spark):
+    rows, data = events_of_days(spark, 20)
+    start = dt.date(2024, 1, 21)
+    train, test = [r for r in rows if r[3] < start - dt.timedelta(7)], [r for r in rows if r[3] >= start]
+    numbers = lambda rs: np.array([r[5:] for r in rs], float)
+    mean, sd = numbers(train).mean(0), numbers(train).std(0)
+    full = lambda rs: np.hstack([(numbers(rs) - mean) / np.where(sd == 0, 1, sd), np.array([[r[1] == f for f in "AB"] + [r[2] == b for b in ("close", "late", "open")] for r in rs], float)])
+    x, y = full(train), np.array([r[4] for r in train])
+    w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + 10 * np.eye(x.shape[1]), (x - x.mean(0)).T @ (y - y.mean()))
+    want = y.mean() + (full(test) - x.mean(0)) @ w
+    got = {r.event_id: r.pred for r in models.walk_forward(data, "ridge", splits=2).collect()}
+    assert set(got) == {r[0] for r in test} and np.allclose([got[r[0]] for r in test], want, atol=1e-6)
+
+
+def test_boosting_has_no_gate(spark):
+    assert inspect.signature(models.walk_forward).parameters["trees"].default == 600
+    rows, data = events_of_days(spark, 2)
+    assert {r.event_id for r in models.walk_forward(data, "gbt", splits=2, trees=12).collect()} == {r[0] for r in rows if r[3] >= dt.date(2024, 1, 21)}

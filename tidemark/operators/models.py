@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 FEATURES = ["mom_1d", "mom_5d", "mom_20d", "vol_20d", "dollar_vol_20d"]
+NUMBERS, CATEGORIES = [*FEATURES, "dow", "month"], ["form", "session_bucket"]
 
 
-def model_dataset(study: DataFrame, labels: DataFrame, features: DataFrame) -> DataFrame:
-    """Study events with label and features of their day, weekday (Monday is 0) and month; rows without a feature go."""
+def model_dataset(study: DataFrame, labels: DataFrame, features: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Study events with label and features of their day, weekday (Monday is 0), month and columns to carry; rows without a feature go."""
     at = features.select("ticker", F.col("date").alias("trade_date"), *FEATURES)
     out = study.join(labels, "event_id").join(at, ["ticker", "trade_date"], "left").na.drop(subset=[*FEATURES, "y"])
-    return out.select("event_id", "ticker", "form", "trade_date", "y", *FEATURES, F.weekday("trade_date").cast("bigint").alias("dow"), F.month("trade_date").cast("bigint").alias("month"))
+    return out.select("event_id", "ticker", "form", "trade_date", "y", *FEATURES, F.weekday("trade_date").cast("bigint").alias("dow"), F.month("trade_date").cast("bigint").alias("month"), *(carry or []))
 
 
 def folds(dates: DataFrame, splits: int = 5, purge: int = 7, embargo: int = 5) -> DataFrame:
@@ -56,20 +59,29 @@ def _assembled(df: DataFrame):
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 
     # population scaling: the sample scaler's factor would not match the closed form
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES]).first()
-    scaled = lambda d: d.withColumns({f"z_{c}": (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in FEATURES})
-    index = StringIndexer(inputCols=["form"], outputCols=["form_i"], handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=["form_i"], outputCols=["form_v"], dropLast=True)
-    join = VectorAssembler(inputCols=[*(f"z_{c}" for c in FEATURES), "dow", "month", "form_v"], outputCol="features")
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in NUMBERS], *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMBERS]).first()
+    scaled = lambda d: d.withColumns({f"z_{c}": (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in NUMBERS})
+    index = StringIndexer(inputCols=CATEGORIES, outputCols=[f"{c}_i" for c in CATEGORIES], handleInvalid="keep", stringOrderType="alphabetAsc")
+    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in CATEGORIES], outputCols=[f"{c}_v" for c in CATEGORIES], dropLast=True)
+    join = VectorAssembler(inputCols=[*(f"z_{c}" for c in NUMBERS), *(f"{c}_v" for c in CATEGORIES)], outputCol="features")
     fitted = Pipeline(stages=[index, hot, join]).fit(scaled(df))
     return lambda d: fitted.transform(scaled(d))
 
 
-def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10.0, c: float = 1.0, least_train: int = 200, least_test: int = 50) -> DataFrame:
-    """Out-of-sample rows (event_id, fold, y, pred) of a ridge, logit or gbt model, a model for each fold."""
+def _checkpoints(spark) -> None:
+    """Boosting cuts its lineage every ten trees, if the context has a checkpoint folder."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+
+
+def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10.0, c: float = 1.0, least_train: int = 200, least_test: int = 50, trees: int = 600) -> DataFrame:
+    """Out-of-sample rows (event_id, fold, y, pred) of a ridge, logit or gbt model, a model for each fold; small folds are left out of ridge and logit alone."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
+    if model == "gbt":
+        least_train = least_test = 1
+        _checkpoints(data.sparkSession)
     marks = folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date")
     out = None
     for fold in range(splits):  # a handful of distributed fits
@@ -84,7 +96,7 @@ def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10
         elif model == "logit":
             fit = LogisticRegression(regParam=1 / (c * size.n), standardization=False, maxIter=200).fit(rows)
         else:
-            fit = GBTRegressor(maxIter=20, stepSize=0.05, maxDepth=5, seed=42).fit(rows)
+            fit = GBTRegressor(maxIter=trees, stepSize=0.05, maxDepth=5, seed=42).fit(rows)
         scored = fit.transform(prepare(test))
         if model == "logit":
             from pyspark.ml.functions import vector_to_array

@@ -264,12 +264,13 @@ def event_study_robustness(spark, d):
 
 def _dataset(spark, d):
     study, ar = _study(spark, d)
-    return models.model_dataset(study, returns.event_cars(ar, {"y": (1, 5)}), returns.rolling_features(S.prices(spark, d)))
+    study = study.withColumn("session_bucket", X.session_bucket(X.eastern(F.col("accepted_utc"))))
+    return models.model_dataset(study, returns.event_cars(ar, {"y": (1, 5)}), returns.rolling_features(S.prices(spark, d)), ["session_bucket"])
 
 
 @query(sql(f"SELECT event_id, ticker, form, trade_date, {rounded('y, mom_1d, mom_5d, mom_20d, vol_20d')}, round(dollar_vol_20d, 4) AS dollar_vol_20d, dow, month FROM md"))
 def model_dataset(spark, d):
-    return near(near(_dataset(spark, d), "y, mom_1d, mom_5d, mom_20d, vol_20d"), "dollar_vol_20d", 4)
+    return near(near(_dataset(spark, d).drop("session_bucket"), "y, mom_1d, mom_5d, mom_20d, vol_20d"), "dollar_vol_20d", 4)
 
 
 @query(sql("SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, count(DISTINCT form) AS forms, min(trade_date) AS first, max(trade_date) AS last FROM md"))
