@@ -9,13 +9,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees; set to a temporary one only where none is named."""
+    """The folder every executor sees; a temporary one where none is named and all tasks run in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -53,6 +56,32 @@ def source_of(df: DataFrame) -> str:
     return df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else ""
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that columns added beside it can't clash with them."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+
+
+def fields(df: DataFrame, struct: str) -> list[Column]:
+    """The columns of a struct column of df under their own names."""
+    return [F.col(f"{struct}.{quoted(f.name)}").alias(f.name) for f in df.schema[struct].dataType.fields]
+
+
+def heavy_join(left: DataFrame, right: DataFrame, key: str, rows: str, share: int = 1000) -> DataFrame:
+    """left joined with right, one row a key, whose column `rows` counts the rows of left with the key.
+
+    Keys that hold more than one row in `share` are `share` at most and are broadcast, so that no task gathers one; the rest are merged.
+    """
+    least = right.agg(F.sum(rows)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(rows) * share > least).drop(rows))
+    rest = left.join(hot.select(key), key, "left_anti").join(right.where(F.col(rows) * share <= least).drop(rows).hint("merge"), key)
+    return left.join(hot, key).unionByName(rest)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], same: Callable[[pa.Table], "list[int]"]) -> Iterator[pa.Table]:
     """Tables of whole groups from rows sorted by group.
 

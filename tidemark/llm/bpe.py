@@ -13,7 +13,6 @@ encoded.  Null texts are empty, with no ids.  Rows may repeat; extra columns are
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,17 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._encode import read_ranks
 from ._shared import small
 
 _NONE = 1 << 30
 _FEW = 24
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-
-
 def _distinct(parts: list) -> np.ndarray:
     x = np.sort(np.concatenate(parts))
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x

@@ -6,12 +6,12 @@ scan over the blocks of a file stitches them: the separators before a block numb
 one before it begins the document that the block ends.
 
 Null and empty texts are a separator alone, 0 tokens.  Rows may repeat; null ids are kept; extra columns are ignored.
-Tokens after the last separator of a file belong to no document and are not counted.
+Texts of any length are encoded whole; one document may span many blocks. Tokens after the last separator of a file belong
+to no document and are not counted. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._encode import encoder
 from ._shared import file_system, new_path, small, written
 
 END = 50256
@@ -29,18 +30,13 @@ BLOCK = 1 << 20
 
 def _write(folder: str, ranks_path: str, pattern: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = encoder(ranks_path, pattern)
         context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}.bin"
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.bin"  # each attempt has its own file; only those in the table that it commits are read
         store, path = file_system(folder)
         store.create_dir(path, recursive=True)
-        out = f"{path}/.{name}.{context.taskAttemptId()}"
         nth = size = 0
-        with store.open_output_stream(out) as stream:
+        with store.open_output_stream(f"{path}/{name}", compression=None) as stream:
             for batch in small(batches, "text"):
                 for text in batch.column("text").to_pylist():
                     data = np.array([*encode(text or ""), end], dtype="<u2").tobytes()
@@ -49,7 +45,6 @@ def _write(folder: str, ranks_path: str, pattern: str, end: int):
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([name] * n), pa.array(np.arange(nth, nth + n)), pa.array(np.full(n, size))], names=["doc_id", "file", "nth", "size"])
                 nth += n
-        store.move(out, f"{path}/{name}")
 
     return run
 
