@@ -5,9 +5,11 @@ with the smallest page_id; others are revisit records that refer to it.  Writing
 offset, length, URL and digest per record.  Reading sorts the selected index rows by file and offset, joins
 neighbours into ranges of bounded size, and reads each range once.
 
-Tasks write to a file of their own attempt and rename it, so a lost or repeated task leaves no half file.
+Every attempt of a task writes a file of its own name, and only files named in the index that Spark commits are read, so a
+lost or repeated task does no harm. Reading is dealt out by ranges of file and offset, RANGES bytes a task.
 Null html is an empty payload; a null url is left out of the header. Rows that repeat page_id and html are written each,
-with one type. Null ids come last among equal payloads. Extra columns are ignored; an empty table gives no archive.
+with one type. Null ids come last among equal payloads. Payloads of any length are one record. Extra columns are ignored,
+whatever their names; an empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import file_system, new_path, small, written
+from ._shared import file_system, forget, heavy_join, new_path, small, written
 
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long, refers_to long"
-GAP, RANGE = 1 << 16, 8 << 20
+GAP, RANGE, RANGES = 1 << 16, 8 << 20, 32 << 20
 
 
 def _base32(payload: bytes) -> str:
@@ -48,15 +50,14 @@ def _record(page_id: int | None, url: str | None, payload: bytes, kind: str, ref
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}.warc.gz"
-        out = stream = None
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
+        stream = None
         offset = 0
         for batch in small(batches, "html"):
             if stream is None:
                 store, path = file_system(folder)
                 store.create_dir(path, recursive=True)
-                out = f"{path}/.{name}.{context.taskAttemptId()}"
-                stream = store.open_output_stream(out)
+                stream = store.open_output_stream(f"{path}/{name}", compression=None)
             rows = []
             for r in batch.to_pylist():
                 data, digest = _record(r["page_id"], r["url"], (r["html"] or "").encode("utf-8", "surrogatepass"), r["record_type"], r["refers_to"])
@@ -66,7 +67,6 @@ def _write(folder: str):
             yield pa.RecordBatch.from_pylist(rows, schema=_index)
         if stream is not None:
             stream.close()
-            store.move(out, f"{path}/{name}")
 
     return run
 
@@ -79,12 +79,15 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     pages = pages.withColumns({"digest": F.sha2("html", 256), "long": F.octet_length("html") >= least})
     ids = written(pages.select("page_id", "digest", "long").distinct(), "warc-ids")
-    heads = written(ids.groupBy("digest").agg(F.min("page_id").alias("head")), "warc-heads")
-    kinds = ids.join(heads, "digest").select("page_id", "digest", (~F.col("long") | F.col("page_id").eqNullSafe(F.col("head"))).alias("own"), "head")
+    heads = written(ids.groupBy("digest").agg(F.min("page_id").alias("head"), F.count(F.lit(1)).alias("rows")), "warc-heads")
+    kinds = heavy_join(ids, heads, "digest", "rows").select("page_id", "digest", (~F.col("long") | F.col("page_id").eqNullSafe(F.col("head"))).alias("own"), "head")
     kinds = written(kinds, "warc-kinds").withColumnsRenamed({"page_id": "k", "digest": "d"})
+    forget(ids, heads)
     rows = pages.join(kinds, F.col("page_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")))
     rows = rows.select("page_id", "url", "html", F.when(F.col("own"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("own"), F.col("head")).alias("refers_to"))
-    return written(rows.mapInArrow(_write(folder), INDEX), "warc-index")
+    index = written(rows.mapInArrow(_write(folder), INDEX), "warc-index")
+    forget(kinds)
+    return index
 
 
 def _parse(record: bytes) -> dict:
@@ -139,7 +142,9 @@ _records = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_ty
 
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
     """(page_id, url, record_type, refers_to, digest, payload_bytes, payload) of the records in the rows of index."""
-    rows = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0
+    least = index.sparkSession.sparkContext.defaultParallelism
+    rows = index.select("file", "offset", "length").repartitionByRange(max(least, size // RANGES), "file", "offset").sortWithinPartitions("file", "offset")
     return rows.mapInArrow(_read(folder), "page_id long, url string, record_type string, refers_to long, digest string, payload_bytes long, payload binary")
 
 
