@@ -6,12 +6,14 @@ above (and the distance from below).  Bounds are tried from coarse to fine again
 far; only survivors get the exact integer score.
 
 Queries and candidates meet in a grid of cells, candidate chunks by query chunks; each cell is
-streamed in bounded blocks, keeps its k best for each query, and the bests of all cells are ranked.
+streamed in bounded blocks, keeps its k best for each query, and the bests of all cells are ranked. Chunks hold CHUNK bytes
+of candidates, so that bests grow with the input and not with a number of partitions.
 
 Null vectors and vectors with null or non-finite components take no part; vectors of different
 length are never compared. A query's own row, found by id, is not a candidate. Rows that repeat an
-id are candidates once each; a repeated query id is answered once, by any of its rows. Ties go to the smaller
-id. Null ids take no part. An empty table gives an empty result.
+id are candidates once each; a repeated query id is answered once, by its smallest vector. Ties go to the smaller
+id. Null ids take no part. Scores beyond 64 bits are the nearest 64-bit number. Extra columns are ignored, whatever their
+names, but for those that is_query reads. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from ._shared import written
 LEVELS = (1, 4, 16)
 BLOCK = 512
 QUERIES = 16384
-_UNSET = -(1 << 62)
+CHUNK = 32 << 20
+_LONGS = np.iinfo(np.int64)
+_UNSET = -(1 << 63)
 
 
 def _stats(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,26 +52,36 @@ class _Best:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
         self.levels = [_stats(vectors.astype(np.float64), s) for s in LEVELS]
+        self.norms, self.top = np.linalg.norm(vectors.astype(np.float64), axis=1), float(np.abs(vectors.astype(np.float64)).max(initial=0))
         self.score = np.full((len(ids), k), _UNSET)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
 
+    def _scores(self, x: np.ndarray, query: np.ndarray, safe: bool) -> np.ndarray:
+        if safe:
+            return x @ query
+        return np.array([min(max(sum(map(int.__mul__, row, query.tolist())), _LONGS.min + 1), _LONGS.max) for row in x.tolist()], dtype=np.int64)
+
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         real = x.astype(np.float64)
+        norms = np.linalg.norm(real, axis=1)
+        safe = float(np.abs(real).max(initial=0)) * self.top * x.shape[1] < 2.0**62
         for at in range(0, len(self.ids), BLOCK):
             part = slice(at, at + BLOCK)
-            floor = self.score[part, -1].astype(np.float64)
+            last = self.score[part, -1]
+            floor = np.where(last == _UNSET, -np.inf, last.astype(np.float64))
             alive = self.ids[part, None] != ids[None, :]
             for (mq, dq), s in zip(self.levels, LEVELS):
                 mx, dx = _stats(real, s)
                 bound = mq[part] @ mx.T + dq[part] @ dx.T
-                alive &= bound * (1 + 1e-9 * np.sign(bound)) + 1e-3 >= floor[:, None]
+                slack = 1e-9 * np.outer(self.norms[part], norms)  # no sum of the bound's terms without signs is above the product of norms
+                alive &= bound + slack + 1e-3 >= floor[:, None]
                 if not alive.any():
                     break
             for i in np.flatnonzero(alive.any(axis=1)).tolist():
                 pick = np.flatnonzero(alive[i])
-                score = np.concatenate([self.score[at + i], x[pick] @ self.vectors[at + i]])
+                score = np.concatenate([self.score[at + i], self._scores(x[pick], self.vectors[at + i], safe)])
                 found = np.concatenate([self.found[at + i], ids[pick]])
-                best = np.lexsort((found, -score))[: self.k]
+                best = np.lexsort((found, ~score))[: self.k]
                 self.score[at + i], self.found[at + i] = score[best], found[best]
 
     def rows(self) -> pa.RecordBatch:
@@ -117,13 +131,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     fit = F.expr("vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
     rows = vectors.withColumn("_query", is_query).where(fit).select(F.col("vec_id").cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long")).alias("vec"), F.coalesce("_query", F.lit(False)).alias("query"))
     rows = written(rows, "vectors")
-    chunks = chunks or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    queries = rows.where("query").dropDuplicates(["id"])
+    size = rows.agg(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0
+    chunks = chunks or max(spark.sparkContext.defaultParallelism, size // CHUNK)
+    queries = rows.where("query").groupBy("id").agg(F.min("vec").alias("vec"))
     parts = 1 + queries.count() // QUERIES
     asked = queries.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     given = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "vec"), F.lit(chunks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     both = asked.select("chunk", "part", "id", "vec", F.lit(0).alias("kind")).unionByName(given.select("chunk", "part", "id", "vec", F.lit(1).alias("kind")))
-    cells = both.select(F.xxhash64("chunk", "part", F.size("vec")).alias("cell"), "kind", "id", "vec").repartition("cell").sortWithinPartitions("cell", "kind")
+    cells = both.select(F.xxhash64("chunk", "part", F.size("vec")).alias("cell"), "kind", "id", "vec").repartition(chunks * parts, "cell").sortWithinPartitions("cell", "kind")
     found = cells.mapInArrow(_cells(k), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
