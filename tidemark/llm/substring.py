@@ -10,7 +10,8 @@ dealt out window by window instead, with the same result.
 
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged.  Null texts have no words.  The first place of a window is the
 one with the smallest (doc_id, digest of the text, start); null ids come first.  Rows that repeat both id
-and text count as one document and get the same result.  Extra columns are ignored.
+and text count as one document and get the same result.  Texts of any length are read whole. Columns to carry travel in a
+struct, so no name clashes; other extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._shared import forget, small, sorted_groups, written
+from ._shared import forget, heavy_join, quoted, small, sorted_groups, written
 from ._words import Words, chain
 
 GRAM = 3
@@ -203,12 +205,12 @@ def _with(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 
 def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 1000, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, text, kept, n_words, n_removed and the columns in carry) for every row of docs (doc_id, text, ...)."""
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    """(doc_id, text, kept, n_words, n_removed and, in the struct `rest`, the columns in carry) for every row of docs (doc_id, text, ...)."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(quoted(c)) for c in carry] or [F.lit(0).alias("_")]).alias("rest"))
     texts = whole.drop("rest")
     occ = written(texts.mapInArrow(_occurrences(window), "doc long, digest long, start int, n int, key long, hits long"), "kmers")
-    again = written(occ.groupBy("key").agg(F.sum("hits").alias("hits")).where("hits > 1").select("key"), "kmers-again")
-    flags = written(occ.join(again, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "n", "key")).alias("flags")), "kmers-flags")
+    again = written(occ.groupBy("key").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("rows")).where("hits > 1").select("key", "rows"), "kmers-again")
+    flags = written(heavy_join(occ, again, "key", "rows").groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "n", "key")).alias("flags")), "kmers-flags")
     forget(occ, again)
     strings = _with(texts, flags, "inner").mapInArrow(_packed(window), "key long, packed binary, doc long, digest long, start int")
     strings = strings.groupBy("key", "packed").agg(F.min(F.struct("doc", "digest", "start")).alias("at")).select("key", "packed", "at.*")
@@ -224,6 +226,6 @@ def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 1000, carry
     marks = written(marks, "kmers-marks")
     forget(strings, hot, flags)
     marked = _with(whole, marks, "left").select("doc", "text", "rest", F.coalesce("flags", none).alias("flags"), F.coalesce("firsts", none).alias("firsts"))
-    rest = whole.schema["rest"].dataType.simpleString()
-    out = marked.mapInArrow(_kept(window), f"doc_id long, text string, rest {rest}, kept string, n_words long, n_removed long")
-    return out.select("doc_id", "text", *(F.col("rest")[c].alias(c) for c in carry), "kept", "n_words", "n_removed")
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), whole.schema["rest"], StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    out = marked.mapInArrow(_kept(window), schema)
+    return out if carry else out.drop("rest")
