@@ -48,3 +48,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     heads = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(heads.withColumn("component", F.col("node")))
+
+
+def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) of classes found before, null if none, joined by more links (a, b).
+
+    Only classes that a link names are worked on, each as one node.
+    """
+    if classes is None:
+        return components(links)
+    head = lambda end: classes.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    ends = links.join(head("a"), "a", "left").join(head("b"), "b", "left")
+    between = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    heads = written(components(between), "heads")
+    found = heads.select(F.col("node").alias("component"), F.col("component").alias("head"))
+    old = classes.join(found, "component", "left").select("node", F.coalesce("head", "component").alias("component"))
+    new = heads.join(classes.select("node"), "node", "left_anti")
+    return written(old.unionByName(new), "classes")

@@ -11,15 +11,16 @@ At Jaccard 0.8 a place differs with probability 0.2: more than 32 of 64 has prob
 below 1e-8. A bit differs with probability 0.1, and the distance limit lies four and a half
 deviations beyond the mean, which rules out most pairs below 0.74.
 
-Pairs already joined through others are not compared again: each text is first compared with its nearest
-neighbour, then with the nearest in another class, and at last all pairs across the classes found
-so far are. Buckets above `block` rows are split into block pairs, so no group is collected whole.
+Pairs already joined through others are not compared again: each text is compared with its nearest neighbour in
+another class, again and again until few such pairs are linked, and at last all pairs across the classes left
+are. Buckets above `block` rows are split into block pairs, so no group is collected whole.
 
 Every row gets a number as the table is written once with its sets; sets, buckets, links and classes go by these numbers,
 never by doc_id, which may be null or repeated. A set has the number of its first row: the smallest doc_id, nulls
 last, then the smallest number. A class keeps the first row of its sets, so one row whatever its ids, and component_id is
 that row's doc_id: null where all ids of the class are. Null and empty texts have an empty set, n_shingles 0, and each of
-their rows is its own class and kept. Repeated texts fall together before the join. An empty table gives an empty result.
+their rows is its own class and kept. Repeated texts fall together before the join. Texts of any length are read whole. Other
+columns travel in one struct, so no name clashes. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._shared import small, sorted_groups, written
+from ._shared import fields, small, sorted_groups, whole_rows, written
 from ._words import Words, mix64, shingle_set
-from .components import components
+from .components import merged
 
 HASHES = 2048
 INDEXED = 64
@@ -88,9 +89,9 @@ def _describe(near: Near):
     return run
 
 
-def _numbered(docs: DataFrame, near: Near) -> DataFrame:
-    """docs written with _row, which no other row has, and _n, _set and _idx of their sets."""
-    rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string"), "_row": F.monotonically_increasing_id()})
+def _numbered(docs: DataFrame, near: Near, carry: bool = False) -> DataFrame:
+    """doc_id, text and, with carry, all of docs in the struct `rest`, written with _row, which no other row has, and _n, _set and _idx of their sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([whole_rows(docs).alias("rest")] if carry else []), F.monotonically_increasing_id().alias("_row"))
     schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema), StructField("_n", LongType()), StructField("_set", BinaryType()), StructField("_idx", BinaryType())])
     return written(rows.mapInArrow(_describe(near), schema), "minhash")
 
@@ -139,11 +140,22 @@ def _starts(*names: str):
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    starts = _starts("key")
-    for table in sorted_groups(batches, starts):
-        first = starts(table)
-        many = np.repeat(np.diff(np.append(first, table.num_rows)) > 1, np.diff(np.append(first, table.num_rows)))
-        yield from table.filter(pa.array(many)).to_batches()
+    """Of rows sorted by key those whose key another row has too; one row alone waits for the next batch."""
+    held: pa.RecordBatch | None = None
+    before: int | None = None  # the key of the row before the one held
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([held, batch] if held is not None else [batch])
+        key = rows.column("key").to_numpy()
+        like = key[1:] == key[:-1]
+        shared = np.append(False, like) | np.append(like, False)
+        shared[0] |= key[0] == before
+        yield from rows.slice(0, len(key) - 1).filter(pa.array(shared[:-1])).to_batches()
+        held = rows.slice(len(key) - 1).combine_chunks().to_batches()[0]
+        before = int(key[-2]) if len(key) > 1 else before
+    if held is not None and before == held.column("key")[0].as_py():
+        yield held
 
 
 def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -251,11 +263,15 @@ def _classes(rows: DataFrame, near: Near) -> DataFrame:
     texts = rows.select(F.col("_row").alias("id"), "text").join(met, "id")
     run, schema = _bits(near)
     texts = written(texts.select("id", "n", "idx", "text").mapInArrow(run, schema), "minhash-texts")
-    links, classes = None, None
-    for nearest in (True, True, False):
-        found = _links(_candidates(shared, texts, near, classes, nearest), texts, near)
-        links = written(found if links is None else links.unionByName(found), "minhash-links")
-        classes = components(links)
+    classes, nearest, last = None, True, 0
+    while True:
+        found = written(_links(_candidates(shared, texts, near, classes, nearest), texts, near), "minhash-links")
+        n = found.count()
+        if n or classes is None:
+            classes = merged(classes, found)
+        if not nearest:
+            break
+        nearest, last = n > last // 20, n  # all pairs come last, whenever nearest ones have become few
     members = classes.withColumnRenamed("node", "id").join(reps.select("id", "first"), "id")
     heads = classes.join(members.groupBy("component").agg(F.min("first").alias("head")), "component").select(F.col("node").alias("id"), "head")
     heads = reps.select("_set", "id", "first").join(heads, "id", "left").select("_set", F.coalesce("head", "first").alias("head"))
@@ -267,11 +283,12 @@ def _classes(rows: DataFrame, near: Near) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, ...); ids may be null or repeated."""
-    return _classes(_numbered(docs.select("doc_id", "text"), near), near).drop("_row")
+    return _classes(_numbered(docs, near), near).drop("_row")
 
 
 def deduplicated(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns."""
-    rows = _numbered(docs, near)
+    rows = _numbered(docs, near, carry=True)
     kept = written(_classes(rows, near).where("kept").select("_row"), "kept")
-    return rows.select("_row", *docs.columns).join(kept.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    out = rows.select("_row", "rest").join(kept.hint("merge"), "_row", "left_semi")
+    return out.select(*fields(out, "rest"))
