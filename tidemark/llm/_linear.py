@@ -9,24 +9,51 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: int = 300, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weights of x for labels y in [0, 1]; the last column is the constant and is not shrunk by l1."""
-    w = np.zeros(x.shape[1], dtype=x.dtype)
-    if not len(y):
+class Rows:
+    """A matrix whose first `width` columns are sparse, entries at (row, column), and whose last ones are dense."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, width: int, dense: np.ndarray):
+        self.row, self.column, self.value, self.width, self.dense = row, column, value, width, dense
+        self.shape = (len(dense), width + dense.shape[1])
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], minlength=self.shape[0]) + self.dense @ w[self.width :]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.column, self.value * r[self.row], minlength=self.width), self.dense.T @ r)
+
+    def squares(self) -> np.ndarray:
+        """Mean square of each column."""
+        return np.append(np.bincount(self.column, self.value**2, minlength=self.width), (self.dense**2).sum(0)) / max(self.shape[0], 1)
+
+    def scaled(self, by: np.ndarray) -> Rows:
+        return Rows(self.row, self.column, self.value * by[self.column], self.width, self.dense * by[self.width :])
+
+    def of(self, keep: np.ndarray, columns: np.ndarray | None = None) -> Rows:
+        """Rows in the mask `keep`, and of the sparse columns those of a mask."""
+        place, slot = np.cumsum(keep) - 1, np.cumsum(columns) - 1 if columns is not None else np.arange(self.width)
+        some = keep[self.row] & (columns[self.column] if columns is not None else True)
+        return Rows(place[self.row[some]], slot[self.column[some]], self.value[some], int(columns.sum()) if columns is not None else self.width, self.dense[keep])
+
+
+def logistic(x: Rows, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: int = 300, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the columns of x for labels y in [0, 1]; the last column is the constant and is not shrunk by l1."""
+    n, size = x.shape
+    w = np.zeros(size)
+    if not n:
         return w
-    weight = np.ones(len(y), x.dtype) if weight is None else weight.astype(x.dtype)
-    top = np.ones(x.shape[1], dtype=x.dtype)
+    weight = np.ones(n) if weight is None else weight
+    top, norm = np.ones(size), 1.0
     for _ in range(20):
-        top = x.T @ (weight * (x @ top))
+        top = x.back(weight * x.dot(top))
         norm = float(np.linalg.norm(top)) or 1.0
         top /= norm
-    step = 1 / (0.3 * norm / len(y) + l2)
-    shrink = np.full(len(w), step * l1, dtype=x.dtype)
+    step = 1 / (0.3 * norm / n + l2)
+    shrink = np.full(size, step * l1)
     shrink[-1] = 0
     z, t = w.copy(), 1.0
     for _ in range(steps):
-        g = x.T @ (weight * (sigmoid(x @ z) - y)) / len(y) + l2 * z
-        new = z - step * g
+        new = z - step * (x.back(weight * (sigmoid(x.dot(z)) - y)) / n + l2 * z)
         new = np.sign(new) * np.maximum(np.abs(new) - shrink, 0)
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, w, t = new + (t - 1) / u * (new - w), new, u

@@ -13,17 +13,19 @@ pass through `kept_quality` unchanged. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._linear import logistic, sigmoid
+from ._linear import Rows, logistic, sigmoid
 from ._shared import small, written
 from ._words import Words, mix64
 
-SIZE = 1024
+SIZE = 8192
+FIGURES = 11
 SAMPLE = 8000
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#$%&*+<=>@\\^_`{|}~")] = True
@@ -86,53 +88,78 @@ def votes(f: np.ndarray, lines: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
-def _hashed(words: Words, f: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """Rows of SIZE numbers: shares of word shapes, by the hash of their last two bytes and their first, then the figures."""
+_KIND = np.full(256, 4, dtype=np.uint64)  # letters, capitals, digits, symbols, other signs
+_KIND[_LETTER], _KIND[_UPPER], _KIND[48:58], _KIND[_SYMBOL] = 0, 1, 2, 3
+
+
+def _slots(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, slot) of words, of pairs of words, and of runs of three words' kinds of first and last two signs."""
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    if not len(text):
+        return
+    data, two = words.data, words.ends - words.starts > 1
+    ends = (_KIND[data[words.starts]] * np.uint64(5) + np.where(two, _KIND[data[words.ends - 2]], 4)) * np.uint64(256) + np.where(_KIND[data[words.ends - 1]] < 3, _KIND[data[words.ends - 1]], data[words.ends - 1].astype(np.uint64))
+    slot = lambda key, salt: (mix64(key + np.uint64(salt << 40)) % np.uint64(SIZE)).astype(np.int64)
+    yield text, slot(words.hashes, 1)
+    inner = text[1:] == text[:-1]
+    yield text[1:][inner], slot(words.hashes[:-1] * np.uint64(31) + words.hashes[1:], 2)[inner]
+    yield text, slot(ends, 3)
+    inner = text[2:] == text[:-2]
+    yield text[2:][inner], slot((ends[:-2] << np.uint64(26)) + (ends[1:-1] << np.uint64(13)) + ends[2:], 4)[inner]
+
+
+def _dense(f: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The figures of each text, and the constant."""
+    return np.column_stack([f[:, 1:], lines, np.log1p(f[:, 0]) / 10, np.ones(len(f))])
+
+
+def _shares(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, slot, share of the text's tokens of that sort), each text and slot once."""
     n = len(words.first) - 1
-    text = np.repeat(np.arange(n), np.diff(words.first))
-    out = np.zeros((n, SIZE), dtype=np.float32)
-    room = SIZE - 20
-    if len(words.starts):
-        data = words.data
-        last, first = data[words.ends - 1].astype(np.uint64), data[words.starts].astype(np.uint64)
-        second = np.where(words.ends - words.starts > 1, data[words.ends - 2], 0).astype(np.uint64)
-        for key in (last + np.uint64(256) * second, np.uint64(1 << 20) + first):
-            slot = (mix64(key) % np.uint64(room)).astype(np.int64)
-            out += np.bincount(text * SIZE + slot, minlength=n * SIZE).reshape(n, SIZE).astype(np.float32)
-    some = np.maximum(f[:, :1], 1)
-    out /= some
-    out[:, room : room + f.shape[1] - 1] = f[:, 1:]
-    out[:, room + 10] = lines
-    out[:, room + 11] = np.log1p(f[:, 0]) / 10
-    out[:, SIZE - 1] = 1
-    return out
-
-
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, least: float = 5.0) -> dict[tuple[int, ...], float]:
-    """Posterior of good for each pattern of votes, given how many documents have it.
-
-    A heuristic is taken to be better than chance: its vote against a text is at least `least` times as
-    likely on a bad one as on a good one, and its vote for a text is no less likely on a good one.
+    found = [(text, slot, np.maximum(np.bincount(text, minlength=n), 1)) for text, slot in _slots(words)]
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    key = np.concatenate([text * SIZE + slot for text, slot, _ in found])
+    key, place = np.unique(key, return_inverse=True)
+    return key // SIZE, key % SIZE, np.bincount(place, np.concatenate([1 / total[text] for text, _, total in found]))
+
+
+@dataclass(frozen=True)
+class Estimate:
+    """posterior of good for each pattern; for each heuristic its accuracy, the share of its votes that agree with the class, and the share of texts it votes on."""
+
+    posterior: dict[tuple[int, ...], float]
+    accuracy: list[float]
+    coverage: list[float]
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> Estimate:
+    """Expectation-maximisation over how many documents have each pattern of votes.
+
+    Every heuristic has a free probability of each vote, none included, in either class. The start is the share
+    of a pattern's votes that are good, with one vote for good; the class that more votes for good come from is the good one.
     """
     if not patterns:
-        return {}
+        return Estimate({}, [], [])
     v = np.array([p for p, _ in patterns])
     weight = np.array([n for _, n in patterns], dtype=np.float64)
-    post = np.where((v == 0).any(1), 0.1, 0.95)
+    good, bad = (v == 1).sum(1), (v == 0).sum(1)
+    post = (good + 1) / (good + 3 * bad + 1)
     for _ in range(rounds):
-        prior = np.clip((post * weight).sum() / weight.sum(), 0.01, 0.99)
+        prior = np.clip((post * weight).sum() / weight.sum(), 1e-6, 1 - 1e-6)
         odds = np.full(len(v), np.log(prior / (1 - prior)))
         for j in range(v.shape[1]):
-            good, bad = (np.array([(p * weight)[v[:, j] == x].sum() for x in range(3)]) + 0.1 for p in (post, 1 - post))
-            ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
-            ratio[0] = min(ratio[0], -np.log(least))
-            ratio[1] = max(ratio[1], 0.0)
-            odds += ratio[v[:, j]]
+            one, none = (np.bincount(v[:, j], p * weight, minlength=3) + 0.1 for p in (post, 1 - post))
+            odds += (np.log(one / one.sum()) - np.log(none / none.sum()))[v[:, j]]
         new = sigmoid(odds)
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-    return {p: float(x) for (p, _), x in zip(patterns, post)}
+    if (post * good * weight).sum() * ((1 - post) * weight).sum() < ((1 - post) * good * weight).sum() * (post * weight).sum():
+        post = 1 - post
+    agree = ((v == 1) * post[:, None] + (v == 0) * (1 - post)[:, None]) * weight[:, None]
+    votes_ = ((v < 2) * weight[:, None]).sum(0)
+    return Estimate({p: float(x) for (p, _), x in zip(patterns, post)}, (agree.sum(0) / np.maximum(votes_, 1)).tolist(), (votes_ / weight.sum()).tolist())
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,50 +170,60 @@ def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, row)) if n else None for row, n in zip(v.tolist(), f[:, 0])], pa.string())], names=["votes"])
 
 
-def _train(posterior: dict[tuple[int, ...], float], steps: int = 400):
+def _train(posterior: dict[tuple[int, ...], float], steps: int = 150):
     """Weights from the texts of a bounded sample, in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ys = [np.zeros((0, SIZE), np.float32)], [np.zeros(0)]
+        rows, columns, values, dense, ys = [], [], [], [np.zeros((0, FIGURES))], [np.zeros(0)]
+        n = 0
         for batch in small(batches, "text"):
             texts = batch.column("text").to_pylist()
             words = Words(texts)
             f, lines = figures(words), repeated_lines(texts)
-            some = f[:, 0] > 0
-            xs.append(_hashed(words, f, lines)[some])
-            ys.append(np.array([posterior.get(tuple(row), 0.5) for row in votes(f, lines)[some].tolist()]))
-        x, y = np.concatenate(xs), np.concatenate(ys).astype(np.float32)
-        scale = np.sqrt((x**2).mean(0)) + 1e-3 if len(y) else np.ones(SIZE, np.float32)
-        w = logistic(x / scale, y, steps=steps) / scale
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float64).tolist()], pa.list_(pa.float64()))], names=["weights"])
+            text, slot, share = _shares(words)
+            rows.append(text + n)
+            columns.append(slot)
+            values.append(share)
+            dense.append(_dense(f, lines))
+            ys.append(np.where(f[:, 0] > 0, [posterior.get(tuple(row), 0.5) for row in votes(f, lines).tolist()], 0.0))
+            n += len(texts)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        x, y = Rows(join(rows, np.int64), join(columns, np.int64), join(values, float), SIZE, np.concatenate(dense)), np.concatenate(ys)
+        scale = 1 / (np.sqrt(x.squares()) + 1e-2)
+        w = logistic(x.scaled(scale), y, l2=1e-3, steps=steps) * scale
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], names=["weights"])
 
     return run
 
 
 class Model:
-    def __init__(self, posterior: dict[tuple[int, ...], float], weights: np.ndarray):
-        self.posterior, self.weights = posterior, weights
+    """estimate: of the heuristics; weights: SIZE of hashed slots, then those of the figures."""
+
+    def __init__(self, found: Estimate, weights: np.ndarray):
+        self.estimate, self.weights = found, weights
 
     def score(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Scores, and posteriors of the weak labels."""
         words = Words(texts)
         f, lines = figures(words), repeated_lines(texts)
-        post = np.array([self.posterior.get(tuple(v), 0.5) for v in votes(f, lines).tolist()])
-        score = sigmoid(_hashed(words, f, lines).astype(np.float64) @ self.weights)
+        post = np.array([self.estimate.posterior.get(tuple(v), 0.5) for v in votes(f, lines).tolist()])
+        said = _dense(f, lines) @ self.weights[SIZE:]
+        for text, slot in _slots(words):
+            said += np.bincount(text, self.weights[slot], minlength=len(texts)) / np.maximum(np.bincount(text, minlength=len(texts)), 1)
         none = f[:, 0] == 0
-        return np.where(none, 0.0, score), np.where(none, 0.0, post)
+        return np.where(none, 0.0, sigmoid(said)), np.where(none, 0.0, post)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """EM over the vote patterns of all docs; the scorer is fit on at most `sample` of them."""
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     seen = texts.select("text").mapInArrow(_voted, "votes string").where("votes is not null").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # 3**9 at most
-    posterior = estimate(sorted((tuple(map(int, r.votes)), r.n) for r in seen))
+    found = estimate(sorted((tuple(map(int, r.votes)), r.n) for r in seen))
     mark = F.xxhash64("doc_id", "text")
     cut = texts.select(mark.alias("mark")).distinct().orderBy("mark").limit(sample).agg(F.max("mark")).first()[0]
     few = written(texts.where(mark <= F.lit(cut)).dropDuplicates(["doc_id", "text"]), "quality-sample") if cut is not None else texts.limit(0)
-    row = few.coalesce(1).mapInArrow(_train(posterior), "weights array<double>").first()
-    return Model(posterior, np.array(row.weights if row else [0.0] * SIZE))
+    row = few.coalesce(1).mapInArrow(_train(found.posterior), "weights array<double>").first()
+    return Model(found, np.array(row.weights if row else [0.0] * (SIZE + FIGURES)))
 
 
 def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:

@@ -1,20 +1,24 @@
 """Toxicity categories by a chain of linear models.
 
-Categories are predicted one after the other: each model sees the words of a text and the
-probabilities of all earlier categories.  In training these are out of fold, so later models meet earlier
-ones as they behave on unseen texts.  The last category is `toxic` itself; earlier ones are weak:
-a labelled toxic text belongs to them if it has one of their words.
+Categories are predicted one after the other: each model sees the words of a text, the beginnings of its words,
+and the probabilities of all earlier categories.  In training these are out of fold, so later models meet earlier
+ones as they behave on unseen texts; a fold chooses its features without the rows it leaves out, and equal texts lie in one fold.
+The last category is `toxic` itself.  Earlier ones are weak: a labelled toxic text is an insult or contempt if it has
+one of their seed words, and veiled if it has none of any.
 
 Models are fit on at most `sample` labelled documents, chosen by the hash of their id; every document is scored.
-Words are lower-cased runs of letters and digits, so that signs around a word do not hide it.  Model
-words are those most strongly tied to a category, at most WORDS each.
+Words are lower-cased runs of letters and digits, so that signs around a word do not hide it; beginnings of three to
+eight bytes stand for stems.  Features are all those significantly tied to a category.  A text is rejected above the
+probability that at most a share `spare` of the labelled clean texts reach out of fold.
 
 Null and empty texts have probability 0. Labels that are null count as not labelled; an id with several labels has the
-highest. Without labels of both kinds nothing is toxic. Rows may repeat, ids may be null; extra columns pass through `kept_clean`.
+highest, one with several texts the smallest. Without labels of both kinds nothing is toxic. Texts of any length are read
+whole. Rows may repeat, ids may be null; extra columns of any name pass through `kept_clean`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,19 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._linear import logistic, sigmoid
+from ._linear import Rows, logistic, sigmoid
 from ._shared import small, written
-from ._words import Words
+from ._words import Words, _span_hash, mix64
 
 # Seed words of the weak categories.
-CATEGORIES = {
+SEEDS = {
     "insult": ("idiot", "moron", "clown", "loser", "stupid"),
     "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting"),
 }
-CHAIN = [*CATEGORIES, "toxic"]
+CHAIN = [*SEEDS, "veiled", "toxic"]
 SAMPLE = 12000
-WORDS = 96
 FOLDS = 5
+STEMS = range(3, 9)
 _BREAK = np.ones(256, dtype=bool)
 _BREAK[48:58] = _BREAK[65:91] = _BREAK[97:123] = _BREAK[128:] = False
 
@@ -43,121 +47,173 @@ def _read(texts: list) -> Words:
     return Words(texts, lower=True, space=_BREAK)
 
 
-_SEEDS = {name: np.concatenate([_read([w]).hashes for w in words]) for name, words in CATEGORIES.items()}
+_SEED_HASHES = {name: np.sort(np.concatenate([_read([w]).hashes for w in words])) for name, words in SEEDS.items()}
 
 
-def _presence(words: Words, model: np.ndarray) -> np.ndarray:
-    """1 where a text has a model word; model is sorted."""
-    out = np.zeros((len(words.first) - 1, len(model)), dtype=np.float32)
-    if len(model) and len(words.hashes):
-        at = np.minimum(np.searchsorted(model, words.hashes), len(model) - 1)
-        hit = model[at] == words.hashes
-        text = np.repeat(np.arange(len(out)), np.diff(words.first))
-        out[text[hit], at[hit]] = 1
-    return out
+def _features(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, feature) of whole words, then of the beginnings of longer ones, length by length."""
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    yield text, words.hashes
+    for k in STEMS:
+        long = words.ends - words.starts > k
+        yield text[long], mix64(_span_hash(words.data, words.starts[long], words.starts[long] + k) + np.uint64(k))
+
+
+def _among(model: np.ndarray, text: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, place in model) of features that model, which is sorted, has."""
+    if not len(model) or not len(feature):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(model, feature), len(model) - 1)
+    hit = model[at] == feature
+    pair = np.unique(text[hit] * len(model) + at[hit])
+    return pair // len(model), pair % len(model)
+
+
+def _presence(words: Words, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = [_among(model, *x) for x in _features(words)]
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
 class Chain:
-    """links: for each category its model words, and weights of words, earlier categories and the constant."""
+    """links: for each category its model features, and weights of these, earlier categories and the constant; cut: least probability of toxic texts."""
 
-    def __init__(self, links: list[tuple[np.ndarray, np.ndarray]]):
-        self.links = links
+    def __init__(self, links: list[tuple[np.ndarray, np.ndarray]], cut: float):
+        self.links, self.cut = links, cut
 
     def score(self, texts: list) -> np.ndarray:
         words = _read(texts)
-        out = np.zeros((len(texts), 0))
+        n = len(texts)
+        every = np.unique(np.concatenate([m for m, _ in self.links]))
+        text, at = _presence(words, every)
+        out = np.zeros((n, 0))
         for model, weights in self.links:
-            x = np.concatenate([_presence(words, model), out, np.ones((len(texts), 1))], axis=1)
-            out = np.concatenate([out, sigmoid(x @ weights)[:, None]], axis=1)
+            own = np.zeros(len(every))
+            own[np.searchsorted(every, model)] = weights[: len(model)]
+            said = np.bincount(text, own[at], minlength=n) + np.append(out, np.ones((n, 1)), axis=1) @ weights[len(model) :]
+            out = np.append(out, sigmoid(said)[:, None], axis=1)
         out[np.diff(words.first) == 0] = 0
         return out
 
 
-def _strongest(text: np.ndarray, ids: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Places in 0..ids.max() of the words most tied to y, one-sided z values, best first."""
+def _tied(x: Rows, y: np.ndarray) -> np.ndarray:
+    """Mask of the features that are more frequent where y, by four deviations and on three texts at least."""
     n, p = len(y), max(y.sum(), 1)
-    a = np.bincount(ids, weights=y[text])
-    all_ = np.bincount(ids, minlength=len(a))
+    a, all_ = np.bincount(x.column, y[x.row], minlength=x.width), np.bincount(x.column, minlength=x.width)
     share = all_ / n
     z = (a / p - (all_ - a) / max(n - p, 1)) / np.sqrt(share * (1 - share) * (1 / p + 1 / max(n - p, 1)) + 1e-12)
-    z[a < 3] = 0
-    best = np.argsort(-z, kind="stable")[:WORDS]
-    return best[z[best] > 4]
+    return (a >= 3) & (z > 4)
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links from the word hashes of each text and its toxic label."""
-    n = len(texts)
+def _link(x: Rows, y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of features, and weights; both classes weigh the same."""
+    n, p = len(y), max(y.sum(), 1)
+    pick = _tied(x, y)
+    return pick, logistic(x.of(np.ones(n, bool), pick), y, l1=0.007 / max(n, 1) ** 0.5, l2=1e-4, steps=steps, weight=1 + y * ((n - y.sum()) / p - 1))
+
+
+def train(features: np.ndarray, row: np.ndarray, column: np.ndarray, labels: np.ndarray, groups: np.ndarray, spare: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
+    """Links and cut from (row, column) of the features of each text, its toxic label, and a number that equal texts share."""
+    n = len(labels)
     if not n or labels.min() == labels.max():
-        return [(np.empty(0, np.uint64), np.append(np.zeros(k), -30.0)) for k in range(len(CHAIN))]
-    vocabulary, ids = np.unique(np.concatenate(texts), return_inverse=True)
-    text = np.repeat(np.arange(n), [len(t) for t in texts])
-    fold = np.arange(n) % FOLDS
-    links, earlier = [], np.zeros((n, 0), np.float32)
+        return [(np.empty(0, np.uint64), np.append(np.zeros(k), -30.0)) for k in range(len(CHAIN))], 0.5
+    seeded = {name: np.bincount(row, np.isin(features, own)[column], minlength=n) > 0 for name, own in _SEED_HASHES.items()}
+    seeded["veiled"] = ~np.logical_or.reduce(list(seeded.values()))
+    fold = (mix64(groups) % np.uint64(FOLDS)).astype(int)
+    links, earlier = [], np.zeros((n, 0))
     for name in CHAIN:
-        y = labels.astype(np.float32)
-        if name in _SEEDS:
-            has = np.bincount(text, weights=np.isin(vocabulary, _SEEDS[name])[ids], minlength=n) > 0
-            y = y * has
-        pick = _strongest(text, ids, y)
-        pick = pick[np.argsort(vocabulary[pick])]
-        slot = np.full(len(vocabulary), -1)
-        slot[pick] = np.arange(len(pick))
-        x = np.zeros((n, len(pick)), dtype=np.float32)
-        hit = slot[ids] >= 0
-        x[text[hit], slot[ids[hit]]] = 1
-        x = np.concatenate([x, earlier, np.ones((n, 1), np.float32)], axis=1)
-        l1 = 0.03 / n**0.5
-        even = 1 + y * ((n - y.sum()) / max(y.sum(), 1) - 1)  # both classes weigh the same
-        links.append((vocabulary[pick], logistic(x, y, l1=l1, l2=1e-5, steps=400, weight=even).astype(np.float64)))
-        unseen = np.zeros(n, dtype=np.float32)
+        y = labels * seeded.get(name, True)
+        x = Rows(row, column, np.ones(len(row)), len(features), np.append(earlier, np.ones((n, 1)), axis=1))
+        pick, weights = _link(x, y, 400)
+        links.append((features[pick], weights))
+        unseen = np.zeros(n)
         for k in range(FOLDS):
             out = fold == k
-            unseen[out] = sigmoid(x[out] @ logistic(x[~out], y[~out], l1=l1, l2=1e-5, steps=200, weight=even[~out]))
-        earlier = np.concatenate([earlier, unseen[:, None]], axis=1)
-    return links
+            if out.any() and not out.all():
+                pick, weights = _link(x.of(~out), y[~out], 200)
+                unseen[out] = sigmoid(x.of(out, pick).dot(weights))
+        earlier = np.append(earlier, unseen[:, None], axis=1)
+    clean = np.sort(earlier[labels == 0, -1])
+    return links, float(min(max(clean[math.ceil((1 - spare) * (len(clean) - 1))] + 1e-6, 0.5), 0.99))
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, labels = [], []
-    for batch in small(batches, "text"):
-        words = _read(batch.column("text").to_pylist())
-        texts += [np.unique(words.of(i)) for i in range(batch.num_rows)]
-        labels.append(batch.column("toxic").to_numpy())
-    links = train(texts, np.concatenate(labels) if labels else np.empty(0))
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(links)), pa.int32()), pa.array([m.view(np.int64).tolist() for m, _ in links], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in links], pa.list_(pa.float64()))], names=["link", "words", "weights"])
+def _train(spare: float):
+    """From rows of the sample, toxic ones first: only features of three toxic texts can be tied to a category."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = None, []
+        rows, columns, labels, groups = [], [], [], []
+        n = 0
+
+        def candidates() -> np.ndarray:
+            found, times = np.unique(np.concatenate([f for _, f in held]), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
+            found = found[times >= 3]
+            for t, f in held:
+                at = np.searchsorted(found, f)
+                some = (at < len(found)) & (found[np.minimum(at, max(len(found) - 1, 0))] == f) if len(found) else np.zeros(len(f), bool)
+                rows.append(t[some])
+                columns.append(at[some])
+            held.clear()
+            return found
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
+        for batch in small(batches, "text"):
+            words, toxic = _read(batch.column("text").to_pylist()), batch.column("toxic").to_numpy()
+            clean = np.flatnonzero(toxic == 0)
+            if known is None:
+                text, feature = (np.concatenate(x) for x in zip(*_features(words)))
+                some = toxic[text] != 0
+                order = np.lexsort((feature[some], text[some]))
+                text, feature = text[some][order], feature[some][order]
+                new = np.append(True, (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])) if len(text) else np.empty(0, bool)
+                held.append((text[new] + n, feature[new]))
+                if len(clean):
+                    known = candidates()
+            if len(clean):
+                text, at = _presence(words, known)
+                some = toxic[text] == 0
+                rows.append(text[some] + n)
+                columns.append(at[some])
+            labels.append(toxic.astype(float))
+            groups.append(batch.column("mark").to_numpy().view(np.uint64))
+            n += batch.num_rows
+        known = candidates() if known is None else known
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        links, cut = train(known, join(rows, np.int64), join(columns, np.int64), join(labels, float), join(groups, np.uint64), spare)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(links)), pa.int32()), pa.array([m.view(np.int64).tolist() for m, _ in links], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in links], pa.list_(pa.float64())), pa.array([cut] * len(links))], names=["link", "words", "weights", "cut"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spare: float = 0.003) -> Chain:
     """A chain fit on at most `sample` labelled rows of docs."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     present = known.select("doc_id").join(texts.select("doc_id").distinct(), "doc_id")
     chosen = written(known.join(present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "doc_id"), "toxic-labels")
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # at most `sample` small rows
-    rows = written(rows, "toxic-sample")
-    got = rows.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "toxic").mapInArrow(_train, "link int, words array<long>, weights array<double>").collect()
-    return Chain([(np.array(r.words, dtype=np.int64).view(np.uint64), np.array(r.weights)) for r in sorted(got, key=lambda r: r.link)])
+    rows = written(rows.withColumn("mark", F.xxhash64("text")), "toxic-sample")
+    few = rows.coalesce(1).sortWithinPartitions(F.desc("toxic"), F.xxhash64("doc_id"), "doc_id").select("text", "toxic", "mark")
+    got = sorted(few.mapInArrow(_train(spare), "link int, words array<long>, weights array<double>, cut double").collect(), key=lambda r: r.link)
+    return Chain([(np.array(r.words, dtype=np.int64).view(np.uint64), np.array(r.weights)) for r in got], got[0].cut)
 
 
-def scored(docs: DataFrame, chain: Chain, most: float = 0.9) -> DataFrame:
+def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, p_<category> for each category, toxic) for every row of docs."""
     names = ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
             p = chain.score(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in p.T), pa.array(p[:, -1] >= most)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in p.T), pa.array(p[:, -1] >= chain.cut)], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, ", ".join(["doc_id long", *(f"{c} double" for c in names[1:-1]), "toxic boolean"]))
 
 
-def kept_clean(docs: DataFrame, chain: Chain, most: float = 0.9) -> DataFrame:
+def kept_clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of docs, all columns, that are not toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, "text"):
-            yield batch.filter(pa.array(chain.score(batch.column("text").to_pylist())[:, -1] < most))
+            yield batch.filter(pa.array(chain.score(batch.column("text").to_pylist())[:, -1] < chain.cut))
 
     return docs.mapInArrow(run, docs.schema)
