@@ -139,15 +139,24 @@ def test_bpe_round_trip(spark):
     import public_tokenizers as p
     import tiktoken
 
-    from tidemark.llm.bpe import Merges, encode_decode, read_ranks
+    from tidemark.llm.bpe import Merges, digests, encode_decode, read_ranks
 
     path = p.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     real = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = documents() + [(200, "aaaaaaaaaaaaaaaaaaaaaaa" * 40 + " ababababab zzzzz...... \x00\x01"), (201, "".join(chr(i) for i in range(1, 3000)))]
-    for r in encode_decode(frame(spark, rows), path, p.PATTERN).collect():
-        text = next(t for i, t in rows if i == r.doc_id) or ""
-        assert list(r.ids) == real.encode_ordinary(text) and bytes(r.decoded).decode() == text
+    for chunk in (1, 1 << 20):  # 1: a chunk for every few texts
+        got = encode_decode(frame(spark, rows), path, p.PATTERN, chunk=chunk).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
+        for r in got:
+            text = next(t for i, t in rows if i == r.doc_id) or ""
+            assert list(r.ids) == real.encode_ordinary(text) and bytes(r.decoded).decode() == text
+    short = {r.doc_id: r for r in digests(frame(spark, rows), path, p.PATTERN).collect()}
+    for i, text in rows:
+        ids = real.encode_ordinary(text or "")
+        assert short[i].n_tokens == len(ids) and short[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert short[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+    assert digests(frame(spark, []), path, p.PATTERN).count() == 0
     # a vocabulary out of training order, in which merges make pairs of lower rank
     odd = {bytes([b]): 300 + b for b in range(256)} | {b"ab": 9, b"abc": 2, b"bc": 10, b"cab": 1, b"ca": 12}
     merges = Merges(odd)

@@ -1,14 +1,17 @@
-"""Byte-level BPE encoding by merge replay over a corpus, and decoding.
+"""Byte-level BPE encoding by merge replay over the corpus, and decoding.
 
-A task collects the distinct words of its texts, those not met before, and encodes them
-together: all words lie in one array of tokens, an inverted index leads from each pair's rank to the
-places where it stands, and ranks are applied in rising order to all their places at once.  A
-merge only touches its two neighbours, whose new pairs enter the index.  Overlapping places are taken from
+Every distinct word of the corpus is encoded once.  Texts are first split into words; a chunk of texts becomes a file of
+numbers in a dictionary of its own, and only the dictionaries travel.  Their entries are dealt out by word, so that each word
+meets in one task, whatever number of chunks have it.  There all words lie in one array of tokens, an inverted index
+leads from each pair's rank to the places where it stands, and ranks are applied in rising order to all their
+places at once.  A merge only touches its two neighbours, whose new pairs enter the index.  Overlapping places are taken from
 the left.  Should a merge make a pair of lower rank than its own, which vocabularies out of training
-order allow, that word is encoded by itself, smallest rank first.
+order allow, that word is encoded by itself, smallest rank first.  Encoded dictionaries then go back to their chunks,
+whose files are read again and turned into ids.
 
-Texts need no shuffle.  Encoded words are kept for later batches, at most `keep` of them.  Whole texts are
-encoded.  Null texts are empty, with no ids.  Rows may repeat; extra columns are ignored.
+A chunk lists a word once, so no word is a hot key; texts are never shuffled. Each attempt of a task has files of its own, and only
+those in the table that Spark commits are read. Whole texts are encoded, of any length. Null and empty texts have no ids.
+Rows may repeat, each is encoded; ids may be null; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +24,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._encode import read_ranks
-from ._shared import small
+from ._shared import file_system, new_path, small, written
 
 _NONE = 1 << 30
 _FEW = 24
+CHUNK = 32 << 20  # bytes of text, at least
+REPLAY = 4 << 20  # bytes of words
+DOCUMENTS = 1 << 20  # words
 
 
 def _distinct(parts: list) -> np.ndarray:
@@ -170,50 +178,181 @@ class Merges:
                             heappush(heap, value)
                         index[value].append((a,))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, keep: int) -> Iterator[tuple[pa.Array, list[list[int]], list[str], list[bytes]]]:
-    """For each small batch: doc_id, ids, the ids as text, and the decoded bytes."""
-    import regex
-
-    merges, split = Merges(read_ranks(ranks_path)), regex.compile(pattern).findall
-    known: dict[str, list[int]] = {}
-    named: dict[str, str] = {}
-    for batch in small(batches, "text", 8 << 20):
-        found = [split(t) if t else [] for t in batch.column("text").to_pylist()]
-        new = list(set().union(*found).difference(known))
-        if len(known) + len(new) > keep:
-            known.clear()
-            named.clear()
-            new = list(set().union(*found))
-        if new:
-            got = merges.replay([w.encode("utf-8", "surrogatepass") for w in new])
-            known.update(zip(new, got))
-            named.update(zip(new, [" ".join(map(str, x)) for x in got]))
-        ids = [list(chain.from_iterable(map(known.__getitem__, words))) for words in found]
-        yield batch.column("doc_id"), ids, [" ".join(map(named.__getitem__, words)) for words in found], [merges.decode(x) for x in ids]
-
-
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, keep: int = 1_000_000) -> DataFrame:
-    """(doc_id, ids, decoded) for every row of docs (doc_id, text, ...)."""
+
+class _Places(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _file(root: str, number: int) -> str:
+    return f"{root}/chunk-{number}.arrow"
+
+
+_CHUNK = pa.schema([("doc_id", pa.int64()), ("places", pa.list_(pa.uint32()))])
+
+
+def _split(folder: str, pattern: str, least: int):
+    """Files of places, and the words that they stand for; the first row of a chunk has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        split = regex.compile(pattern).findall
+        store, root = file_system(folder)
+        store.create_dir(root, recursive=True)
+        number, size = TaskContext.get().taskAttemptId() << 20, 0
+        index, writer, sink = _Places(), None, None
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            n = len(index)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, number)), pa.array(np.arange(-1, n, dtype=np.int32)), pa.array([None, *index], pa.string())], names=["chunk", "pos", "word"])
+
+        for batch in small(batches, "text"):
+            if writer is None:
+                sink = store.open_output_stream(_file(root, number), compression=None)
+                writer = pa.ipc.new_file(sink, _CHUNK, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            found = [split(t) if t else [] for t in batch.column("text").to_pylist()]
+            ends = np.zeros(len(found) + 1, dtype=np.int32)
+            np.cumsum([len(words) for words in found], out=ends[1:])
+            places = np.fromiter(map(index.__getitem__, chain.from_iterable(found)), np.uint32, int(ends[-1]))
+            writer.write_batch(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(places))], schema=_CHUNK))
+            size += batch.column("text").nbytes
+            if size >= least:
+                yield closed()
+                number, size, index, writer = number + 1, 0, _Places(), None
+        if writer is not None:
+            yield closed()
+
+    return run
+
+
+def _replayed(ranks_path: str):
+    """The ids of each word of rows sorted by word, each distinct word replayed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, _, decoded in _encoded(batches, ranks_path, pattern, keep):
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "decoded"])
+        merges = Merges(read_ranks(ranks_path))
+
+        def encoded(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            word = rows.column("word").combine_chunks().dictionary_encode()
+            ids = pa.array(merges.replay([w.encode("utf-8", "surrogatepass") for w in word.dictionary.to_pylist()]), pa.list_(pa.int32()))
+            yield from pa.table({"chunk": rows.column("chunk"), "pos": rows.column("pos"), "ids": ids.take(word.indices)}).to_batches()
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= REPLAY:
+                yield from encoded(held)
+                held, size = [], 0
+        if held:
+            yield from encoded(held)
+
+    return run
 
+
+def _runs(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, as many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _documents(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_id, first token of each document and the end, ids) of bounded runs of documents, from encoded dictionaries sorted by chunk and place."""
+    store, root = file_system(folder)
+
+    def chunk(number: int, parts: list[pa.Array]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        words = pa.concat_arrays(parts)
+        first = words.offsets.to_numpy()[1:].astype(np.int64) - words.offsets[0].as_py()  # the first row is no word
+        ids, sizes = words.flatten().to_numpy(), np.diff(first)
+        with store.open_input_file(_file(root, number)) as source:
+            reader = pa.ipc.open_file(source)
+            for i in range(reader.num_record_batches):
+                batch = reader.get_batch(i)
+                ends, places = batch.column("places").offsets.to_numpy().astype(np.int64), batch.column("places").values.to_numpy()
+                at = 0
+                while at < batch.num_rows:
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + DOCUMENTS, side="right")) - 1)
+                    own = places[ends[at] : ends[to]]
+                    n = sizes[own]
+                    total = np.append(0, np.cumsum(n))
+                    yield batch.column("doc_id").slice(at, to - at), total[ends[at : to + 1] - ends[at]], ids[_runs(n, first[own])]
+                    at = to
+
+    now, held = None, []
+    for batch in batches:
+        numbers = batch.column("chunk").to_numpy()
+        edges = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo == hi:
+                continue
+            if held and numbers[lo] != now:
+                yield from chunk(now, held)
+                held = []
+            now = int(numbers[lo])
+            held.append(batch.column("ids").slice(lo, hi - lo))
+    if held:
+        yield from chunk(now, held)
+
+
+class _Vocabulary:
+    """Bytes and decimal digits of ids, for whole arrays of them."""
+
+    def __init__(self, ranks_path: str):
+        ranks = read_ranks(ranks_path)
+        tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, i in ranks.items():
+            tokens[i] = token
+        self.tokens, self.numbers = pa.array(tokens, pa.binary()), pa.array([b"%d " % i for i in range(len(tokens))], pa.binary())
+
+    @staticmethod
+    def joined(kind: pa.Array, ids: np.ndarray, first: np.ndarray) -> tuple[memoryview, list[int]]:
+        """What ids stand for, one after the other, and where the documents that begin at `first` do."""
+        found = pc.take(kind, pa.array(ids))
+        ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1, 4 * found.offset) if len(found) else np.zeros(1, np.int32)
+        return memoryview(found.buffers()[2] or b""), ends[first].tolist()
+
+
+def _entries(docs: DataFrame, folder: str, ranks_path: str, pattern: str, least: int) -> DataFrame:
+    """(chunk, pos, ids) of the dictionaries of all chunks, in the order in which _documents() reads them."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    words = written(texts.mapInArrow(_split(folder, pattern, least), "chunk long, pos int, word string"), "bpe-words")
+    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_replayed(ranks_path), "chunk long, pos int, ids array<int>")
+    return ids.repartition("chunk").sortWithinPartitions("chunk", "pos")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, keep: int = 1_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, ids, decoded) for every row of docs (doc_id, text, ...)."""
+    folder = new_path(docs.sparkSession, "bpe")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Vocabulary(ranks_path)
+        for doc_id, first, ids in _documents(folder, batches):
+            text, ends = known.joined(known.tokens, ids, first)
+            decoded = pa.array([bytes(text[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32())), decoded], names=["doc_id", "ids", "decoded"])
+
+    return _entries(docs, folder, ranks_path, pattern, chunk).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode_decode returns, in short."""
+    folder = new_path(docs.sparkSession, "bpe")
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, ids, text, decoded in _encoded(batches, ranks_path, pattern, keep):
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(x.encode()) for x in text]), pa.array([sha(x) for x in decoded])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        known = _Vocabulary(ranks_path)
+        for doc_id, first, ids in _documents(folder, batches):
+            text, ends = known.joined(known.tokens, ids, first)
+            said, stops = known.joined(known.numbers, ids, first)
+            yield pa.RecordBatch.from_arrays(
+                [doc_id, pa.array(np.diff(first)), pa.array([sha(said[a : max(a, b - 1)]) for a, b in zip(stops, stops[1:])]), pa.array([sha(text[a:b]) for a, b in zip(ends, ends[1:])])],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _entries(docs, folder, ranks_path, pattern, chunk).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
