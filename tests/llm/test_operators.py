@@ -145,8 +145,8 @@ def test_bpe_round_trip(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     real = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rows = documents() + [(200, "aaaaaaaaaaaaaaaaaaaaaaa" * 40 + " ababababab zzzzz...... \x00\x01"), (201, "".join(chr(i) for i in range(1, 3000)))]
-    for chunk in (1, 1 << 20):  # 1: a chunk for every few texts
-        got = encode_decode(frame(spark, rows), path, p.PATTERN, chunk=chunk).collect()
+    for chunk, keep in ((1, 3), (1 << 20, 1000)):  # 1: a chunk for every few texts
+        got = encode_decode(frame(spark, rows), path, p.PATTERN, chunk=chunk, keep=keep).collect()
         assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
         for r in got:
             text = next(t for i, t in rows if i == r.doc_id) or ""

@@ -1,15 +1,16 @@
 """Byte-level BPE encoding by merge replay over the corpus, and decoding.
 
 Every distinct word of the corpus is encoded once.  Texts are first split into words; a chunk of texts becomes a file of
-numbers in a dictionary of its own, and only the dictionaries travel.  Their entries are dealt out by word, so that each word
-meets in one task, whatever number of chunks have it.  There all words lie in one array of tokens, an inverted index
+numbers in a dictionary of its own, and only the dictionaries travel.  Their entries are dealt out by the words' hash, packed by
+bucket, so that a word meets itself in one task, whatever number of chunks have it.  There all words lie in one array of tokens, an inverted index
 leads from each pair's rank to the places where it stands, and ranks are applied in rising order to all their
 places at once.  A merge only touches its two neighbours, whose new pairs enter the index.  Overlapping places are taken from
 the left.  Should a merge make a pair of lower rank than its own, which vocabularies out of training
 order allow, that word is encoded by itself, smallest rank first.  Encoded dictionaries then go back to their chunks,
 whose files are read again and turned into ids.
 
-A chunk lists a word once, so no word is a hot key; texts are never shuffled. Each attempt of a task has files of its own, and only
+A chunk lists a word once, so no word is a hot key; texts are never shuffled. A task keeps encoded words, `keep` at most, and replays one
+again if it comes back after that. Each attempt of a task has files of its own, and only
 those in the table that Spark commits are read. Whole texts are encoded, of any length. Null and empty texts have no ids.
 Rows may repeat, each is encoded; ids may be null; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -21,6 +22,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from ._shared import file_system, new_path, small, written
 _NONE = 1 << 30
 _FEW = 24
 CHUNK = 32 << 20  # bytes of text, at least
-REPLAY = 4 << 20  # bytes of words
+BUCKETS = 2048  # at least
+REPLAY = 1000  # packed buckets
 DOCUMENTS = 1 << 20  # words
 
 
@@ -194,8 +197,21 @@ def _file(root: str, number: int) -> str:
 _CHUNK = pa.schema([("doc_id", pa.int64()), ("places", pa.list_(pa.uint32()))])
 
 
-def _split(folder: str, pattern: str, least: int):
-    """Files of places, and the words that they stand for; the first row of a chunk has none."""
+def _blob(sizes: np.ndarray, pos: np.ndarray, data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.compress(sizes.astype("<u4").tobytes() + np.diff(pos, prepend=0).astype("<i4").tobytes() + data, 1)
+
+
+def _unblob(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    return np.frombuffer(raw, "<u4", n), np.cumsum(np.frombuffer(raw, "<i4", n, 4 * n)), raw[8 * n :]
+
+
+def _split(folder: str, pattern: str, least: int, buckets: int):
+    """Files of places, and the words that they stand for, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -209,8 +225,16 @@ def _split(folder: str, pattern: str, least: int):
         def closed() -> pa.RecordBatch:
             writer.close()
             sink.close()
-            n = len(index)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, number)), pa.array(np.arange(-1, n, dtype=np.int32)), pa.array([None, *index], pa.string())], names=["chunk", "pos", "word"])
+            words = [w.encode("utf-8", "surrogatepass") for w in index]
+            bucket = np.fromiter(map(crc32, words), np.int64, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            runs = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)  # one empty run where there are no words
+            packed = [[words[i] for i in run] for run in runs]
+            blobs = [_blob(np.fromiter(map(len, own), np.int64, len(own)), run, b"".join(own)) for run, own in zip(runs, packed)]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(runs), number)), pa.array([int(bucket[run[0]]) if len(run) else 0 for run in runs], pa.int32()), pa.array([len(run) for run in runs], pa.int32()), pa.array(blobs, pa.binary())],
+                names=["chunk", "bucket", "n", "packed"],
+            )
 
         for batch in small(batches, "text"):
             if writer is None:
@@ -231,27 +255,30 @@ def _split(folder: str, pattern: str, least: int):
     return run
 
 
-def _replayed(ranks_path: str):
-    """The ids of each word of rows sorted by word, each distinct word replayed once."""
+def _replayed(ranks_path: str, keep: int):
+    """The ids of each packed word; a word is replayed when it is first met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = Merges(read_ranks(ranks_path))
-
-        def encoded(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            word = rows.column("word").combine_chunks().dictionary_encode()
-            ids = pa.array(merges.replay([w.encode("utf-8", "surrogatepass") for w in word.dictionary.to_pylist()]), pa.list_(pa.int32()))
-            yield from pa.table({"chunk": rows.column("chunk"), "pos": rows.column("pos"), "ids": ids.take(word.indices)}).to_batches()
-
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= REPLAY:
-                yield from encoded(held)
-                held, size = [], 0
-        if held:
-            yield from encoded(held)
+        known: dict[bytes, list[int]] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, REPLAY):
+                batch = whole.slice(at, REPLAY)
+                rows = []
+                for n, blob in zip(batch.column("n").to_pylist(), batch.column("packed").to_pylist()):
+                    sizes, pos, data = _unblob(blob, n)
+                    ends = np.cumsum(sizes).tolist()
+                    rows.append((pos, [data[a:b] for a, b in zip([0, *ends], ends)]))
+                every = set().union(*(words for _, words in rows))
+                if len(known) + len(every) > keep:
+                    known.clear()
+                new = list(every.difference(known))
+                known.update(zip(new, merges.replay(new)))
+                out = []
+                for pos, words in rows:
+                    ids = [known[w] for w in words]
+                    out.append(_blob(np.fromiter(map(len, ids), np.int64, len(ids)), pos, np.fromiter(chain.from_iterable(ids), "<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), pa.array(out, pa.binary())], names=["chunk", "n", "ids"])
 
     return run
 
@@ -263,13 +290,15 @@ def _runs(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _documents(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(doc_id, first token of each document and the end, ids) of bounded runs of documents, from encoded dictionaries sorted by chunk and place."""
+    """(doc_id, first token of each document and the end, ids) of bounded runs of documents, from encoded dictionaries sorted by chunk."""
     store, root = file_system(folder)
 
-    def chunk(number: int, parts: list[pa.Array]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-        words = pa.concat_arrays(parts)
-        first = words.offsets.to_numpy()[1:].astype(np.int64) - words.offsets[0].as_py()  # the first row is no word
-        ids, sizes = words.flatten().to_numpy(), np.diff(first)
+    def chunk(number: int, parts: list[tuple[int, bytes]]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+        sizes, pos, data = zip(*(_unblob(blob, n) for n, blob in parts))
+        sizes, order, ids = np.concatenate(sizes).astype(np.int64), np.argsort(np.concatenate(pos)), np.frombuffer(b"".join(data), "<u4")
+        ids = ids[_runs(sizes[order], (np.cumsum(sizes) - sizes)[order])]
+        sizes = sizes[order]
+        first = np.cumsum(sizes) - sizes
         with store.open_input_file(_file(root, number)) as source:
             reader = pa.ipc.open_file(source)
             for i in range(reader.num_record_batches):
@@ -295,7 +324,8 @@ def _documents(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple
                 yield from chunk(now, held)
                 held = []
             now = int(numbers[lo])
-            held.append(batch.column("ids").slice(lo, hi - lo))
+            part = batch.slice(lo, hi - lo)
+            held += zip(part.column("n").to_pylist(), part.column("ids").to_pylist())
     if held:
         yield from chunk(now, held)
 
@@ -318,15 +348,16 @@ class _Vocabulary:
         return memoryview(found.buffers()[2] or b""), ends[first].tolist()
 
 
-def _entries(docs: DataFrame, folder: str, ranks_path: str, pattern: str, least: int) -> DataFrame:
-    """(chunk, pos, ids) of the dictionaries of all chunks, in the order in which _documents() reads them."""
+def _entries(docs: DataFrame, folder: str, ranks_path: str, pattern: str, least: int, keep: int) -> DataFrame:
+    """(chunk, n, ids) of the dictionaries of all chunks, in the order in which _documents() reads them."""
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = written(texts.mapInArrow(_split(folder, pattern, least), "chunk long, pos int, word string"), "bpe-words")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_replayed(ranks_path), "chunk long, pos int, ids array<int>")
-    return ids.repartition("chunk").sortWithinPartitions("chunk", "pos")
+    words = written(texts.mapInArrow(_split(folder, pattern, least, buckets), "chunk long, bucket int, n int, packed binary"), "bpe-words")
+    ids = words.repartition("bucket").mapInArrow(_replayed(ranks_path, keep), "chunk long, n int, ids binary")
+    return ids.repartition("chunk").sortWithinPartitions("chunk")
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, keep: int = 1_000_000) -> DataFrame:
     """(doc_id, ids, decoded) for every row of docs (doc_id, text, ...)."""
     folder = new_path(docs.sparkSession, "bpe")
 
@@ -337,10 +368,10 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = C
             decoded = pa.array([bytes(text[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32())), decoded], names=["doc_id", "ids", "decoded"])
 
-    return _entries(docs, folder, ranks_path, pattern, chunk).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return _entries(docs, folder, ranks_path, pattern, chunk, keep).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, keep: int = 1_000_000) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode_decode returns, in short."""
     folder = new_path(docs.sparkSession, "bpe")
     sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -355,4 +386,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK)
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _entries(docs, folder, ranks_path, pattern, chunk).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _entries(docs, folder, ranks_path, pattern, chunk, keep).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
