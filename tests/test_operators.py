@@ -11,12 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as X
-from tidemark.operators import cleaning, engine, models, returns, robustness
+from tidemark.operators import cleaning, engine, longshort, models, places, returns, robustness
 from tidemark.operators.engine import Scenario
 from tidemark.plans.registry import ORACLE, QUERIES, _year_scenarios
+from tidemark.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
-SOME = ["clean_normalize", "effective_trade_date", "rolling_features", "caar", "bh_fdr", "purged_folds", "quantile_ls_daily", "ls_pairs", "active_book", "vol_target", "engine_summary", "shuffled_labels"]
+SOME = ["quantile_ls_gaps", "ls_pairs_gaps", "costed_eventlevel_gaps", "signal_trades_gaps", "ar_panel", "costed_grid", "cv_metrics", "effective_exchange_date", "clean_normalize", "effective_trade_date", "rolling_features", "caar", "bh_fdr", "purged_folds", "quantile_ls_daily", "ls_pairs", "active_book", "vol_target", "engine_summary", "shuffled_labels"]
 
 
 def cells(rows):
@@ -187,7 +188,7 @@ def events_of_days(spark, per_day):
         day = dt.date(2024, 1, 1) + dt.timedelta(i // per_day)
         form, bucket = rng.choice("AB"), rng.choice(["open", "close", "late"])
         rows.append((i, form, bucket, day, rng.gauss(0, 1) + day.weekday() + (bucket == "late"), *(rng.gauss(0, 2) for _ in models.FEATURES), day.weekday(), day.month))
-    return rows, spark.createDataFrame(rows, f"event_id long, form string, session_bucket string, trade_date date, y double, {', '.join(c + ' double' for c in models.FEATURES)}, dow long, month long")
+    return rows, spark.createDataFrame(rows, f"event_id long, form string, session_bucket string, trade_date date, y double, {', '.join(c + ' double' for c in models.FEATURES)}, dow long, month long").withColumn("ticker", F.lit("T"))
 
 
 def test_ridge_against_closed_form(spark):
@@ -208,3 +209,102 @@ def test_boosting_has_no_gate(spark):
     assert inspect.signature(models.walk_forward).parameters["trees"].default == 600
     rows, data = events_of_days(spark, 2)
     assert {r.event_id for r in models.walk_forward(data, "gbt", splits=2, trees=12).collect()} == {r[0] for r in rows if r[3] >= dt.date(2024, 1, 21)}
+
+
+NAN = float("nan")
+
+
+def test_missing_predictions_never_trade(spark):
+    day = dt.date(2024, 1, 2)
+    preds = [(1, "A", 0.9), (2, "B", None), (3, "C", NAN), (4, "D", 0.1), (5, "E", 0.5), (6, "F", 0.4), (7, None, 5.0)]
+    df = spark.createDataFrame([("base", i, t, day, p) for i, t, p in preds], "pred_set string, event_id long, ticker string, date date, pred double")
+    days = spark.createDataFrame([(day + dt.timedelta(i),) for i in range(20)], "date date")
+    books = engine.scenario_table(spark, [Scenario(0)]).select("book_id", *engine.BOOK)
+    got = {(r.ticker, r.side) for r in engine.signal_trades(df, cleaning.sessions(days), books).collect()}
+    assert got == {("A", 1), ("D", -1)}
+    rows = df.withColumn("y", F.when(F.col("event_id") == 5, F.lit(NAN)).when(F.col("event_id") == 6, F.lit(None)).otherwise(F.col("event_id").cast("double")))
+    for keys in ([], ["date"]):  # 1 and 4 are left, 7 has no ticker but an outcome
+        got = [(r.i, r.ls) for r in longshort.pairs(rows, keys, "y", q=0.4).collect()]
+        assert got == [(1, 7.0 - 4.0)]
+
+
+def test_places_and_ranks(spark):
+    rng = random.Random(3)
+    rows = [(i, i % 3, rng.choice([0.5, rng.random(), -0.0, NAN]) if i % 4 else 0.5) for i in range(900)]
+    df = spark.createDataFrame(rows, "event_id long, k int, x double").where("NOT isnan(x)")
+    rows = [r for r in rows if r[2] == r[2]]
+    got = {r.event_id: (r._place, r._all) for r in places.placed(df, ["k"], [F.desc("x")], [F.col("event_id")]).collect()}
+    ranks = {r.event_id: r.r for r in places.mean_ranks(df, ["k"], "x", "r").collect()}
+    for k in range(3):
+        own = sorted((-x, i) for i, j, x in rows if j == k)
+        assert [got[i] for _, i in own] == [(place, len(own)) for place in range(len(own))]
+        for x, i in own:
+            assert ranks[i] == sum(-y < -x for y, _ in own) + (sum(y == x for y, _ in own) + 1) / 2
+    assert places.placed(df.limit(0), [], [F.desc("x")], [F.col("event_id")]).count() == 0
+
+
+def test_null_times_and_microseconds(spark):
+    df = spark.sql("select * from values (timestamp '2024-01-03 10:00:00', 1), (cast(null as timestamp), 2), (timestamp '2024-01-03 10:00:00.25', 3) as t(et, i)")
+    got = {r.i: (r.b, r.iso) for r in df.select("i", X.session_bucket(F.col("et")).alias("b"), X.iso_utc(F.col("et")).alias("iso")).collect()}
+    assert got == {1: ("intraday", "2024-01-03T10:00:00+00:00"), 2: (None, None), 3: ("intraday", "2024-01-03T10:00:00.250000+00:00")}
+
+
+def test_dates_without_sessions(spark):
+    assert dt.date(1994, 4, 27) in cleaning.exchange_holidays(1994)
+    df = spark.sql("select * from values (timestamp '2024-12-20 08:00:00', 'premarket'), (timestamp '2024-01-02 08:00:00', 'premarket') as t(et, bucket)")
+    calendar = spark.createDataFrame([(dt.date(2024, 1, 2),), (dt.date(2025, 1, 10),)], "date date")
+    got = {str(r.et)[:10]: r.effective_date for r in cleaning.effective_dates(df, cleaning.sessions(calendar), "et", "bucket").collect()}
+    assert got == {"2024-01-02": dt.date(2024, 1, 2), "2024-12-20": None}  # 21 days are too many
+
+
+def test_landed_files(spark, tmp_path):
+    (tmp_path / "prices").mkdir()
+    (tmp_path / "prices" / "abc.us.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,100\n2024-01-03,1,2,0.5,N/D,100\nbad,1,1,1,1,1\n2024-01-02,9,9,9,9,9\n")
+    raw = S.price_csv(spark, str(tmp_path / "prices"))
+    got = cleaning.standard_prices(raw, ["open"]).collect()
+    assert [(r.ticker, str(r.date), r.close, r.volume) for r in got] == [("ABC", "2024-01-02", 1.5, 100.0)]
+    for name, ticker in (("universe_sec_2026-02-09.csv", "old"), ("universe_sec_2026-03-01.csv", "new"), ("sp500_2020.csv", "index")):
+        (tmp_path / name).write_text(f'cik,ticker,name,source,asof_date\n1,{ticker},"Name, Inc.",sec,2026-02-09\n')
+    paths = [str(tmp_path / n) for n in ("universe_sec_2026-02-09.csv", "universe_sec_2026-03-01.csv", "sp500_2020.csv")]
+    assert [S.universe_csv(spark, p).first().ticker for p in (paths, paths[:2])] == ["index", "new"]
+    (tmp_path / "company.json").write_text('{"0": {"cik_str": 7, "ticker": "x", "title": "X Corp"}, "1": {"cik_str": 8, "ticker": "y", "title": "Y"}}')
+    assert sorted(tuple(r) for r in S.company_json(spark, str(tmp_path / "company.json")).collect()) == [(7, "x", "X Corp"), (8, "y", "Y")]
+    (tmp_path / "subs.json").write_text('{"cik": "7", "filings": {"recent": {"form": ["8-K", "4", "10-Q"], "accessionNumber": ["a", "b", "c"], "acceptanceDateTime": ["20240103100000", "nan", "2024-01-03T10:00:00.000Z"]}}}')
+    rows = cleaning.filings_of(S.submissions_json(spark, str(tmp_path / "subs.json")), 2000, ["8-K", "10-Q"])
+    times = rows.select("form", F.unix_timestamp(X.acceptance_time("accepted")).alias("t")).collect()
+    assert {r.form: r.t for r in times} == {"8-K": 1704276000, "10-Q": 1704276000}
+
+
+def test_sinks_and_choice_of_predictions(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, k string")
+    S.write_table(df, f"{tmp_path}/ridge", ["k"])
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/ridge").select("id", "k").collect())) == [(1, "a"), (2, "b")]
+    S.write_report_csv(df, f"{tmp_path}/report")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/report").count() == 2
+    pick = lambda *names: S.first_table(spark, [f"{tmp_path}/{n}" for n in names])
+    assert pick("boosted", "ridge").count() == 2 and pick("boosted") is None
+
+
+def test_logit_against_newton(spark):
+    rows, data = events_of_days(spark, 20)
+    start = dt.date(2024, 1, 21)
+    train, test = [r for r in rows if r[3] < start - dt.timedelta(7)], [r for r in rows if r[3] >= start]
+    numbers = lambda rs: np.array([r[5:] for r in rs], float)
+    mean, sd = numbers(train).mean(0), numbers(train).std(0)
+    full = lambda rs: np.hstack([(numbers(rs) - mean) / np.where(sd == 0, 1, sd), np.array([[r[1] == f for f in "AB"] + [r[2] == b for b in ("close", "late", "open")] for r in rs], float), np.ones((len(rs), 1))])
+    x, y = full(train), np.array([r[4] > 0 for r in train], float)
+    w, shrink = np.zeros(x.shape[1]), np.append(np.ones(x.shape[1] - 1), 0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.lstsq(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(shrink), x.T @ (p - y) + shrink * w, rcond=None)[0]
+    got = {r.event_id: r for r in models.walk_forward(data, "logit", splits=2).collect()}
+    assert set(got) == {r[0] for r in test}
+    assert np.allclose([got[r[0]].pred for r in test], 1 / (1 + np.exp(-full(test) @ w)), atol=1e-3)
+    assert {(r.test_start, r.test_end) for r in got.values()} == {(start, dt.date(2024, 2, 9))} and all(r.date == next(q[3] for q in rows if q[0] == r.event_id) for r in got.values())
+
+
+def test_random_predictions_are_normal(spark):
+    df = spark.range(20000).withColumnRenamed("id", "event_id")
+    one, two = (sorted((r.event_id, r.pred) for r in robustness.random_predictions(df).collect()) for _ in range(2))
+    x = np.array([p for _, p in one])
+    assert one == two and abs(x.mean()) < 0.03 and abs(x.std() - 1) < 0.03 and abs((x < 1).mean() - 0.8413) < 0.01

@@ -8,28 +8,31 @@ from pyspark.sql import functions as F
 YEAR = 252.0
 
 
-def guarded(value: Column, when: Column) -> Column:
-    return F.when(when, value)
-
-
 def t_stat(x: str) -> Column:
     """Mean over its standard error; null below two values or without spread."""
     sd, n = F.stddev_samp(x), F.count(x)
-    return guarded(F.try_divide(F.avg(x), sd / F.sqrt(n)), (n >= 2) & (sd > 0))
+    return F.when((n >= 2) & (sd > 0), F.try_divide(F.avg(x), sd / F.sqrt(n)))
 
 
 def sharpe(x: str, periods: float = YEAR) -> Column:
     sd, n = F.stddev_samp(x), F.count(x)
-    return guarded(F.try_divide(F.avg(x), sd) * F.sqrt(F.lit(periods)), (n >= 2) & (sd > 0))
+    return F.when((n >= 2) & (sd > 0), F.try_divide(F.avg(x), sd) * F.sqrt(F.lit(periods)))
 
 
 def hit_rate(x: str) -> Column:
     return F.avg((F.col(x) > 0).cast("double"))
 
 
+def present(*columns: str) -> Column:
+    """None of the columns is null or NaN."""
+    found = F.lit(True)
+    for x in columns:
+        found = found & F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))
+    return found
+
+
 def finite(x: str) -> Column:
-    c = F.col(x)
-    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
+    return present(x) & (F.abs(x) < F.lit(float("inf")))
 
 
 def ticker_name(c: str) -> Column:
@@ -53,9 +56,16 @@ def eastern(utc: Column) -> Column:
     return F.from_utc_timestamp(utc, "America/New_York")
 
 
+def iso_utc(utc: Column) -> Column:
+    """ISO 8601 of a UTC instant, with microseconds only where there are any."""
+    stamp = lambda form: F.date_format(utc, form + "'+00:00'")
+    return F.when(F.unix_micros(utc.cast("timestamp")) % 1_000_000 == 0, stamp("yyyy-MM-dd'T'HH:mm:ss")).otherwise(stamp("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 def session_bucket(et: Column) -> Column:
+    """premarket before 9:30, afterhours from 16:00 on, intraday between; null of null."""
     minute = F.hour(et) * 60 + F.minute(et)
-    return F.when(minute < 570, "premarket").when(minute >= 960, "afterhours").otherwise("intraday")
+    return F.when(minute < 570, "premarket").when(minute >= 960, "afterhours").when(minute.isNotNull(), "intraday")
 
 
 def event_key(*parts: Column) -> Column:

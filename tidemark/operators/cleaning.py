@@ -96,7 +96,7 @@ def exchange_holidays(year: int) -> set:
     if year >= 2022:
         out.add(observed(date(year, 6, 19)))
     # Closures outside the rules.
-    once = ["2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02", "2012-10-29", "2012-10-30", "2018-12-05", "2025-01-09"]
+    once = ["1994-04-27", "2001-09-11", "2001-09-12", "2001-09-13", "2001-09-14", "2004-06-11", "2007-01-02", "2012-10-29", "2012-10-30", "2018-12-05", "2025-01-09"]
     return out | {d for d in map(date.fromisoformat, once) if d.year == year}
 
 
@@ -107,10 +107,15 @@ def exchange_calendar(spark: SparkSession, first: int, last: int) -> DataFrame:
     return sessions(days.where(F.weekday("date") < 5).join(closed, "date", "left_anti"))
 
 
-def effective_dates(events: DataFrame, calendar: DataFrame, et: str, bucket: str) -> DataFrame:
-    """events with effective_date: the session on or after the day before the open, the one after that session otherwise."""
+def effective_dates(events: DataFrame, calendar: DataFrame, et: str, bucket: str, within: int = 14) -> DataFrame:
+    """events with effective_date: the session on or after the day before the open, the one after that session otherwise.
+
+    Null where the calendar has no session within so many days, and where the time is null.
+    """
     day = F.to_date(et)
     base = next_session(events.select(day.alias("d")), calendar)
+    near = calendar.select("pos", F.col("date").alias("_near"))
+    base = base.join(near, "pos").where(F.datediff("_near", "d") <= within).select("d", "pos")
     shift = (F.lower(F.trim(F.coalesce(bucket, F.lit("")))) != "premarket").cast("int")
     out = events.withColumn("_d", day).join(base.withColumnRenamed("d", "_d"), "_d", "left").withColumn("_pos", F.col("pos") + shift).drop("pos")
     at = calendar.select(F.col("pos").alias("_pos"), F.col("date").alias("effective_date"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import sharpe
+from tidemark.functions.stats import present, sharpe
 from tidemark.operators.cleaning import next_session, sessions
 from tidemark.operators.longshort import basket, ranked
 
@@ -48,8 +48,10 @@ def scenario_table(spark: SparkSession, scenarios: list[Scenario]) -> DataFrame:
 def signal_trades(preds: DataFrame, calendar: DataFrame, books: DataFrame) -> DataFrame:
     """(book_id, ticker, entry, exit, side, date, rn): the first and last k of each day's predictions.
 
-    Days with fewer than max(2, min_positions) predictions, and trades that leave the calendar, are dropped.
+    Rows without ticker, date or prediction, days with fewer than max(2, min_positions) of the others, and trades that leave the
+    calendar are dropped.
     """
+    preds = preds.where(F.col("ticker").isNotNull() & F.col("date").isNotNull() & present("pred"))
     base = next_session(preds.select("date"), calendar).withColumnsRenamed({"d": "date", "pos": "base"})
     days = F.broadcast(calendar.agg(F.count(F.lit(1)).cast("int").alias("days")))
     rows = ranked(preds, ["pred_set", "date"]).join(base, "date").join(F.broadcast(books), "pred_set").crossJoin(days)
@@ -103,7 +105,7 @@ def weights(positions: DataFrame, books: DataFrame) -> DataFrame:
 
 def book_days(w: DataFrame, returns: DataFrame, calendar: DataFrame, books: DataFrame) -> DataFrame:
     """(book_id, pos, date, n_active, n_long, n_short, gross_exposure, turnover, gross) of every day of the calendar."""
-    paid = w.join(calendar, "pos").join(returns.select("ticker", "date", "ret"), ["ticker", "date"], "left")
+    paid = w.join(F.broadcast(calendar), "pos").join(returns.where(present("ret")).select("ticker", "date", "ret"), ["ticker", "date"], "left")
     held = paid.groupBy("book_id", "pos").agg(
         F.count(F.lit(1)).alias("n_active"), F.sum((F.col("side") > 0).cast("bigint")).alias("n_long"), F.sum((F.col("side") < 0).cast("bigint")).alias("n_short"),
         F.sum(F.abs("w")).alias("gross_exposure"), F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("gross"),

@@ -6,24 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import hit_rate, sharpe, t_stat
+from tidemark.functions.stats import hit_rate, present, sharpe, t_stat
+from tidemark.operators.places import placed
 
 
 def ranked(df: DataFrame, keys: list[str], pred: str = "pred", tie: str = "event_id") -> DataFrame:
-    """df with rn, the place by falling prediction within keys, and n, the rows there."""
-    by = W.partitionBy(*keys)
+    """df with rn, the place by falling prediction within keys such as days or months, and n, the rows there; rows without prediction go."""
+    df, by = df.where(present(pred)), W.partitionBy(*keys)
     return df.withColumns({"rn": F.row_number().over(by.orderBy(F.desc(pred), tie)), "n": F.count(F.lit(1)).over(by)})
 
 
+def ranked_wide(df: DataFrame, keys: list[str], pred: str = "pred", tie: str = "event_id") -> DataFrame:
+    """The same for keys, or none, that hold very many rows each."""
+    rows = placed(df.where(present(pred)), keys, [F.desc(pred)], [F.col(tie)])
+    return rows.withColumns({"rn": F.col("_place") + 1, "n": F.col("_all")}).drop("_place", "_all")
+
+
 def basket(q: Column | float) -> Column:
     """floor(q*n), one at least."""
     q = q if isinstance(q, Column) else F.lit(float(q))
     return F.greatest(F.lit(1), F.floor(q * F.col("n")).cast("int"))
 
 
-def sides(df: DataFrame, keys: list[str], q: float, least: int) -> DataFrame:
-    """Rows of groups of at least `least`, flagged is_long and is_short; with a high q a row can be both."""
-    rows = ranked(df, keys).where(F.col("n") >= least).withColumn("k", basket(q))
+def sides(df: DataFrame, keys: list[str], q: float, least: int, y: str) -> DataFrame:
+    """Rows of groups of at least `least`, flagged is_long and is_short; with a high q a row can be both. Rows without prediction or outcome y go."""
+    df = df.where(present(y))
+    rows = (ranked(df, keys) if keys else ranked_wide(df, keys)).where(F.col("n") >= least).withColumn("k", basket(q))
     return rows.withColumns({"is_long": F.col("rn") <= F.col("k"), "is_short": F.col("rn") > F.col("n") - F.col("k")})
 
 
@@ -31,7 +39,7 @@ def quantile_daily(df: DataFrame, q: float = 0.2, least: int = 10) -> DataFrame:
     """By day: sizes, mean predictions and mean outcomes of both sides, and their difference."""
     mean = lambda c, side: F.avg(F.when(F.col(side), F.col(c)))
     count = lambda side: F.sum(F.col(side).cast("bigint"))
-    out = sides(df, ["date"], q, least).groupBy("date").agg(
+    out = sides(df, ["date"], q, least, "y_true").groupBy("date").agg(
         F.count(F.lit(1)).alias("n_events"), count("is_long").alias("n_long"), count("is_short").alias("n_short"), mean("pred", "is_long").alias("mean_pred_long"),
         mean("pred", "is_short").alias("mean_pred_short"), mean("y_true", "is_long").alias("ret_long"), mean("y_true", "is_short").alias("ret_short"),
     )
@@ -40,11 +48,10 @@ def quantile_daily(df: DataFrame, q: float = 0.2, least: int = 10) -> DataFrame:
 
 def pairs(df: DataFrame, keys: list[str], y: str, q: float = 0.2, least: int = 1) -> DataFrame:
     """The i-th long with the i-th of the last k, and the difference of their outcomes, (keys, i, ls)."""
-    keyed, by = (df, keys) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
-    rows = sides(keyed, by, q, least)
-    long = rows.where("is_long").select(*by, F.col("rn").alias("i"), F.col(y).alias("y_long"))
-    short = rows.where("is_short").select(*by, (F.col("rn") - (F.col("n") - F.col("k"))).alias("i"), F.col(y).alias("y_short"))
-    return long.join(short, [*by, "i"]).select(*keys, "i", (F.col("y_long") - F.col("y_short")).alias("ls"))
+    rows = sides(df, keys, q, least, y)
+    long = rows.where("is_long").select(*keys, F.col("rn").alias("i"), F.col(y).alias("y_long"))
+    short = rows.where("is_short").select(*keys, (F.col("rn") - (F.col("n") - F.col("k"))).alias("i"), F.col(y).alias("y_short"))
+    return long.join(short, [*keys, "i"]).select(*keys, "i", (F.col("y_long") - F.col("y_short")).alias("ls"))
 
 
 def summary(ls: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,17 +69,23 @@ def costed_pairs(ls: DataFrame, cost_bps: float = 2.0) -> DataFrame:
 
 
 def monthly_baskets(df: DataFrame, keys: list[str], y: str, q: Column | float, least: int = 30) -> DataFrame:
-    """(keys, ym, n_events, k, gross_ls, turnover): baskets by month, turnover against the month kept before."""
-    rows = ranked(df.where(F.col(y).isNotNull()).withColumn("ym", F.date_format("date", "yyyy-MM")), [*keys, "ym"]).where(F.col("n") >= least).withColumn("k", basket(q))
+    """(keys, ym, n_events, k, gross_ls, turnover): baskets by month, turnover against the month kept before.
+
+    Tickers of a basket are rows and never one list: those also in the basket before are found by a join on ticker and month.
+    """
+    dated = df.where(present(y)).withColumn("ym", F.date_format("date", "yyyy-MM"))
+    rows = ranked(dated, [*keys, "ym"]).where(F.col("n") >= least).withColumn("k", basket(q))
     long, short = F.col("rn") <= F.col("k"), F.col("rn") > F.col("n") - F.col("k")
-    out = rows.groupBy(*keys, "ym").agg(
-        F.max("n").alias("n_events"), F.max("k").alias("k"), (F.avg(F.when(long, F.col(y))) - F.avg(F.when(short, F.col(y)))).alias("gross_ls"),
-        F.collect_set(F.when(long, F.col("ticker"))).alias("longs"), F.collect_set(F.when(short, F.col("ticker"))).alias("shorts"),
-    )
-    past = W.partitionBy(*keys).orderBy("ym") if keys else W.orderBy("ym")
-    overlap = lambda c: F.size(F.array_intersect(c, F.lag(c).over(past))) / F.greatest(F.lit(1), F.size(c))
-    turnover = F.when(F.lag("ym").over(past).isNull(), 1.0).otherwise(0.5 * ((1 - overlap("longs")) + (1 - overlap("shorts"))))
-    return out.withColumn("turnover", turnover).drop("longs", "shorts")
+    out = rows.groupBy(*keys, "ym").agg(F.max("n").alias("n_events"), F.max("k").alias("k"), (F.avg(F.when(long, F.col(y))) - F.avg(F.when(short, F.col(y)))).alias("gross_ls"))
+    past = W.partitionBy(*keys).orderBy("ym") if keys else W.orderBy("ym")  # a row for each month
+    months = out.select(*keys, "ym").withColumn("before", F.lag("ym").over(past))
+    legs = F.explode(F.array_compact(F.array(F.when(long, F.lit(1)), F.when(short, F.lit(-1))))).alias("leg")
+    held = rows.select(*keys, "ym", "ticker", legs).distinct()
+    now = held.join(F.broadcast(months), [*keys, "ym"])
+    then = held.withColumnsRenamed({"ym": "before"}).withColumn("again", F.lit(1))
+    kept = now.join(then, [*keys, "before", "ticker", "leg"], "left").groupBy(*keys, "ym", "before", "leg").agg((F.count("again") / F.count(F.lit(1))).alias("overlap"))
+    turnover = kept.groupBy(*keys, "ym").agg(F.when(F.max("before").isNull(), F.lit(1.0)).otherwise(0.5 * F.sum(1 - F.col("overlap"))).alias("turnover"))
+    return out.join(turnover, [*keys, "ym"])
 
 
 def with_costs(months: DataFrame, bps: Column | float) -> DataFrame:
@@ -91,12 +104,12 @@ def costed_grid(preds: DataFrame, returns_of, grid: DataFrame, least: int = 30)
     returns_of() gives (ticker, date, delay_days, horizon_days, trade_ret).  Only delay and horizon change outcomes and only
     q changes baskets; costs are algebra on them.
     """
-    rows = preds.join(returns_of, ["ticker", "date"]).where("trade_ret is not null")
-    cells = F.broadcast(grid.select("q").distinct())
-    keys = ["delay_days", "horizon_days", "q"]
-    spread = rows.crossJoin(cells)  # q takes the few values of the grid
-    paired = pairs_by_q(spread, keys)
-    months = monthly_baskets(spread, keys, "trade_ret", F.col("q"), least)
+    rows = preds.join(returns_of, ["ticker", "date"]).where(present("pred", "trade_ret"))
+    cells = F.broadcast(grid.select("q").distinct())  # the few values of the grid
+    cell = ["delay_days", "horizon_days"]
+    keys = [*cell, "q"]
+    paired = pairs_by_q(rows, cell, cells)
+    months = monthly_baskets(rows.crossJoin(cells), keys, "trade_ret", F.col("q"), least)
     costs = F.broadcast(grid.select("cost_bps").distinct())
     by = [*keys, "cost_bps"]
     event = paired.crossJoin(costs).withColumn("net", F.col("ls") - 2 * F.col("cost_bps") * 1e-4).groupBy(*by).agg(F.count("net").alias("n_pairs"), F.avg("net").alias("event_mean_net"), hit_rate("net").alias("event_hit"))
@@ -104,9 +117,10 @@ def costed_grid(preds: DataFrame, returns_of, grid: DataFrame, least: int = 30)
     return event.join(month, by, "left").withColumn("months", F.coalesce("months", F.lit(0).cast("bigint")))
 
 
-def pairs_by_q(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs within keys, q being one of them."""
-    rows = ranked(rows, keys).withColumn("k", basket(F.col("q")))
+def pairs_by_q(rows: DataFrame, keys: list[str], cells: DataFrame) -> DataFrame:
+    """Pairs within keys for each q of cells; places don't depend on q, so rows are placed once and only baskets are copied."""
+    rows = ranked_wide(rows, keys).crossJoin(cells).withColumn("k", basket(F.col("q")))
+    keys = [*keys, "q"]
     long = rows.where("rn <= k").select(*keys, F.col("rn").alias("i"), F.col("trade_ret").alias("a"))
     short = rows.where("rn > n - k").select(*keys, (F.col("rn") - (F.col("n") - F.col("k"))).alias("i"), F.col("trade_ret").alias("b"))
     return long.join(short, [*keys, "i"]).select(*keys, "i", (F.col("a") - F.col("b")).alias("ls"))

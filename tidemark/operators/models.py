@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import present
+from tidemark.operators.places import mean_ranks
+from tidemark.sources.tables import shared_folder, written
+
 FEATURES = ["mom_1d", "mom_5d", "mom_20d", "vol_20d", "dollar_vol_20d"]
+ROWS = 100_000
 NUMBERS, CATEGORIES = [*FEATURES, "dow", "month"], ["form", "session_bucket"]
 
 
@@ -32,14 +35,10 @@ def folds(dates: DataFrame, splits: int = 5, purge: int = 7, embargo: int = 5) -
     return train.select("fold", F.lit("train").alias("role"), "date").unionByName(test.select("fold", F.lit("test").alias("role"), "date"))
 
 
-def mean_rank(keys: list[str], x: str):
-    by = W.partitionBy(*keys)
-    return F.rank().over(by.orderBy(x)) + (F.count(F.lit(1)).over(W.partitionBy(*keys, x)) - 1) / 2.0
-
-
 def regression_metrics(df: DataFrame, keys: list[str], y: str = "y", p: str = "pred") -> DataFrame:
     """mse, r2, pearson, spearman and hit_rate; correlations need more than two rows."""
-    rows = df.withColumns({"ry": mean_rank(keys, y), "rp": mean_rank(keys, p)})
+    rows = mean_ranks(mean_ranks(df.select(*keys, F.col(y).alias("y"), F.col(p).alias("p")).where(present("y", "p")), keys, "y", "ry"), keys, "p", "rp")
+    y, p = "y", "p"
     n, some = F.count(F.lit(1)), F.count(F.lit(1)) > 2
     sse = F.sum(F.pow(F.col(y) - F.col(p), F.lit(2)))
     return rows.groupBy(*keys).agg(
@@ -71,30 +70,39 @@ def _assembled(df: DataFrame):
 def _checkpoints(spark) -> None:
     """Boosting cuts its lineage every ten trees, if the context has a checkpoint folder."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10.0, c: float = 1.0, least_train: int = 200, least_test: int = 50, trees: int = 600) -> DataFrame:
-    """Out-of-sample rows (event_id, fold, y, pred) of a ridge, logit or gbt model, a model for each fold; small folds are left out of ridge and logit alone."""
+    """Out-of-sample rows (event_id, ticker, date, fold, test_start, test_end, y, pred) of a ridge, logit or gbt model, a model for each fold.
+
+    Folds are fitted side by side, on partitions of about ROWS rows. Small folds are left out of ridge and logit alone.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
+    spark = data.sparkSession
     if model == "gbt":
         least_train = least_test = 1
-        _checkpoints(data.sparkSession)
-    marks = folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date")
-    out = None
-    for fold in range(splits):  # a handful of distributed fits
+        _checkpoints(spark)
+    marks = written(folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date"), "folds")
+
+    @inheritable_thread_target(spark)
+    def one(fold: int) -> DataFrame | None:
         train, test = (data.join(F.broadcast(marks.where((F.col("fold") == fold) & (F.col("role") == r)).select("trade_date")), "trade_date") for r in ("train", "test"))
         size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sd")).first()
-        if size.n < least_train or test.count() < least_test:
-            continue
+        held = test.agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("start"), F.max("trade_date").alias("end")).first()
+        if size.n < least_train or held.n < least_test:
+            return None
         prepare = _assembled(train)
-        rows = prepare(train).withColumn("label", (F.col("y") > 0).cast("double") if model == "logit" else F.col("y"))
+        rows = prepare(train).withColumn("label", (F.col("y") > 0).cast("double") if model == "logit" else F.col("y")).select("features", "label").coalesce(1 + size.n // ROWS)
         if model == "ridge":  # the library divides by n and scales by the label's deviation
             fit = LinearRegression(regParam=alpha / size.n * size.sd, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
         elif model == "logit":
-            fit = LogisticRegression(regParam=1 / (c * size.n), standardization=False, maxIter=200).fit(rows)
+            fit = LogisticRegression(regParam=1 / (c * size.n), standardization=False, maxIter=2000, tol=1e-8).fit(rows)
         else:
             fit = GBTRegressor(maxIter=trees, stepSize=0.05, maxDepth=5, seed=42).fit(rows)
         scored = fit.transform(prepare(test))
@@ -102,6 +110,11 @@ def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10
             from pyspark.ml.functions import vector_to_array
 
             scored = scored.withColumn("prediction", F.get(vector_to_array("probability"), F.lit(1)))
-        part = scored.select("event_id", F.lit(fold).alias("fold"), "y", F.col("prediction").alias("pred"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else data.sparkSession.createDataFrame([], "event_id long, fold int, y double, pred double")
+        return scored.select("event_id", "ticker", F.col("trade_date").alias("date"), F.lit(fold).alias("fold"), F.lit(held.start).alias("test_start"), F.lit(held.end).alias("test_end"), "y", F.col("prediction").alias("pred"))
+
+    with ThreadPool(splits) as pool:
+        parts = [x for x in pool.map(one, range(splits)) if x is not None]
+    out = spark.createDataFrame([], "event_id long, ticker string, date date, fold int, test_start date, test_end date, y double, pred double")
+    for part in parts:
+        out = out.unionByName(part)
+    return out

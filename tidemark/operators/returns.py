@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import t_stat
+from tidemark.functions.stats import finite, present, t_stat
 
 
 def by_ticker():
@@ -15,11 +15,11 @@ def by_ticker():
 
 def with_returns(prices: DataFrame) -> DataFrame:
     """prices with ret, close over the ticker's last close; rows without close are dropped before."""
-    return prices.where("close is not null").withColumn("ret", F.try_divide("close", F.lag("close").over(by_ticker())) - 1)
+    return prices.where(present("close")).withColumn("ret", F.try_divide("close", F.lag("close").over(by_ticker())) - 1)
 
 
 def daily_returns(prices: DataFrame) -> DataFrame:
-    return with_returns(prices).where("ret is not null")
+    return with_returns(prices).where(present("ret"))
 
 
 def trade_returns(prices: DataFrame, delay: int, horizon: int) -> DataFrame:
@@ -50,27 +50,32 @@ def align(events: DataFrame, returns: DataFrame, how: str = "left_semi") -> Data
     return events.join(keys, ["ticker", "trade_date"], how)
 
 
-def market_model(returns: DataFrame, market: str, first: int = -120, last: int = -22) -> DataFrame:
-    """(ticker, date, pos, n, ret, mkt, alpha, beta, n_est) once for each ticker and date, over the rows first..last before it."""
-    mkt = returns.where(F.col("ticker") == market).select("date", F.col("ret").alias("mkt"))
-    joint = returns.where(F.col("ticker") != market).select("ticker", "date", "ret").join(mkt, "date")
-    frame = by_ticker().rowsBetween(first, last)
-    return joint.withColumns({
-        "pos": F.row_number().over(by_ticker()) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("ticker")),
-        "alpha": F.regr_intercept("ret", "mkt").over(frame), "beta": F.regr_slope("ret", "mkt").over(frame), "n_est": F.count("ret").over(frame),
-    })
+def joint_returns(returns: DataFrame, market: str) -> DataFrame:
+    """(ticker, date, ret, mkt, pos, n): returns beside the market's, and each row's place among the ticker's n rows."""
+    mkt = returns.where((F.col("ticker") == market) & present("ret")).select("date", F.col("ret").alias("mkt"))
+    joint = returns.where((F.col("ticker") != market) & present("ret")).select("ticker", "date", "ret").join(F.broadcast(mkt), "date")  # a row for each day
+    return joint.withColumns({"pos": F.row_number().over(by_ticker()) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("ticker"))})
 
 
-def study_events(events: DataFrame, model: DataFrame, before: int = 120, after: int = 5) -> DataFrame:
+def market_fits(days: DataFrame, joint: DataFrame, first: int = -120, last: int = -22) -> DataFrame:
+    """(ticker, pos, alpha, beta, n_est) of distinct days (ticker, pos), over the rows first..last around each; days without events are never fitted."""
+    frame = days.select("ticker", "pos", F.explode(F.sequence(F.col("pos") + first, F.col("pos") + last)).alias("at"))
+    rows = frame.join(joint.select("ticker", F.col("pos").alias("at"), "ret", "mkt"), ["ticker", "at"])
+    return rows.groupBy("ticker", "pos").agg(F.regr_intercept("ret", "mkt").alias("alpha"), F.regr_slope("ret", "mkt").alias("beta"), F.count("ret").alias("n_est"))
+
+
+def study_events(events: DataFrame, joint: DataFrame, before: int = 120, after: int = 5) -> DataFrame:
     """Events with a whole estimation and event window and a fit."""
-    at = model.select("ticker", F.col("date").alias("trade_date"), "pos", "n", "alpha", "beta", "n_est")
-    return events.join(at, ["ticker", "trade_date"]).where((F.col("pos") >= before) & (F.col("pos") + after < F.col("n")) & F.col("alpha").isNotNull())
+    at = joint.select("ticker", F.col("date").alias("trade_date"), "pos", "n")
+    found = events.join(at, ["ticker", "trade_date"]).where((F.col("pos") >= before) & (F.col("pos") + after < F.col("n")))
+    fits = market_fits(found.select("ticker", "pos").distinct(), joint)
+    return found.join(fits, ["ticker", "pos"]).where(F.col("alpha").isNotNull())
 
 
-def abnormal_returns(study: DataFrame, model: DataFrame, first: int = -10, last: int = 5) -> DataFrame:
+def abnormal_returns(study: DataFrame, joint: DataFrame, first: int = -10, last: int = 5) -> DataFrame:
     """(event_id, tau, ar) for each event and trading row first..last around it."""
     days = study.select("event_id", "ticker", "alpha", "beta", F.col("pos").alias("at"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tau")).withColumn("pos", F.col("at") + F.col("tau"))
-    return days.join(model.select("ticker", "pos", "ret", "mkt"), ["ticker", "pos"]).select("event_id", "tau", (F.col("ret") - (F.col("alpha") + F.col("beta") * F.col("mkt"))).alias("ar"))
+    return days.join(joint.select("ticker", "pos", "ret", "mkt"), ["ticker", "pos"]).select("event_id", "tau", (F.col("ret") - (F.col("alpha") + F.col("beta") * F.col("mkt"))).alias("ar"))
 
 
 def mean_by_tau(ar: DataFrame) -> DataFrame:
@@ -79,13 +84,19 @@ def mean_by_tau(ar: DataFrame) -> DataFrame:
 
 
 def event_cars(ar: DataFrame, windows: dict[str, tuple[int, int]]) -> DataFrame:
-    """Sums of abnormal returns over each window, in one pass."""
-    return ar.groupBy("event_id").agg(*[F.sum(F.when(F.col("tau").between(a, b), F.col("ar"))).alias(name) for name, (a, b) in windows.items()])
+    """Sums of abnormal returns over each window, in one pass and in the order of days, so that equal events have equal sums to the last bit."""
+    days = ar.where(F.col("ar").isNotNull()).groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("tau", "ar"))).alias("days"))  # a few rows for each event
+
+    def total(first: int, last: int):
+        own = F.filter("days", lambda x: x["tau"].between(first, last))
+        return F.when(F.size(own) > 0, F.aggregate(own, F.lit(0.0), lambda sum_, x: sum_ + x["ar"]))
+
+    return days.select("event_id", *[total(*span).alias(name) for name, span in windows.items()])
 
 
 def subgroup_tests(cars: DataFrame, groups: list[str], metrics: list[str], least: int = 100) -> DataFrame:
     """(group, split, metric, n, mean, t_stat) of all events and of each group of at least `least`."""
-    long = cars.select(*groups, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("m")).select(*groups, "m.*").where("x is not null")
+    long = cars.select(*groups, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics])).alias("m")).select(*groups, "m.*").where(finite("x"))
     splits = F.explode(F.array(F.struct(F.lit("ALL").alias("group"), F.lit("ALL").alias("split")), *[F.struct(F.lit(g).alias("group"), F.col(g).alias("split")) for g in groups]))
     out = long.select(splits.alias("g"), "metric", "x").select("g.*", "metric", "x").where("split is not null").groupBy("group", "split", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), t_stat("x").alias("t_stat"))
     return out.where((F.col("group") == "ALL") | (F.col("n") >= least))
@@ -106,7 +117,7 @@ def bootstrap_tests(cars: DataFrame, groups: list[str], metrics: list[str], draw
     Resampling is by Poisson weights from hashes, so groups are never gathered: an event is drawn once for all tests, sums
     are combined on the map side by cell of all groups, and cells are added up to splits.
     """
-    cars = cars.withColumns({m: F.when(~F.isnan(m), F.col(m)) for m in metrics})
+    cars = cars.withColumns({m: F.when(finite(m), F.col(m)) for m in metrics})
     u = (F.xxhash64("h", "i") / F.lit(2.0**64)) + 0.5
     # Poisson(1) by its cumulative probabilities
     cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]

@@ -46,9 +46,10 @@ def random_predictions(preds: DataFrame, seed: int = 42) -> DataFrame:
 
 def by_year(preds: DataFrame, least: int = 200) -> DataFrame:
     """preds as pred_set ALL, and again as the set of their year where it has at least `least`."""
-    rows = preds.withColumn("_year", F.year("date").cast("string")).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("_year")))
+    rows = preds.withColumn("_year", F.year("date").cast("string"))
+    sizes = F.broadcast(rows.groupBy("_year").agg(F.count(F.lit(1)).alias("_n")))  # a row for each year
     sets = F.when(F.col("_n") >= least, F.array(F.lit("ALL"), "_year")).otherwise(F.array(F.lit("ALL")))
-    return rows.withColumn("pred_set", F.explode(sets)).drop("_year", "_n")
+    return rows.join(sizes, "_year", "left").withColumn("pred_set", F.explode(sets)).drop("_year", "_n")
 
 
 def sanity_sets(preds: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ CTE = {
     "mm": """SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY ticker) AS n, regr_intercept(ret, mkt) OVER e AS alpha, regr_slope(ret, mkt) OVER e AS beta, count(ret) OVER e AS n_est
  FROM jt WINDOW w AS (PARTITION BY ticker ORDER BY date), e AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 120 PRECEDING AND 22 PRECEDING)""",
     "st": "SELECT f.*, pos, n, alpha, beta, n_est FROM fi f JOIN mm ON f.ticker = mm.ticker AND f.trade_date = mm.date WHERE pos >= 120 AND pos + 5 < n",
-    "ar": "SELECT event_id, CAST(tau AS INTEGER) AS tau, m.ret - (st.alpha + st.beta * m.mkt) AS ar FROM st CROSS JOIN generate_series(-10, 5) g(tau) JOIN mm m ON m.ticker = st.ticker AND m.pos = st.pos + tau",
-    "ca": """SELECT event_id, sum(ar) FILTER (tau BETWEEN -1 AND 5) AS car_main, sum(ar) FILTER (tau BETWEEN -10 AND -2) AS car_pretrend, sum(ar) FILTER (tau BETWEEN 1 AND 5) AS y FROM ar GROUP BY 1""",
+    "ar": "SELECT event_id, CAST(tau AS INTEGER) AS tau, m.ret - (st.alpha + st.beta * m.mkt) AS ar FROM (SELECT event_id, ticker, alpha, beta, pos, unnest(generate_series(-10, 5)) AS tau FROM st) st JOIN mm m ON m.ticker = st.ticker AND m.pos = st.pos + st.tau",
+    "ca": """SELECT event_id, sum(ar ORDER BY tau) FILTER (tau BETWEEN -1 AND 5) AS car_main, sum(ar ORDER BY tau) FILTER (tau BETWEEN -10 AND -2) AS car_pretrend, sum(ar ORDER BY tau) FILTER (tau BETWEEN 1 AND 5) AS y FROM ar GROUP BY 1""",
     "et": "SELECT *, timezone('America/New_York', timezone('UTC', accepted_utc)) AS accepted_et FROM fi",
     "bk": "SELECT *, CASE WHEN hour(accepted_et) * 60 + minute(accepted_et) < 570 THEN 'premarket' WHEN hour(accepted_et) * 60 + minute(accepted_et) >= 960 THEN 'afterhours' ELSE 'intraday' END AS session_bucket FROM et",
     "cw": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM pr WHERE isodow(date) < 6)",
@@ -57,7 +57,7 @@ def sql(final: str, *extra: tuple[str, str]) -> str:
             if n not in need and re.search(rf"\b(FROM|JOIN|IN \(FROM)\s+{n}\b", text):
                 need.add(n)
                 todo.append(parts[n])
-    held = ",\n".join(f"{n} AS ({parts[n]})" for n in names if n in need)
+    held = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('rt', 'mm', 'st', 'ar') else ''}({parts[n]})" for n in names if n in need)
     return (f"WITH {held}\n" if held else "") + final
 
 

@@ -89,8 +89,7 @@ def session_bucket(spark, d):
 
 @query(sql("SELECT event_id, substr(sha256(concat_ws('|', ticker, form, strftime(accepted_utc, '%Y-%m-%dT%H:%M:%S+00:00'))), 1, 16) AS key FROM fi"))
 def event_id_hash(spark, d):
-    iso = F.date_format("accepted_utc", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    return S.filings(spark, d).select("event_id", X.event_key(F.col("ticker"), F.col("form"), iso).alias("key"))
+    return S.filings(spark, d).select("event_id", X.event_key(F.col("ticker"), F.col("form"), X.iso_utc(F.col("accepted_utc"))).alias("key"))
 
 
 @query(sql("SELECT strftime(accepted_utc, '%Y%m%d%H%M%S') AS stamp, event_id, CAST(accepted_utc AS DATE) AS day, CAST(epoch(accepted_utc) AS BIGINT) AS seconds FROM fi WHERE event_id % 3 <> 0 UNION ALL SELECT 'nan', event_id, NULL, NULL FROM fi WHERE event_id % 3 = 0"))
@@ -124,6 +123,21 @@ def effective_trade_date(spark, d):
     return cleaning.effective_dates(_bucketed(spark, d), _weekdays(spark, d), "accepted_et", "session_bucket").select("event_id", "session_bucket", "effective_date")
 
 
+_YEARS = range(1990, 2031)
+_CLOSED = ", ".join(f"DATE '{day}'" for y in _YEARS for day in sorted(cleaning.exchange_holidays(y)))
+_SESSIONS = [
+    ("cx", f"SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT CAST(t AS DATE) AS date FROM generate_series(TIMESTAMP '{_YEARS[0]}-01-01', TIMESTAMP '{_YEARS[-1]}-12-31', INTERVAL 1 DAY) g(t)) WHERE isodow(date) < 6 AND date NOT IN ({_CLOSED})"),
+    ("dx", "SELECT d, min(pos) AS base FROM (SELECT DISTINCT CAST(accepted_et AS DATE) AS d FROM bk) x JOIN cx ON cx.date BETWEEN x.d AND x.d + 14 GROUP BY d"),
+]
+
+
+@query(sql("""SELECT event_id, session_bucket, cx.date AS effective_date FROM bk LEFT JOIN dx ON dx.d = CAST(bk.accepted_et AS DATE)
+ LEFT JOIN cx ON cx.pos = dx.base + CASE WHEN session_bucket = 'premarket' THEN 0 ELSE 1 END""", *_SESSIONS))
+def effective_exchange_date(spark, d):
+    calendar = cleaning.exchange_calendar(spark, _YEARS[0], _YEARS[-1])
+    return cleaning.effective_dates(_bucketed(spark, d), calendar, "accepted_et", "session_bucket").select("event_id", "session_bucket", "effective_date")
+
+
 def _exploded(spark, d, most):
     orders = cleaning.first_rows(S.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), "o_custkey", "o_orderkey", most)
     lists = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("l"))
@@ -177,14 +191,18 @@ def align_missing(spark, d):
     return returns.align(S.filings(spark, d), returns.daily_returns(S.prices(spark, d)), "left_anti").groupBy("ticker").agg(F.count(F.lit(1)).alias("missing"))
 
 
-def _model(spark, d):
-    return returns.market_model(returns.daily_returns(S.prices(spark, d)), "MKT")
+def _prices(spark, d):
+    return S.written(S.prices(spark, d), "prices")
+
 
+def _joint(spark, d, prices=None):
+    return S.written(returns.joint_returns(returns.daily_returns(S.prices(spark, d) if prices is None else prices), "MKT"), "joint")
 
-def _study(spark, d):
-    model = _model(spark, d)
-    study = returns.study_events(S.filings(spark, d), model)
-    return study, returns.abnormal_returns(study, model)
+
+def _study(spark, d, prices=None):
+    joint = _joint(spark, d, prices)
+    study = S.written(returns.study_events(S.filings(spark, d), joint), "study")
+    return study, returns.abnormal_returns(study, joint)
 
 
 _WINDOWS = {"car_main": (-1, 5), "car_pretrend": (-10, -2), "y": (1, 5)}
@@ -192,7 +210,7 @@ _WINDOWS = {"car_main": (-1, 5), "car_pretrend": (-10, -2), "y": (1, 5)}
 
 @query(sql(f"SELECT event_id, ticker, trade_date, n_est, {rounded('alpha, beta')} FROM st"))
 def market_model(spark, d):
-    return near(returns.study_events(S.filings(spark, d), _model(spark, d)).select("event_id", "ticker", "trade_date", "n_est", "alpha", "beta"), "alpha, beta")
+    return near(returns.study_events(S.filings(spark, d), _joint(spark, d)).select("event_id", "ticker", "trade_date", "n_est", "alpha", "beta"), "alpha, beta")
 
 
 @query(sql(f"SELECT event_id, tau, {rounded('ar')} FROM ar"))
@@ -263,14 +281,15 @@ def event_study_robustness(spark, d):
 
 
 def _dataset(spark, d):
-    study, ar = _study(spark, d)
+    prices = _prices(spark, d)
+    study, ar = _study(spark, d, prices)
     study = study.withColumn("session_bucket", X.session_bucket(X.eastern(F.col("accepted_utc"))))
-    return models.model_dataset(study, returns.event_cars(ar, {"y": (1, 5)}), returns.rolling_features(S.prices(spark, d)), ["session_bucket"])
+    return models.model_dataset(study, returns.event_cars(ar, {"y": (1, 5)}), returns.rolling_features(prices), ["session_bucket", "pred"])
 
 
 @query(sql(f"SELECT event_id, ticker, form, trade_date, {rounded('y, mom_1d, mom_5d, mom_20d, vol_20d')}, round(dollar_vol_20d, 4) AS dollar_vol_20d, dow, month FROM md"))
 def model_dataset(spark, d):
-    return near(near(_dataset(spark, d).drop("session_bucket"), "y, mom_1d, mom_5d, mom_20d, vol_20d"), "dollar_vol_20d", 4)
+    return near(near(_dataset(spark, d).drop("session_bucket", "pred"), "y, mom_1d, mom_5d, mom_20d, vol_20d"), "dollar_vol_20d", 4)
 
 
 @query(sql("SELECT count(*) AS rows, count(DISTINCT ticker) AS tickers, count(DISTINCT form) AS forms, min(trade_date) AS first, max(trade_date) AS last FROM md"))
@@ -280,7 +299,7 @@ def dataset_profile(spark, d):
 
 @query(sql("SELECT CAST(fold AS INTEGER) AS fold, role, date FROM fo"))
 def purged_folds(spark, d):
-    study = returns.study_events(S.filings(spark, d), _model(spark, d))
+    study = returns.study_events(S.filings(spark, d), _joint(spark, d))
     return models.folds(study.select(F.col("trade_date").alias("date")))
 
 
@@ -292,10 +311,9 @@ _METRICS = [
 
 
 def _fold_metrics(spark, d):
-    study, ar = _study(spark, d)
-    data = models.model_dataset(study, returns.event_cars(ar, {"y": (1, 5)}), returns.rolling_features(S.prices(spark, d)))
-    test = models.folds(study.select(F.col("trade_date").alias("date"))).where("role = 'test'").select("fold", F.col("date").alias("trade_date"))
-    rows = data.join(study.select("event_id", (F.col("pred") - 0.5).alias("p")), "event_id").join(F.broadcast(test), "trade_date")
+    data = S.written(_dataset(spark, d), "dataset")
+    test = models.folds(data.select(F.col("trade_date").alias("date"))).where("role = 'test'").select("fold", F.col("date").alias("trade_date"))
+    rows = S.written(data.withColumn("p", F.col("pred") - 0.5).join(F.broadcast(test), "trade_date").select("fold", "y", "p"), "tested")
     return models.regression_metrics(rows, ["fold"], "y", "p")
 
 
@@ -313,11 +331,18 @@ def cv_summary(spark, d):
     return near(both.groupBy("model").agg(*[F.avg(c).alias(c) for c in names]), ", ".join(names), 6)
 
 
-def _walk(spark, d, model):
-    out = S.written(models.walk_forward(S.written(_dataset(spark, d), "dataset"), model), "out-of-sample")
+def _oos(spark, d, model, **options):
+    """Out-of-sample predictions of a model, written."""
+    return S.written(models.walk_forward(S.written(_dataset(spark, d), "dataset"), model, **options), "out-of-sample")
+
+
+def _walk(spark, d, model, **options):
+    keys = ["fold", "test_start", "test_end"]
+    out = _oos(spark, d, model, **options)
     if model == "logit":
-        return near(models.class_metrics(out.withColumnRenamed("pred", "prob"), ["fold"]), "accuracy, pos_rate_pred, pos_rate_true", 6)
-    return near(models.regression_metrics(out, ["fold"]), "mse, r2, pearson, spearman, hit_rate", 6)
+        found = models.class_metrics(out.withColumnRenamed("pred", "prob"), keys).withColumn("model", F.lit("logit_sign"))
+        return near(found, "accuracy, pos_rate_pred, pos_rate_true", 6)
+    return near(models.regression_metrics(out, keys).withColumn("model", F.lit({"gbt": "boosted_trees"}.get(model, model))), "mse, r2, pearson, spearman, hit_rate", 6)
 
 
 @query()
@@ -335,6 +360,19 @@ def cv_gbt(spark, d):
     return _walk(spark, d, "gbt")
 
 
+@query()
+def cv_models_summary(spark, d):
+    both = _walk(spark, d, "ridge").unionByName(_walk(spark, d, "logit"), allowMissingColumns=True)
+    names = ["mse", "r2", "pearson", "spearman", "hit_rate", "accuracy"]
+    return near(both.groupBy("model").agg(*[F.avg(c).alias(c) for c in names]), ", ".join(names), 6)
+
+
+@query()
+def oos_predictions(spark, d):
+    out = _oos(spark, d, "ridge")
+    return near(out.select("event_id", "ticker", "date", F.col("y").alias("y_true"), F.col("pred").alias("y_pred_ridge"), "fold"), "y_true, y_pred_ridge")
+
+
 # Long and short baskets
 
 
@@ -367,18 +405,32 @@ def ls_pairs_monthly(spark, d):
 
 
 def _paid(spark, d):
-    study = returns.study_events(S.filings(spark, d), _model(spark, d)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred")
-    trade = returns.trade_returns(S.prices(spark, d), 1, 5).select("ticker", "date", "trade_ret")
-    return study.join(trade, ["ticker", "date"], "left").where("trade_ret is not null")
+    prices = _prices(spark, d)
+    study = returns.study_events(S.filings(spark, d), _joint(spark, d, prices)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred")
+    return _traded(study, prices)
+
+
+def _traded(preds, prices):
+    trade = returns.trade_returns(prices, 1, 5).select("ticker", "date", "trade_ret")
+    return preds.join(trade, ["ticker", "date"])
 
 
 @query(sql(f"""SELECT count(*) AS n_pairs, round(avg(ls), 8) AS mean_gross, round(avg(net), 8) AS mean_net, round(stddev_samp(ls), 8) AS std_gross, round(stddev_samp(net), 8) AS std_net, round({_sharpe('ls')}, 6) AS sharpe_gross, round({_sharpe('net')}, 6) AS sharpe_net,
  round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 8) AS hit_rate, round(CAST(0.0004 AS DOUBLE), 8) AS cost_per_pair FROM (SELECT *, ls - CAST(0.0004 AS DOUBLE) AS net FROM ls)""", *_pairs("pt", "", "trade_ret")))
 def costed_eventlevel(spark, d):
-    out = longshort.costed_pairs(longshort.pairs(_paid(spark, d), [], "trade_ret"))
+    return _costed(_paid(spark, d))
+
+
+def _costed(paid):
+    out = longshort.costed_pairs(longshort.pairs(paid, [], "trade_ret"))
     return near(near(out, "mean_gross, mean_net, std_gross, std_net, hit_rate, cost_per_pair"), "sharpe_gross, sharpe_net", 6)
 
 
+@query()
+def costed_eventlevel_oos(spark, d):
+    return _costed(_traded(_oos(spark, d, "ridge").select("event_id", "ticker", "date", "pred"), S.prices(spark, d)))
+
+
 def _months(source: str, keys: str, q: str, prefix: str = "") -> list[tuple[str, str]]:
     k = f"{keys}, " if keys else ""
     part = f"PARTITION BY {keys}" if keys else ""
@@ -410,8 +462,8 @@ _GRID = [
 
 
 def _grid(spark, d):
-    study = returns.study_events(S.filings(spark, d), _model(spark, d)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred")
-    px, by = S.prices(spark, d), returns.by_ticker()
+    px, by = _prices(spark, d), returns.by_ticker()
+    study = S.written(returns.study_events(S.filings(spark, d), _joint(spark, d, px)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred"), "study")
     cells = [F.struct(F.lit(a).alias("delay_days"), F.lit(h).alias("horizon_days"), (F.try_divide(F.lead("close", a + h).over(by), F.lead("close", a).over(by)) - 1).alias("trade_ret")) for a, h in _CELLS]
     trade = px.select("ticker", "date", F.array(*cells).alias("c")).select("ticker", "date", F.explode("c").alias("c")).select("ticker", "date", "c.*")
     grid = spark.createDataFrame([(a, h, q, c) for a, h in _CELLS for q in (0.1, 0.2, 0.3) for c in (0.0, 2.0, 5.0, 10.0)], "delay_days int, horizon_days int, q double, cost_bps double")
@@ -428,13 +480,44 @@ def grid_top10(spark, d):
     return _grid(spark, d).orderBy(F.desc_nulls_last("monthly_sharpe_ann"), "delay_days", "horizon_days", "q", "cost_bps").limit(10)
 
 
+# The same with predictions and outcomes that are missing
+
+_GAPS = "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE pred END AS pred"
+_KNOWN = "pred IS NOT NULL AND NOT isnan(pred)"
+
+
+def _gaps(df, names):
+    key = F.col("event_id")
+    return df.withColumns({c: F.when(key % m == 0, F.lit(None).cast("double")).when(key % n == 0, F.lit(float("nan"))).otherwise(F.col(c)) for c, m, n in names})
+
+
+@query(sql("""SELECT date, max(n) AS n_events, round(avg(pred) FILTER (rn <= k), 8) AS mean_pred_long, round(avg(y_true) FILTER (rn <= k) - avg(y_true) FILTER (rn > n - k), 8) AS ret_ls FROM rq GROUP BY 1""",
+ ("sn", f"SELECT event_id, date, y_true, {_GAPS} FROM sg WHERE event_id % 13 <> 0"), ("sk1", f"SELECT * FROM sn WHERE {_KNOWN}"), *_pairs("sk1", "date", "y_true", 10)))
+def quantile_ls_gaps(spark, d):
+    rows = _gaps(_gaps(S.signals(spark, d), [("pred", 7, 11)]), [("y_true", 13, 13)])
+    return near(longshort.quantile_daily(rows).select("date", "n_events", "mean_pred_long", "ret_ls"), "mean_pred_long, ret_ls")
+
+
+@query(sql(f"SELECT {_SUMMARY} FROM ls", ("yn", f"SELECT event_id, y_true, {_GAPS} FROM yd WHERE event_id % 13 <> 0 AND event_id % 17 <> 0"), ("yk", f"SELECT * FROM yn WHERE {_KNOWN}"), *_pairs("yk", "", "y_true")))
+def ls_pairs_gaps(spark, d):
+    rows = _gaps(_outcomes(spark, d), [("pred", 7, 11), ("y_true", 13, 17)])
+    out = longshort.summary(longshort.pairs(rows, [], "y_true"), [])
+    return near(near(out, "mean, std, hit"), "t_stat, sharpe", 6)
+
+
+@query(sql("SELECT count(*) AS n_pairs, round(avg(ls), 8) AS mean_gross FROM ls", ("pn", f"SELECT event_id, trade_ret, {_GAPS} FROM pt"), ("pk", f"SELECT * FROM pn WHERE {_KNOWN}"), *_pairs("pk", "", "trade_ret")))
+def costed_eventlevel_gaps(spark, d):
+    return _costed(_gaps(_paid(spark, d), [("pred", 7, 11)])).select("n_pairs", "mean_gross")
+
+
 # Portfolio engine
 
 
 def _engine_inputs(spark, d):
-    rets = returns.daily_returns(S.prices(spark, d))
-    preds = returns.study_events(S.filings(spark, d), returns.market_model(rets, "MKT")).select(F.lit("base").alias("pred_set"), "event_id", "ticker", F.col("trade_date").alias("date"), "pred")
-    return rets, preds
+    rets = S.written(returns.daily_returns(S.prices(spark, d)), "returns")
+    joint = S.written(returns.joint_returns(rets, "MKT"), "joint")
+    preds = returns.study_events(S.filings(spark, d), joint).select(F.lit("base").alias("pred_set"), "event_id", "ticker", F.col("trade_date").alias("date"), "pred")
+    return rets, S.written(preds, "predictions")
 
 
 def _book(spark, d):
@@ -449,6 +532,13 @@ def signal_trades(spark, d):
     return _book(spark, d)[3].select("ticker", "entry", "exit", "side", "date")
 
 
+@query(sql("SELECT ticker, CAST(entry AS INTEGER) AS entry, CAST(leave AS INTEGER) AS exit, CAST(side AS INTEGER) AS side, date FROM tr", ("spn", f"SELECT pred_set, event_id, ticker, date, {_GAPS} FROM sp"), ("spk", f"SELECT * FROM spn WHERE {_KNOWN}"), *engine_sql("spk", BASE)))
+def signal_trades_gaps(spark, d):
+    rets, preds = _engine_inputs(spark, d)
+    books = engine.scenario_table(spark, BASE).select("book_id", *engine.BOOK)
+    return engine.signal_trades(_gaps(preds, [("pred", 7, 11)]), cleaning.sessions(rets), books).select("ticker", "entry", "exit", "side", "date")
+
+
 def _active(spark, d):
     rets, calendar, books, trades = _book(spark, d)
     return rets, calendar, books, engine.active_book(trades, calendar.agg(F.count(F.lit(1)).cast("int").alias("days")))
@@ -529,6 +619,31 @@ def engine_grid(spark, d):
     return _summary(_daily(spark, d, GRID))
 
 
+@query()
+def engine_oos(spark, d):
+    rets = S.written(returns.daily_returns(S.prices(spark, d)), "returns")
+    preds = _oos(spark, d, "ridge").select(F.lit("base").alias("pred_set"), "event_id", "ticker", "date", "pred")
+    return _summary(engine.backtest(rets, preds, engine.scenario_table(spark, BOTH)))
+
+
+_REPORT = """SELECT CASE sm.scenario_id WHEN 0 THEN 'engine' ELSE 'engine_vt10' END AS variant, days, round(sharpe_gross, 6) AS sharpe_gross, round(sharpe_net, 6) AS sharpe_net, round(maxdd_gross, 8) AS maxdd_gross, round(maxdd_net, 8) AS maxdd_net,
+ round(mean_turnover, 8) AS mean_turnover, round(mean_cost, 8) AS mean_cost, round(avg_active, 8) AS avg_active, round(avg_long, 8) AS avg_long, round(avg_short, 8) AS avg_short,
+ round(ex.avg_gross_exposure, 8) AS avg_gross_exposure, round(ex.avg_lev, 8) AS avg_lev, round(ex.cost_share, 8) AS cost_share_of_gross_abs, CAST(NULL AS BIGINT) AS n_pairs, CAST(NULL AS DOUBLE) AS mean_net, CAST(NULL AS DOUBLE) AS hit_rate
+ FROM sm JOIN ex ON ex.sid = sm.scenario_id
+ UNION ALL SELECT 'costed_eventlevel', NULL, round({gross}, 6), round({net}, 6), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*), round(avg(net), 8), round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 8) FROM (SELECT *, ls - CAST(0.0004 AS DOUBLE) AS net FROM ls)""".format(gross=_sharpe("ls"), net=_sharpe("net"))
+_EX = ("ex", "SELECT sid, avg(gross_exposure) AS avg_gross_exposure, avg(lev) AS avg_lev, sum(cost) / nullif(sum(abs(ret_gross)), 0) AS cost_share FROM eq GROUP BY 1")
+
+
+@query(sql(_REPORT, *engine_sql("sp", BOTH), _EX, *_pairs("pt", "", "trade_ret")))
+def backtest_report(spark, d):
+    daily = S.written(_daily(spark, d, BOTH), "daily")
+    name = F.when(F.col("scenario_id") == 0, "engine").otherwise("engine_vt10").alias("variant")
+    extra = near(engine.extras(daily).withColumnRenamed("cost_share", "cost_share_of_gross_abs").drop("p95_lev"), "avg_gross_exposure, avg_lev, cost_share_of_gross_abs")
+    books = _summary(daily).join(extra, "scenario_id").select(name, "*").drop("scenario_id")
+    pairs = costed_eventlevel(spark, d).select(F.lit("costed_eventlevel").alias("variant"), "sharpe_gross", "sharpe_net", "n_pairs", "mean_net", "hit_rate")
+    return books.unionByName(pairs, allowMissingColumns=True)
+
+
 @query(sql("SELECT date, round(max(ret) FILTER (ticker = 'MKT'), 8) AS MKT, round(max(ret) FILTER (ticker = 'S1'), 8) AS S1, round(max(ret) FILTER (ticker = 'S2'), 8) AS S2 FROM rt GROUP BY 1"))
 def returns_pivot(spark, d):
     out = returns.daily_returns(S.prices(spark, d)).groupBy("date").pivot("ticker", ["MKT", "S1", "S2"]).agg(F.first("ret"))

@@ -43,16 +43,39 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor sees; a temporary one where none is named and all tasks run in this process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, for what several jobs read."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def first_table(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The first of the Parquet tables that is there: boosted predictions before ridge ones, or an optional report; None without any."""
+    return next((spark.read.parquet(p) for p in paths if there(spark, p)), None)
+
+
+def settings(spark: SparkSession, path: str) -> dict:
+    """A small YAML file of settings, read once by the driver."""
+    import yaml
+
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first().value) or {}
 
 
 def write_report_csv(df: DataFrame, path: str) -> None:
@@ -65,11 +88,10 @@ def prices(spark: SparkSession, folder: str) -> DataFrame:
     li = table(spark, folder, "lineitem").select(
         F.col("l_suppkey"), F.to_date("l_shipdate").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("c"), F.col("l_quantity").cast("bigint").alias("v")
     )
-    by = li.groupBy("l_suppkey", "date").agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
-    level = F.lit(1000.0) + F.sqrt(F.col("c").cast("double") / (F.lit(100.0) * F.col("v").cast("double")))
-    own = by.select(F.concat(F.lit("S"), "l_suppkey").alias("ticker"), "date", level.alias("close"), F.col("v").alias("volume"))
-    market = by.groupBy("date").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).select(F.lit("MKT").alias("ticker"), "date", level.alias("close"), F.col("v").alias("volume"))
-    return own.unionByName(market)
+    # suppliers' days and the market's in one pass over the table
+    by = li.groupingSets([["l_suppkey", "date"], ["date"]], "l_suppkey", "date").agg(F.grouping("l_suppkey").alias("all"), F.sum("c").alias("c"), F.sum("v").alias("v"))
+    ticker = F.when(F.col("all") == 1, F.lit("MKT")).otherwise(F.concat(F.lit("S"), "l_suppkey"))
+    return by.select(ticker.alias("ticker"), "date", (F.lit(1000.0) + F.sqrt(F.col("c").cast("double") / (F.lit(100.0) * F.col("v").cast("double")))).alias("close"), F.col("v").alias("volume"))
 
 
 def filings(spark: SparkSession, folder: str) -> DataFrame:
