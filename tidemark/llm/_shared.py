@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
@@ -61,14 +62,25 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def whole_rows(df: DataFrame) -> Column:
-    """All columns of df as one struct, so that columns added beside it can't clash with them."""
-    return F.struct(*[F.col(quoted(c)) for c in df.columns])
+def beside_text(df: DataFrame) -> Column:
+    """All columns of df but text as one struct, so that columns added beside it can't clash with them."""
+    return F.struct(*[F.col(quoted(c)) for c in df.columns if c != "text"] or [F.lit(0).alias("_")])
 
 
-def fields(df: DataFrame, struct: str) -> list[Column]:
-    """The columns of a struct column of df under their own names."""
-    return [F.col(f"{struct}.{quoted(f.name)}").alias(f.name) for f in df.schema[struct].dataType.fields]
+def unpacked(columns: list[str], text: str = "text", rest: str = "rest") -> list[Column]:
+    """The columns again, from a text column and the struct of the others."""
+    return [F.col(text if c == "text" else f"{rest}.{quoted(c)}").alias(c) for c in columns]
+
+
+def rows_where(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFrame:
+    """The rows of docs, all columns, whose text keep() marks in a list of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "text"):
+            yield batch.filter(pa.array(keep(batch.column("text").to_pylist())))
+
+    rows = docs.select(F.col("text").cast("string").alias("text"), beside_text(docs).alias("rest"))
+    return rows.mapInArrow(run, rows.schema).select(*unpacked(docs.columns))
 
 
 def heavy_join(left: DataFrame, right: DataFrame, key: str, rows: str, share: int = 1000) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._shared import fields, small, sorted_groups, whole_rows, written
+from ._shared import beside_text, small, sorted_groups, unpacked, written
 from ._words import Words, mix64, shingle_set
 from .components import merged
 
@@ -90,8 +90,8 @@ def _describe(near: Near):
 
 
 def _numbered(docs: DataFrame, near: Near, carry: bool = False) -> DataFrame:
-    """doc_id, text and, with carry, all of docs in the struct `rest`, written with _row, which no other row has, and _n, _set and _idx of their sets."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([whole_rows(docs).alias("rest")] if carry else []), F.monotonically_increasing_id().alias("_row"))
+    """doc_id, text and, with carry, the other columns in the struct `rest`, written with _row, which no other row has, and _n, _set and _idx of their sets."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([beside_text(docs).alias("rest")] if carry else []), F.monotonically_increasing_id().alias("_row"))
     schema = StructType([*(StructField(f.name, f.dataType) for f in rows.schema), StructField("_n", LongType()), StructField("_set", BinaryType()), StructField("_idx", BinaryType())])
     return written(rows.mapInArrow(_describe(near), schema), "minhash")
 
@@ -290,5 +290,5 @@ def deduplicated(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns."""
     rows = _numbered(docs, near, carry=True)
     kept = written(_classes(rows, near).where("kept").select("_row"), "kept")
-    out = rows.select("_row", "rest").join(kept.hint("merge"), "_row", "left_semi")
-    return out.select(*fields(out, "rest"))
+    out = rows.select("_row", "text", "rest").join(kept.hint("merge"), "_row", "left_semi")
+    return out.select(*unpacked(docs.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._linear import Rows, logistic, sigmoid
-from ._shared import small, written
+from ._shared import rows_where, small, written
 from ._words import Words, mix64
 
 SIZE = 8192
@@ -240,9 +240,4 @@ def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def kept_quality(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, that the model keeps."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
-            yield batch.filter(pa.array(model.score(batch.column("text").to_pylist())[0] >= least))
-
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, lambda texts: model.score(texts)[0] >= least)

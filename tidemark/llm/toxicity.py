@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._linear import Rows, logistic, sigmoid
-from ._shared import small, written
+from ._shared import rows_where, small, written
 from ._words import Words, _span_hash, mix64
 
 # Seed words of the weak categories.
@@ -211,9 +211,4 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
 
 def kept_clean(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of docs, all columns, that are not toxic."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
-            yield batch.filter(pa.array(chain.score(batch.column("text").to_pylist())[:, -1] < chain.cut))
-
-    return docs.mapInArrow(run, docs.schema)
+    return rows_where(docs, lambda texts: chain.score(texts)[:, -1] < chain.cut)
