@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import minhash, packing, quality, substring, toxicity
-from tidemark.llm._shared import quoted, written
+from tidemark.llm._shared import unpacked, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     document, so each gets the same text. Texts of any length are read whole; n_chars follows a changed text. An empty table gives
     an empty one. Columns of any name pass through.
     """
-    out = substring.repeats_removed(docs, window=20, carry=docs.columns)
+    out = substring.repeats_removed(docs, window=20, carry=[c for c in docs.columns if c != "text"])
     changed = F.col("n_removed") > 0
-    own = {f.name: F.col(f"rest.{quoted(f.name)}") for f in out.schema["rest"].dataType.fields}
+    own = dict(zip(docs.columns, unpacked(docs.columns)))
     own["text"] = F.when(changed, F.col("kept")).otherwise(own["text"])
     if "n_chars" in own:
         own["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
