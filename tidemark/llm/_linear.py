@@ -56,5 +56,8 @@ def logistic(x: Rows, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: i
         new = z - step * (x.back(weight * (sigmoid(x.dot(z)) - y)) / n + l2 * z)
         new = np.sign(new) * np.maximum(np.abs(new) - shrink, 0)
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        z, w, t = new + (t - 1) / u * (new - w), new, u
+        moved = new - w
+        if np.abs(moved).max() < 2e-3 * max(1.0, np.abs(new).max()):
+            return new
+        z, w, t = new + (t - 1) / u * moved, new, u
     return w
