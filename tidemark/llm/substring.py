@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._shared import forget, heavy_join, quoted, small, sorted_groups, written
+from ._shared import forget, quoted, small, sorted_groups, written
 from ._words import Words, chain
 
 GRAM = 3
@@ -209,8 +209,8 @@ def repeats_removed(docs: DataFrame, window: int = 20, bucket: int = 1000, carry
     whole = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("digest"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(quoted(c)) for c in carry] or [F.lit(0).alias("_")]).alias("rest"))
     texts = whole.drop("rest")
     occ = written(texts.mapInArrow(_occurrences(window), "doc long, digest long, start int, n int, key long, hits long"), "kmers")
-    again = written(occ.groupBy("key").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("rows")).where("hits > 1").select("key", "rows"), "kmers-again")
-    flags = written(heavy_join(occ, again, "key", "rows").groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "n", "key")).alias("flags")), "kmers-flags")
+    again = written(occ.groupBy("key").agg(F.sum("hits").alias("hits")).where("hits > 1").select("key"), "kmers-again")
+    flags = written(occ.join(again, "key").groupBy("doc", "digest").agg(F.collect_set(F.struct("start", "n", "key")).alias("flags")), "kmers-flags")
     forget(occ, again)
     strings = _with(texts, flags, "inner").mapInArrow(_packed(window), "key long, packed binary, doc long, digest long, start int")
     strings = strings.groupBy("key", "packed").agg(F.min(F.struct("doc", "digest", "start")).alias("at")).select("key", "packed", "at.*")
