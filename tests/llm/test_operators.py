@@ -94,6 +94,10 @@ def test_fingerprints(spark):
     want = {(a, b) for a in reps for b in reps if a < b and len(prints[a] & prints[b]) >= 0.5 * len(prints[a] | prints[b])}
     assert {(r.a, r.b) for r in pairs.collect()} == want
     assert {r.doc_id: r.a for r in members.collect()} == {i: heads[got[i].fingerprint] for i in prints}
+    one, two = ("the " + " ".join(f"{w}{i} the" for i in range(30)) for w in ("red", "blue"))
+    pairs, members = similar(frame(spark, [(7, one), (7, two), (8, one + " red30"), (None, two + " blue30 blue31")]), 0.8)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(7, 8), (7, None)}
+    assert similar(frame(spark, []))[0].count() == 0
     assert fingerprints(frame(spark, [])).count() == 0
 
 

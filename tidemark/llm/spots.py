@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import heavy_join, written
 
 # Common words of four languages.
 ANCHORS = sorted(set(
@@ -89,19 +89,26 @@ def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
 def similar(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, likeness) of representatives of equal fingerprints, and members (doc_id, a).
 
-    Sets are partitioned by length so that similar ones lie in one class or the next. They meet on their prefix in
-    the order of hashes, without which no similar pair can do, and then are compared in full.
+    Sets are partitioned by length so that similar ones lie in one class or the next. They meet on their prefix, the
+    signatures that the fewest sets have first, without which no similar pair can do, and then are compared in full.
+    A representative is the smallest doc_id of its fingerprint, null where all are; sets go by fingerprint, so ids may repeat.
     """
     rows = with_signatures(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", "own").where(F.size("own") > 0)
     rows = rows.select("doc_id", "own", F.sha2(as_text("own"), 256).alias("print"))
     sets = written(rows.groupBy("print").agg(F.min("doc_id").alias("a"), F.first("own").alias("own")), "spots")
     members = rows.select("doc_id", "print").join(sets.select("print", "a"), "print").select("doc_id", "a")
-    n = F.size("own")
+    spots = sets.select("print", F.explode("own").alias("spot"))
+    often = spots.groupBy("spot").agg(F.count(F.lit(1)).alias("often")).withColumn("rows", F.col("often"))
+    rare = F.sort_array(F.collect_list(F.struct("often", "spot"))).getField("spot")
+    sorted_sets = heavy_join(spots, often, "spot", "rows").groupBy("print").agg(rare.alias("rare"))
+    n = F.size("rare")
     length = F.floor(F.log(n.cast("double")) / math.log(1 / least)).cast("int")
-    prefix = F.explode(F.slice("own", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias("spot")
-    small = sets.select(F.col("a"), n.alias("n"), F.explode(F.array(length, length + 1)).alias("class"), "own").select("a", "n", "class", prefix)
-    large = sets.select(F.col("a").alias("b"), n.alias("m"), length.alias("class"), "own").select("b", "m", "class", prefix)
-    meet = small.join(large, ["class", "spot"]).where("(n < m OR (n = m AND a < b)) AND n >= m * %r" % (least - 1e-12)).select("a", "b").distinct()
-    full = meet.join(sets.select("a", F.col("own").alias("x")), "a").join(sets.select(F.col("a").alias("b"), F.col("own").alias("y")), "b")
+    prefix = F.slice("rare", 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)
+    prefixes = written(sorted_sets.select("print", n.alias("n"), length.alias("class"), prefix.alias("prefix")), "spots-prefixes")
+    small = prefixes.select(F.col("print").alias("p"), "n", F.explode(F.array("class", F.col("class") + 1)).alias("class"), "prefix").select("p", "n", "class", F.explode("prefix").alias("spot"))
+    large = prefixes.select(F.col("print").alias("q"), F.col("n").alias("m"), "class", F.explode("prefix").alias("spot"))
+    meet = small.join(large, ["class", "spot"]).where("(n < m OR (n = m AND p < q)) AND n >= m * %r" % (least - 1e-12)).select("p", "q").distinct()
+    full = meet.join(sets.select(F.col("print").alias("p"), "a", F.col("own").alias("x")), "p").join(sets.select(F.col("print").alias("q"), F.col("a").alias("b"), F.col("own").alias("y")), "q")
     pairs = full.select("a", "b", likeness("x", "y").alias("likeness")).where(F.col("likeness") >= least)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"), members
+    ordered = F.col("b").isNull() | (F.col("a") <= F.col("b"))  # nulls last
+    return pairs.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("b"), "likeness"), members
