@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, source_of, written
+from ._shared import drop, forget, source_of, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -60,8 +60,11 @@ def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     head = lambda end: classes.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     ends = links.join(head("a"), "a", "left").join(head("b"), "b", "left")
     between = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    heads = written(components(between), "heads")
+    edges = components(between)
+    heads = written(edges, "heads")
     found = heads.select(F.col("node").alias("component"), F.col("component").alias("head"))
     old = classes.join(found, "component", "left").select("node", F.coalesce("head", "component").alias("component"))
     new = heads.join(classes.select("node"), "node", "left_anti")
-    return written(old.unionByName(new), "classes")
+    out = written(old.unionByName(new), "classes")
+    forget(edges, heads)
+    return out

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._shared import beside_text, small, sorted_groups, unpacked, written
+from ._shared import beside_text, forget, small, sorted_groups, unpacked, written
 from ._words import Words, mix64, shingle_set
 from .components import merged
 
@@ -268,10 +268,13 @@ def _classes(rows: DataFrame, near: Near) -> DataFrame:
         found = written(_links(_candidates(shared, texts, near, classes, nearest), texts, near), "minhash-links")
         n = found.count()
         if n or classes is None:
-            classes = merged(classes, found)
+            old, classes = classes, merged(classes, found)
+            forget(*([old] if old is not None else []))
+        forget(found)
         if not nearest:
             break
         nearest, last = n > last // 20, n  # all pairs come last, whenever nearest ones have become few
+    forget(shared, texts)
     members = classes.withColumnRenamed("node", "id").join(reps.select("id", "first"), "id")
     heads = classes.join(members.groupBy("component").agg(F.min("first").alias("head")), "component").select(F.col("node").alias("id"), "head")
     heads = reps.select("_set", "id", "first").join(heads, "id", "left").select("_set", F.coalesce("head", "first").alias("head"))
