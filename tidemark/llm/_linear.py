@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 
@@ -9,6 +11,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class _Sums:
+    """Weighted sums of entries by one of their two indices, which is sorted once for the many steps of a fit."""
+
+    def __init__(self, by: np.ndarray, other: np.ndarray, value: np.ndarray, size: int):
+        order = np.argsort(by.astype(np.min_scalar_type(size)), kind="stable")  # narrow numbers sort by radix
+        by = by[order]
+        self.starts = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.empty(0, np.int64)
+        self.at, self.other, self.size = by[self.starts], other[order].astype(np.int32), size
+        self.value = None if (value == 1).all() else value[order]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self.at):
+            part = x.take(self.other)
+            out[self.at] = np.add.reduceat(part if self.value is None else part * self.value, self.starts)
+        return out
+
+
 class Rows:
     """A matrix whose first `width` columns are sparse, entries at (row, column), and whose last ones are dense."""
 
@@ -17,10 +37,18 @@ class Rows:
         self.shape = (len(dense), width + dense.shape[1])
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * w[self.column], minlength=self.shape[0]) + self.dense @ w[self.width :]
+        return self._by_row.of(w[: self.width]) + self.dense @ w[self.width :]
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(self.column, self.value * r[self.row], minlength=self.width), self.dense.T @ r)
+        return np.append(self._by_column.of(r), self.dense.T @ r)
+
+    @cached_property
+    def _by_row(self) -> _Sums:
+        return _Sums(self.row, self.column, self.value, self.shape[0])
+
+    @cached_property
+    def _by_column(self) -> _Sums:
+        return _Sums(self.column, self.row, self.value, self.width)
 
     def squares(self) -> np.ndarray:
         """Mean square of each column."""
