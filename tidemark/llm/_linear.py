@@ -18,7 +18,7 @@ class _Sums:
         order = np.argsort(by.astype(np.min_scalar_type(size)), kind="stable")  # narrow numbers sort by radix
         by = by[order]
         self.starts = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.empty(0, np.int64)
-        self.at, self.other, self.size = by[self.starts], other[order].astype(np.int32), size
+        self.at, self.other, self.size = by[self.starts], other[order].astype(np.intp), size
         self.value = None if (value == 1).all() else value[order]
 
     def of(self, x: np.ndarray) -> np.ndarray:
