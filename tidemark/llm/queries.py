@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_50k.tiktoken"
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +84,16 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_substring, op3_fingerprints, op4_packing, op5_bpe, op6_quality, op7_minhash, op8_warc, op9_toxicity, op10_tokens)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import aligned
+
+    rows, _ = aligned(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
+    return rows.select(*[c for c in rows.columns if c != "groups"], F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_substring, op3_fingerprints, op4_packing, op5_bpe, op6_quality, op7_minhash, op8_warc, op9_toxicity, op10_tokens, op11_alignment)}
 
 ORACLE = {
     "op1_topk": """
