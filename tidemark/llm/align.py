@@ -257,5 +257,6 @@ def aligned(docs: DataFrame, ranks_path: str, pattern: str, pieces_path: str, ch
     pairs = written(texts.mapInArrow(_chunks(folder, (ranks_path, pattern, pieces_path), chunk), "chunk long, i int, a int, b int, n long"), "aligned-chunks")
     counts = pair_counts(pairs)
     entries = pairs.drop("n").join(counts.hint("merge"), ["a", "b"]).select("chunk", "i", F.col("links").alias("n"), F.col("best").cast("int").alias("best"))
-    rows = entries.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_results(folder), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # in so many words, for rows are few beside the files that they stand for
+    rows = entries.repartition(tasks, "chunk").sortWithinPartitions("chunk").mapInArrow(_results(folder), "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string")
     return rows, counts.where("links > 0")
