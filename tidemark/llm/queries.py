@@ -93,7 +93,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "groups"], F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_substring, op3_fingerprints, op4_packing, op5_bpe, op6_quality, op7_minhash, op8_warc, op9_toxicity, op10_tokens, op11_alignment)}
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import described, periodic_runs, planted
+
+    return described(periodic_runs(_table(spark, sf_dir, "documents"), least=6, times=4, change=planted))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_substring, op3_fingerprints, op4_packing, op5_bpe, op6_quality, op7_minhash, op8_warc, op9_toxicity, op10_tokens, op11_alignment, op12_runs)}
 
 ORACLE = {
     "op1_topk": """
