@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .licenses import oracle
+
 RANKS = "byte_bpe_50k.tiktoken"
 VOCABULARY = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -99,7 +101,13 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(periodic_runs(_table(spark, sf_dir, "documents"), least=6, times=4, change=planted))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_substring, op3_fingerprints, op4_packing, op5_bpe, op6_quality, op7_minhash, op8_warc, op9_toxicity, op10_tokens, op11_alignment, op12_runs)}
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_table(spark, sf_dir, "documents")).drop("places")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_substring, op3_fingerprints, op4_packing, op5_bpe, op6_quality, op7_minhash, op8_warc, op9_toxicity, op10_tokens, op11_alignment, op12_runs, op13_licenses)}
 
 ORACLE = {
     "op1_topk": """
@@ -122,4 +130,5 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """,
+    "op13_licenses": oracle(),
 }
