@@ -1,7 +1,6 @@
 """Core operators against the SQL oracle, brute force and hand-made cases."""
 
 import datetime as dt
-import inspect
 import os
 import random
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import stats as X
 from tidemark.operators import cleaning, engine, longshort, models, places, returns, robustness
+from tidemark.operators.boosting import Boosting
 from tidemark.operators.engine import Scenario
 from tidemark.plans.registry import ORACLE, QUERIES, _year_scenarios
 from tidemark.sources import tables as S
@@ -206,9 +206,9 @@ def test_ridge_against_closed_form(spark):
 
 
 def test_boosting_has_no_gate(spark):
-    assert inspect.signature(models.walk_forward).parameters["trees"].default == 600
+    assert Boosting().trees == 600
     rows, data = events_of_days(spark, 2)
-    assert {r.event_id for r in models.walk_forward(data, "gbt", splits=2, trees=12).collect()} == {r[0] for r in rows if r[3] >= dt.date(2024, 1, 21)}
+    assert {r.event_id for r in models.walk_forward(data, "gbt", splits=2, boosting=Boosting(trees=3)).collect()} == {r[0] for r in rows if r[3] >= dt.date(2024, 1, 21)}
 
 
 NAN = float("nan")

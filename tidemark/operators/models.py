@@ -7,11 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import present
+from tidemark.operators.boosting import Boosting, fit_folds, scored
 from tidemark.operators.places import mean_ranks
 from tidemark.sources.tables import shared_folder, written
 
 FEATURES = ["mom_1d", "mom_5d", "mom_20d", "vol_20d", "dollar_vol_20d"]
 ROWS = 100_000
+BLOCK = 50_000
 NUMBERS, CATEGORIES = [*FEATURES, "dow", "month"], ["form", "session_bucket"]
 
 
@@ -68,12 +70,24 @@ def _assembled(df: DataFrame):
 
 
 def _checkpoints(spark) -> None:
-    """Boosting cuts its lineage every ten trees, if the context has a checkpoint folder."""
+    """Boosting cuts its lineage every few trees in the context's checkpoint folder."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
-def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10.0, c: float = 1.0, least_train: int = 200, least_test: int = 50, trees: int = 600) -> DataFrame:
+def boosted(data: DataFrame, splits: int, settings: Boosting) -> DataFrame:
+    """walk_forward() by boosted trees, all folds in the same jobs."""
+    _checkpoints(data.sparkSession)
+    marks = written(folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date"), "folds")
+    roles = {r: data.join(F.broadcast(marks.where(F.col("role") == r).drop("role")), "trade_date") for r in ("train", "test")}  # days x folds
+    train = written(roles["train"].select("fold", "event_id", "y", *NUMBERS, *CATEGORIES), "boosting-rows")
+    models, categories = fit_folds(train, NUMBERS, CATEGORIES, settings, 1 + train.count() // BLOCK)
+    spans = F.broadcast(marks.where("role = 'test'").groupBy("fold").agg(F.min("trade_date").alias("test_start"), F.max("trade_date").alias("test_end")))
+    test = roles["test"].select("fold", "event_id", "ticker", F.col("trade_date").alias("date"), "y", *NUMBERS, *CATEGORIES)
+    return scored(test, models, NUMBERS, categories, ["ticker", "date", "y"]).join(spans, "fold").select("event_id", "ticker", "date", "fold", "test_start", "test_end", "y", "pred")
+
+
+def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10.0, c: float = 1.0, least_train: int = 200, least_test: int = 50, boosting: Boosting | None = None) -> DataFrame:
     """Out-of-sample rows (event_id, ticker, date, fold, test_start, test_end, y, pred) of a ridge, logit or gbt model, a model for each fold.
 
     Folds are fitted side by side, on partitions of about ROWS rows. Small folds are left out of ridge and logit alone.
@@ -82,12 +96,11 @@ def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10
 
     from pyspark import inheritable_thread_target
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
+    from pyspark.ml.regression import LinearRegression
 
     spark = data.sparkSession
     if model == "gbt":
-        least_train = least_test = 1
-        _checkpoints(spark)
+        return boosted(data, splits, boosting or Boosting())
     marks = written(folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date"), "folds")
 
     @inheritable_thread_target(spark)
@@ -101,10 +114,8 @@ def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10
         rows = prepare(train).withColumn("label", (F.col("y") > 0).cast("double") if model == "logit" else F.col("y")).select("features", "label").coalesce(1 + size.n // ROWS)
         if model == "ridge":  # the library divides by n and scales by the label's deviation
             fit = LinearRegression(regParam=alpha / size.n * size.sd, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
-        elif model == "logit":
-            fit = LogisticRegression(regParam=1 / (c * size.n), standardization=False, maxIter=2000, tol=1e-8).fit(rows)
         else:
-            fit = GBTRegressor(maxIter=trees, stepSize=0.05, maxDepth=5, seed=42).fit(rows)
+            fit = LogisticRegression(regParam=1 / (c * size.n), standardization=False, maxIter=2000, tol=1e-8).fit(rows)
         scored = fit.transform(prepare(test))
         if model == "logit":
             from pyspark.ml.functions import vector_to_array
