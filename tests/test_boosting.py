@@ -28,7 +28,7 @@ def plain(bins, y, ids, s):
                     a, b = g[own[left]], g[own[~left]]
                     if min(len(a), len(b)) >= s.least:
                         gain = a.sum() ** 2 / (len(a) + s.shrink) + b.sum() ** 2 / (len(b) + s.shrink) - g[own].sum() ** 2 / (len(own) + s.shrink)
-                        if gain > 1e-12 and (top is None or gain > top[0] + 1e-12):
+                        if gain > 1e-12 and (top is None or gain > top[0] * (1 + boosting.TIE)):
                             top = (gain, j, cut)
             return top
 

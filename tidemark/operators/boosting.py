@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.tables import written
 
 MERGED_BY_DRIVER = 64
+TIE = 1e-10  # gains this close, as sums in another order give, are equal
 
 
 @dataclass(frozen=True)
@@ -114,9 +115,12 @@ def best_split(hist: np.ndarray, use: np.ndarray, settings: Boosting) -> tuple[f
     score = lambda x: x[..., 0] ** 2 / (x[..., 1] + settings.shrink)
     gain = score(left) + score(right) - score(whole)
     gain[(left[..., 1] < settings.least - 0.5) | (right[..., 1] < settings.least - 0.5) | ~use[:, None]] = -np.inf
-    at = int(gain.argmax())
+    top = gain.max()
+    if not top > 1e-12:
+        return None
+    at = int(np.argmax(gain >= top * (1 - TIE)))
     feature, cut = divmod(at, gain.shape[1])
-    return (float(gain.flat[at]), feature, cut) if gain.flat[at] > 1e-12 else None
+    return float(gain.flat[at]), feature, cut
 
 
 class Growth:
