@@ -122,10 +122,31 @@ def test_bootstrap_of_all_groups(spark):
         at = {"ALL": None, "form": 1, "bucket": 2}[group]
         x = [v for row in rows if (v := row[3 if metric == "x" else 4]) is not None and (at is None or row[at] == split)]
         mean = sum(x) / len(x)
-        means = [sum(rng.choices(x, k=len(x))) / len(x) for _ in range(400)]
+        means = np.random.default_rng(1).choice(x, (8000, len(x))).mean(1)
         assert r.n == len(x) and abs(r.mean - mean) < 1e-12
         assert abs(r.boot_p * 2000 - round(r.boot_p * 2000)) < 1e-6
-        assert abs(r.boot_p - sum(abs(m) >= abs(mean) for m in means) / 400) < 0.13
+        assert abs(r.boot_p - (abs(means) >= abs(mean)).mean()) < 0.035  # three deviations of the 2000 draws
+
+
+def test_bootstrap_weights():
+    w = returns._weights(np.arange(3000), 2000).astype(float)
+    assert w.shape == (3000, 2000) and abs(w.mean() - 1) < 2e-3 and abs(w.var() - 1) < 5e-3
+    assert abs(np.corrcoef(w[:, :200].T) - np.eye(200)).max() < 0.1 and abs(np.corrcoef(w[:200]) - np.eye(200)).max() < 0.12
+
+
+def test_market_fits_keep_their_digits(spark):
+    rng = np.random.default_rng(2)
+    mkt = 5 + 1e-3 * rng.standard_normal(400)
+    rows = [(t, i, float(a + b * m + 1e-4 * e), float(m)) for t, a, b in (("A", 1000.0, 2.0), ("B", -1e-3, 0.5)) for i, (m, e) in enumerate(zip(mkt, rng.standard_normal(400)))]
+    rows += [("C", i, 0.1 * i, 1.0) for i in range(400)]  # a market that doesn't move has no fit
+    joint = spark.createDataFrame(rows, "ticker string, pos int, ret double, mkt double").withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), F.col("pos")))
+    got = {(r.ticker, r.pos): r for r in returns.market_fits(joint).collect()}
+    ret = {(t, i): y for t, i, y, _ in rows}
+    for t in "AB":
+        for i in range(120, 400, 7):
+            beta, alpha = np.polyfit(mkt[i - 120 : i - 21] - 5, [ret[t, j] for j in range(i - 120, i - 21)], 1)
+            assert got[t, i].n_est == 99 and abs(got[t, i].beta - beta) < 1e-6 and abs(got[t, i].alpha + 5 * got[t, i].beta - alpha) < 1e-9
+    assert all(got["C", i].beta is None and got["C", i].alpha is None for i in range(400))
 
 
 def test_bootstrap_reaches_q(spark):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,19 +62,34 @@ def joint_returns(returns: DataFrame, market: str) -> DataFrame:
     return joint.withColumns({"pos": F.row_number().over(by_ticker()) - 1, "n": F.count(F.lit(1)).over(W.partitionBy("ticker"))})
 
 
-def market_fits(days: DataFrame, joint: DataFrame, first: int = -120, last: int = -22) -> DataFrame:
-    """(ticker, pos, alpha, beta, n_est) of distinct days (ticker, pos), over the rows first..last around each; days without events are never fitted."""
-    frame = days.select("ticker", "pos", F.explode(F.sequence(F.col("pos") + first, F.col("pos") + last)).alias("at"))
-    rows = frame.join(joint.select("ticker", F.col("pos").alias("at"), "ret", "mkt"), ["ticker", "at"])
-    return rows.groupBy("ticker", "pos").agg(F.regr_intercept("ret", "mkt").alias("alpha"), F.regr_slope("ret", "mkt").alias("beta"), F.count("ret").alias("n_est"))
+def market_fits(joint: DataFrame, first: int = -120, last: int = -22) -> DataFrame:
+    """joint with alpha, beta and n_est of the rows first..last around each, null without such rows or a market that moved in them.
+
+    A window's moments are the difference of two rows of running sums, so a row costs the same whatever the window's length. Sums are of
+    deviations from the ticker's means, which keeps the digits that large running sums of raw values would lose.
+    """
+    whole, run = W.partitionBy("ticker"), by_ticker().rowsBetween(W.unboundedPreceding, 0)
+    rows = joint.withColumns({"_mx": F.avg("mkt").over(whole), "_my": F.avg("ret").over(whole)}).withColumns({"_x": F.col("mkt") - F.col("_mx"), "_y": F.col("ret") - F.col("_my")})
+    sums = {"_sn": F.lit(1), "_sx": F.col("_x"), "_sy": F.col("_y"), "_sxx": F.col("_x") * F.col("_x"), "_sxy": F.col("_x") * F.col("_y")}
+    rows = rows.withColumns({name: F.sum(value).over(run) for name, value in sums.items()})
+
+    def within(name: str):
+        return F.coalesce(F.lag(name, -last).over(by_ticker()), F.lit(0)) - F.coalesce(F.lag(name, 1 - first).over(by_ticker()), F.lit(0))
+
+    rows = rows.withColumns({f"{name}_w": within(name) for name in sums})
+    n, x, y, xx, xy = (F.col(f"{name}_w") for name in sums)
+    x, y = F.try_divide(x, n), F.try_divide(y, n)
+    spread = xx - n * x * x
+    rows = rows.withColumn("beta", F.when((n > 1) & (spread > 1e-12 * F.col("_sxx")), (xy - n * x * y) / spread))
+    alpha = (F.col("_my") + y) - F.col("beta") * (F.col("_mx") + x)
+    return rows.withColumns({"alpha": alpha, "n_est": n.cast("long")}).select(*joint.columns, "alpha", "beta", "n_est")
 
 
 def study_events(events: DataFrame, joint: DataFrame, before: int = 120, after: int = 5) -> DataFrame:
-    """Events with a whole estimation and event window and a fit."""
-    at = joint.select("ticker", F.col("date").alias("trade_date"), "pos", "n")
+    """Events with a whole estimation and event window and a fit; joint is market_fits()."""
+    at = joint.select("ticker", F.col("date").alias("trade_date"), "pos", "n", "alpha", "beta", "n_est")
     found = events.join(at, ["ticker", "trade_date"]).where((F.col("pos") >= before) & (F.col("pos") + after < F.col("n")))
-    fits = market_fits(found.select("ticker", "pos").distinct(), joint)
-    return found.join(fits, ["ticker", "pos"]).where(F.col("alpha").isNotNull())
+    return found.where(F.col("alpha").isNotNull())
 
 
 def abnormal_returns(study: DataFrame, joint: DataFrame, first: int = -10, last: int = 5) -> DataFrame:
@@ -111,25 +131,82 @@ def false_discovery(tests: DataFrame, p: str = "p") -> DataFrame:
     return rows.withColumn("q", F.when(F.col("_known") == F.col("_n"), q)).drop("_k", "_n", "_known")
 
 
+def _poisson() -> np.ndarray:
+    """Poisson(1) by each of 65536 equal shares of probability."""
+    cumulative = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)])
+    return np.searchsorted(cumulative, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+
+
+def _weights(hashes: np.ndarray, draws: int) -> np.ndarray:
+    """(row, draw) weights; a mixed number gives four draws."""
+    x = hashes.astype(np.uint64)[:, None] + np.arange(1, -(-draws // 4) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return _poisson()[x.view(np.uint16)[:, :draws]]
+
+
+def _summed(keys: list[str], column: str):
+    """Rows of equal keys with their arrays added up, a row a key for each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            arrays = batch.column(column)
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys))):
+                own = arrays[i].values.to_numpy()
+                sums[key] = sums[key] + own if key in sums else own.copy()
+        if sums:
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in zip(*sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=[*keys, column])
+
+    return run
+
+
+def bootstrap_sums(cars: DataFrame, groups: list[str], metrics: list[str], draws: int, salts: int = 32) -> DataFrame:
+    """(group, split, sums) of all events and of each group: for each metric, its weighed sums and weights of all draws, one after the other.
+
+    An event is drawn once for all tests. A task keeps the sums of each cell of all groups and sends a row a cell; rows are added up by cell in `salts`
+    parts, then by split, so that no task adds up all tasks' rows.
+    """
+    rows = cars.select(F.xxhash64("event_id").alias("h"), *[F.col(g).cast("string").alias(g) for g in groups], *[F.col(m).cast("double").alias(m) for m in metrics])
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            cells = list(zip(*(batch.column(g).to_pylist() for g in groups)))
+            number = {c: i for i, c in enumerate(dict.fromkeys(cells))}
+            own = np.array([number[c] for c in cells])
+            x = np.stack([batch.column(m).to_numpy(zero_copy_only=False).astype(np.float64) for m in metrics], axis=1)
+            there = np.isfinite(x)
+            both = np.concatenate([np.where(there, x, 0.0), there], axis=1)
+            hashes = batch.column("h").to_numpy()
+            for cell, i in number.items():
+                at = np.flatnonzero(own == i)
+                for part in np.array_split(at, -(-len(at) // 256)):
+                    got = both[part].T @ _weights(hashes[part], draws).astype(np.float64)
+                    sums[cell] = sums[cell] + got if cell in sums else got
+        if sums:
+            yield pa.RecordBatch.from_arrays([*(pa.array(k, pa.string()) for k in zip(*sums)), pa.array([v.ravel() for v in sums.values()], pa.list_(pa.float64()))], names=[*groups, "sums"])
+
+    cells = rows.mapInArrow(drawn, ", ".join(f"`{g}` string" for g in groups) + ", sums array<double>")
+    cells = cells.repartition(salts, *groups, F.spark_partition_id() % salts).mapInArrow(_summed(groups, "sums"), cells.schema)
+    splits = F.explode(F.array(F.struct(F.lit("ALL").alias("group"), F.lit("ALL").alias("split")), *[F.struct(F.lit(g).alias("group"), F.col(g).alias("split")) for g in groups]))
+    by_split = cells.select(splits.alias("g"), "sums").select("g.*", "sums").where("split is not null")
+    return by_split.repartition("group", "split").mapInArrow(_summed(["group", "split"], "sums"), "group string, split string, sums array<double>")
+
+
 def bootstrap_tests(cars: DataFrame, groups: list[str], metrics: list[str], draws: int = 2000, least: int = 100) -> DataFrame:
     """subgroup_tests() with boot_p: share of uncentred resample means at least as far from 0 as the mean; null below five rows.
 
-    Resampling is by Poisson weights from hashes, so groups are never gathered: an event is drawn once for all tests, sums
-    are combined on the map side by cell of all groups, and cells are added up to splits.
+    Resampling is by Poisson weights from hashes, so groups are never gathered.
     """
     cars = cars.withColumns({m: F.when(finite(m), F.col(m)) for m in metrics})
-    u = (F.xxhash64("h", "i") / F.lit(2.0**64)) + 0.5
-    # Poisson(1) by its cumulative probabilities
-    cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    draw = cars.select(*groups, *metrics, F.xxhash64("event_id").alias("h"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i")).withColumn("u", u)
-    k = sum(((F.col("u") > c).cast("int") for c in cut[1:]), (F.col("u") > cut[0]).cast("int"))
-    weighed = [x for m in metrics for x in (F.sum(F.col("k") * F.col(m)).alias(f"s_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col("k"))).alias(f"w_{m}"))]
-    cells = draw.withColumn("k", k).groupBy(*groups, "i").agg(*weighed)
-    splits = F.explode(F.array(F.struct(F.lit("ALL").alias("group"), F.lit("ALL").alias("split")), *[F.struct(F.lit(g).alias("group"), F.col(g).alias("split")) for g in groups]))
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"s_{m}").alias("s"), F.col(f"w_{m}").alias("w")) for m in metrics]))
-    sums = cells.withColumn("g", splits).select("g.*", "i", each.alias("m")).select("group", "split", "m.metric", "i", "m.s", "m.w")
-    means = sums.groupBy("group", "split", "metric", "i").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    sums = bootstrap_sums(cars, groups, metrics, draws)
+    part = lambda i: F.slice("sums", i * draws + 1, draws)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.zip_with(part(i), part(len(metrics) + i), F.try_divide).alias("means")) for i, m in enumerate(metrics)]))
+    means = sums.select("group", "split", each.alias("m")).select("group", "split", "m.*")
     tests = subgroup_tests(cars, groups, metrics, least)
     keys = ["group", "split", "metric"]
-    share = means.join(tests.select(*keys, "mean"), keys).groupBy(*keys).agg(F.avg((F.abs("m") >= F.abs("mean")).cast("double")).alias("p"))
-    return tests.join(share, keys, "left").select(*keys, "n", "mean", "t_stat", F.when(F.col("n") >= 5, F.col("p")).alias("boot_p"))
+    drawn = F.filter("means", lambda m: m.isNotNull())
+    share = F.try_divide(F.size(F.filter(drawn, lambda m: F.abs(m) >= F.abs("mean"))).cast("double"), F.size(drawn))
+    return tests.join(means, keys, "left").select(*keys, "n", "mean", "t_stat", F.when(F.col("n") >= 5, share).alias("boot_p"))

@@ -196,7 +196,7 @@ def _prices(spark, d):
 
 
 def _joint(spark, d, prices=None):
-    return S.written(returns.joint_returns(returns.daily_returns(S.prices(spark, d) if prices is None else prices), "MKT"), "joint")
+    return S.written(returns.market_fits(returns.joint_returns(returns.daily_returns(S.prices(spark, d) if prices is None else prices), "MKT")), "joint")
 
 
 def _study(spark, d, prices=None):
@@ -515,7 +515,7 @@ def costed_eventlevel_gaps(spark, d):
 
 def _engine_inputs(spark, d):
     rets = S.written(returns.daily_returns(S.prices(spark, d)), "returns")
-    joint = S.written(returns.joint_returns(rets, "MKT"), "joint")
+    joint = S.written(returns.market_fits(returns.joint_returns(rets, "MKT")), "joint")
     preds = returns.study_events(S.filings(spark, d), joint).select(F.lit("base").alias("pred_set"), "event_id", "ticker", F.col("trade_date").alias("date"), "pred")
     return rets, S.written(preds, "predictions")
 
