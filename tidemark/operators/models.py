@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import present
+from tidemark.operators import linear
 from tidemark.operators.boosting import Boosting, fit_folds, scored
 from tidemark.operators.places import mean_ranks
 from tidemark.sources.tables import shared_folder, written
 
 FEATURES = ["mom_1d", "mom_5d", "mom_20d", "vol_20d", "dollar_vol_20d"]
-ROWS = 100_000
 BLOCK = 50_000
 NUMBERS, CATEGORIES = [*FEATURES, "dow", "month"], ["form", "session_bucket"]
 
@@ -55,20 +55,6 @@ def class_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_test"), F.avg(((F.col("prob") > 0.5).cast("double") == truth).cast("double")).alias("accuracy"), F.avg("prob").alias("pos_rate_pred"), F.avg(truth).alias("pos_rate_true"))
 
 
-def _assembled(df: DataFrame):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-
-    # population scaling: the sample scaler's factor would not match the closed form
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in NUMBERS], *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMBERS]).first()
-    scaled = lambda d: d.withColumns({f"z_{c}": (F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0) for c in NUMBERS})
-    index = StringIndexer(inputCols=CATEGORIES, outputCols=[f"{c}_i" for c in CATEGORIES], handleInvalid="keep", stringOrderType="alphabetAsc")
-    hot = OneHotEncoder(inputCols=[f"{c}_i" for c in CATEGORIES], outputCols=[f"{c}_v" for c in CATEGORIES], dropLast=True)
-    join = VectorAssembler(inputCols=[*(f"z_{c}" for c in NUMBERS), *(f"{c}_v" for c in CATEGORIES)], outputCol="features")
-    fitted = Pipeline(stages=[index, hot, join]).fit(scaled(df))
-    return lambda d: fitted.transform(scaled(d))
-
-
 def _checkpoints(spark) -> None:
     """Boosting cuts its lineage every few trees in the context's checkpoint folder."""
     if not spark.sparkContext.getCheckpointDir():
@@ -90,42 +76,19 @@ def boosted(data: DataFrame, splits: int, settings: Boosting) -> DataFrame:
 def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10.0, c: float = 1.0, least_train: int = 200, least_test: int = 50, boosting: Boosting | None = None) -> DataFrame:
     """Out-of-sample rows (event_id, ticker, date, fold, test_start, test_end, y, pred) of a ridge, logit or gbt model, a model for each fold.
 
-    Folds are fitted side by side, on partitions of about ROWS rows. Small folds are left out of ridge and logit alone.
+    Small folds are left out of ridge and logit alone.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.regression import LinearRegression
-
-    spark = data.sparkSession
     if model == "gbt":
         return boosted(data, splits, boosting or Boosting())
     marks = written(folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date"), "folds")
-
-    @inheritable_thread_target(spark)
-    def one(fold: int) -> DataFrame | None:
-        train, test = (data.join(F.broadcast(marks.where((F.col("fold") == fold) & (F.col("role") == r)).select("trade_date")), "trade_date") for r in ("train", "test"))
-        size = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("y").alias("sd")).first()
-        held = test.agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("start"), F.max("trade_date").alias("end")).first()
-        if size.n < least_train or held.n < least_test:
-            return None
-        prepare = _assembled(train)
-        rows = prepare(train).withColumn("label", (F.col("y") > 0).cast("double") if model == "logit" else F.col("y")).select("features", "label").coalesce(1 + size.n // ROWS)
-        if model == "ridge":  # the library divides by n and scales by the label's deviation
-            fit = LinearRegression(regParam=alpha / size.n * size.sd, elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
-        else:
-            fit = LogisticRegression(regParam=1 / (c * size.n), standardization=False, maxIter=2000, tol=1e-8).fit(rows)
-        scored = fit.transform(prepare(test))
-        if model == "logit":
-            from pyspark.ml.functions import vector_to_array
-
-            scored = scored.withColumn("prediction", F.get(vector_to_array("probability"), F.lit(1)))
-        return scored.select("event_id", "ticker", F.col("trade_date").alias("date"), F.lit(fold).alias("fold"), F.lit(held.start).alias("test_start"), F.lit(held.end).alias("test_end"), "y", F.col("prediction").alias("pred"))
-
-    with ThreadPool(splits) as pool:
-        parts = [x for x in pool.map(one, range(splits)) if x is not None]
-    out = spark.createDataFrame([], "event_id long, ticker string, date date, fold int, test_start date, test_end date, y double, pred double")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    days = data.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    sizes = days.join(F.broadcast(marks), "trade_date").groupBy("fold").agg(F.sum(F.when(F.col("role") == "train", F.col("n"))).alias("train"), F.sum(F.when(F.col("role") == "test", F.col("n"))).alias("test"))
+    some = [r.fold for r in sizes.collect() if (r.train or 0) >= least_train and (r.test or 0) >= least_test]
+    marks = marks.where(F.col("fold").isin(some))
+    x = linear.design(data, NUMBERS, CATEGORIES)
+    weights = linear.fit_ridge(data, marks, x, alpha) if model == "ridge" else linear.fit_logit(data, marks, x, c)
+    test = marks.where("role = 'test'").drop("role")
+    spans = F.broadcast(days.join(F.broadcast(test), "trade_date").groupBy("fold").agg(F.min("trade_date").alias("test_start"), F.max("trade_date").alias("test_end")))
+    out = linear.scored(data.join(F.broadcast(test), "trade_date"), weights, x, "pred").join(spans, "fold")
+    pred = F.col("pred") if model == "ridge" else 1 / (1 + F.exp(-F.col("pred")))
+    return out.select("event_id", "ticker", F.col("trade_date").alias("date"), "fold", "test_start", "test_end", "y", pred.alias("pred"))
