@@ -192,7 +192,7 @@ def test_sanity_sets(spark):
 def test_sanity_engine(spark):
     got = {r.variant: r.asDict() for r in QUERIES["sanity_engine"](spark, SF).collect()}
     assert set(got) == {"base_oos_pred", "random_predictions", "shuffled_labels_proxy", "within_day_shuffle"}
-    base = next(r.asDict() for r in QUERIES["engine_summary"](spark, SF).collect() if r.scenario_id == 0)
+    base = next(r.asDict() for r in QUERIES["engine_oos"](spark, SF).collect() if r.scenario_id == 0)
     assert all(got["base_oos_pred"][c] == v for c, v in base.items() if c != "scenario_id")
 
 

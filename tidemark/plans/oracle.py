@@ -44,6 +44,9 @@ CTE = {
 ORDER = ["li", "pr", "sk", "fi", "sg", "rt0", "rt", "ft", "jt", "mm", "st", "ar", "ca", "et", "bk", "cw", "cal", "sp", "md", "yd", "tc", "pt", "fd", "fo"]
 
 
+_KEPT = ("rt", "mm", "st", "ar", "db", "xl", "tn", "tz", "mo", "zc", "ax", "op")
+
+
 def sql(final: str, *extra: tuple[str, str]) -> str:
     """final with those expressions that it needs, directly or through others."""
     import re
@@ -57,8 +60,35 @@ def sql(final: str, *extra: tuple[str, str]) -> str:
             if n not in need and re.search(rf"\b(FROM|JOIN|IN \(FROM)\s+{n}\b", text):
                 need.add(n)
                 todo.append(parts[n])
-    held = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in ('rt', 'mm', 'st', 'ar') else ''}({parts[n]})" for n in names if n in need)
-    return (f"WITH {held}\n" if held else "") + final
+    held = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in _KEPT else ''}({parts[n]})" for n in names if n in need)
+    return (f"WITH {'RECURSIVE ' if 'gj' in need else ''}{held}\n" if held else "") + final
+
+
+_NUMBERS = ["mom_1d", "mom_5d", "mom_20d", "vol_20d", "dollar_vol_20d", "dow", "month"]
+_VALUES = [("form", "FOP"), ("session_bucket", ("afterhours", "intraday", "premarket"))]
+
+
+def ridge(alpha: float = 10.0) -> list[tuple[str, str]]:
+    """op, the out-of-sample predictions: normal equations of scaled features by fold, solved by eliminating a column at a time."""
+    x = [f"CAST({c} AS DOUBLE)" for c in _NUMBERS] + [f"CAST(CAST({c} = '{v}' AS INTEGER) AS DOUBLE)" for c, values in _VALUES for v in values]
+    p, k = len(x), len(_NUMBERS)
+    return [
+        ("db", "SELECT md.*, bk.session_bucket FROM md JOIN bk ON bk.event_id = md.event_id"),
+        ("xl", f"SELECT event_id, unnest(range(1, {p + 1})) AS i, unnest([{', '.join(x)}]) AS x FROM db"),
+        ("tn", "SELECT fo.fold, db.event_id, db.y FROM db JOIN fo ON fo.date = db.trade_date AND fo.role = 'train'"),
+        ("tz", "SELECT fo.fold, db.event_id, db.ticker, db.trade_date AS date, db.y FROM db JOIN fo ON fo.date = db.trade_date AND fo.role = 'test'"),
+        ("ok", "SELECT a.fold, a.yb, b.test_start, b.test_end FROM (SELECT fold, count(*) AS n, avg(y) AS yb FROM tn GROUP BY 1) a JOIN (SELECT fold, count(*) AS n, min(date) AS test_start, max(date) AS test_end FROM tz GROUP BY 1) b ON a.fold = b.fold WHERE a.n >= 200 AND b.n >= 50"),
+        ("mo", f"SELECT tn.fold, xl.i, avg(x) AS m, CASE WHEN i <= {k} AND stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1.0::DOUBLE END AS s FROM tn JOIN xl ON xl.event_id = tn.event_id GROUP BY 1, 2"),
+        ("zc", "SELECT tn.fold, tn.event_id, xl.i, (x - m) / s AS z, y - yb AS v FROM tn JOIN xl ON xl.event_id = tn.event_id JOIN mo ON mo.fold = tn.fold AND mo.i = xl.i JOIN ok ON ok.fold = tn.fold"),
+        ("gm", f"SELECT a.fold, a.i, b.i AS j, sum(a.z * b.z) + CASE WHEN a.i = b.i THEN {alpha} ELSE 0 END AS v FROM zc a JOIN zc b ON a.fold = b.fold AND a.event_id = b.event_id GROUP BY 1, 2, 3"),
+        ("rh", f"SELECT fold, i, {p + 1} AS j, sum(z * v) AS v FROM zc GROUP BY 1, 2"),
+        ("ax", "SELECT fold, list(r ORDER BY i) AS m FROM (SELECT fold, i, list(v ORDER BY j) AS r FROM (SELECT * FROM gm UNION ALL SELECT * FROM rh) GROUP BY 1, 2) GROUP BY 1"),
+        ("gj", f"SELECT fold, 1 AS k, m FROM ax UNION ALL SELECT fold, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda e: e / r[k]) ELSE list_transform(r, lambda e, j: e - r[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= {p}"),
+        ("ws", f"SELECT fold, unnest(range(1, {p + 1})) AS i, unnest(list_transform(m, lambda r: r[{p + 1}])) AS w FROM gj WHERE k = {p + 1}"),
+        ("op", """SELECT tz.event_id, tz.ticker, tz.date, tz.fold, tz.y, ok.test_start, ok.test_end, ok.yb + sum(w * (x - m) / s ORDER BY xl.i) AS pred FROM tz JOIN ok ON ok.fold = tz.fold JOIN xl ON xl.event_id = tz.event_id
+ JOIN mo ON mo.fold = tz.fold AND mo.i = xl.i JOIN ws ON ws.fold = tz.fold AND ws.i = xl.i GROUP BY tz.event_id, tz.ticker, tz.date, tz.fold, tz.y, ok.test_start, ok.test_end, ok.yb"""),
+        ("spo", "SELECT 'base' AS pred_set, event_id, ticker, date, pred FROM op"),
+    ]
 
 
 def _pairs(source: str, keys: str, y: str, least: int = 1, q: float = 0.2) -> list[tuple[str, str]]:

@@ -12,6 +12,7 @@ from tidemark.operators import cleaning, engine, longshort, models, returns, rob
 from tidemark.operators.engine import Scenario
 from tidemark.plans.oracle import _pairs, _sharpe, rounded, sql
 from tidemark.plans.oracle import engine as engine_sql
+from tidemark.plans.oracle import ridge as ridge_sql
 from tidemark.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,7 +346,14 @@ def _walk(spark, d, model, **options):
     return near(models.regression_metrics(out, keys).withColumn("model", F.lit({"gbt": "boosted_trees"}.get(model, model))), "mse, r2, pearson, spearman, hit_rate", 6)
 
 
-@query()
+_RIDGE = [
+    *ridge_sql(),
+    ("orr", "SELECT *, rank() OVER (PARTITION BY fold ORDER BY y) + (count(*) OVER (PARTITION BY fold, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY fold ORDER BY pred) + (count(*) OVER (PARTITION BY fold, pred) - 1) / 2.0 AS rp FROM op"),
+]
+
+
+@query(sql("""SELECT CAST(fold AS INTEGER) AS fold, test_start, test_end, count(*) AS n_test, round(avg((y - pred) * (y - pred)), 6) AS mse, round(1 - sum((y - pred) * (y - pred)) / (count(*) * var_pop(y)), 6) AS r2, round(corr(y, pred), 6) AS pearson,
+ round(corr(ry, rp), 6) AS spearman, round(avg(CASE WHEN (y > 0) = (pred > 0) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, 'ridge' AS model FROM orr GROUP BY 1, 2, 3""", *_RIDGE))
 def cv_ridge(spark, d):
     return _walk(spark, d, "ridge")
 
@@ -367,7 +375,7 @@ def cv_models_summary(spark, d):
     return near(both.groupBy("model").agg(*[F.avg(c).alias(c) for c in names]), ", ".join(names), 6)
 
 
-@query()
+@query(sql("SELECT event_id, ticker, date, round(y, 8) AS y_true, round(pred, 8) AS y_pred_ridge, CAST(fold AS INTEGER) AS fold FROM op", *ridge_sql()))
 def oos_predictions(spark, d):
     out = _oos(spark, d, "ridge")
     return near(out.select("event_id", "ticker", "date", F.col("y").alias("y_true"), F.col("pred").alias("y_pred_ridge"), "fold"), "y_true, y_pred_ridge")
@@ -415,8 +423,11 @@ def _traded(preds, prices):
     return preds.join(trade, ["ticker", "date"])
 
 
-@query(sql(f"""SELECT count(*) AS n_pairs, round(avg(ls), 8) AS mean_gross, round(avg(net), 8) AS mean_net, round(stddev_samp(ls), 8) AS std_gross, round(stddev_samp(net), 8) AS std_net, round({_sharpe('ls')}, 6) AS sharpe_gross, round({_sharpe('net')}, 6) AS sharpe_net,
- round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 8) AS hit_rate, round(CAST(0.0004 AS DOUBLE), 8) AS cost_per_pair FROM (SELECT *, ls - CAST(0.0004 AS DOUBLE) AS net FROM ls)""", *_pairs("pt", "", "trade_ret")))
+_EVENTLEVEL = f"""SELECT count(*) AS n_pairs, round(avg(ls), 8) AS mean_gross, round(avg(net), 8) AS mean_net, round(stddev_samp(ls), 8) AS std_gross, round(stddev_samp(net), 8) AS std_net, round({_sharpe('ls')}, 6) AS sharpe_gross, round({_sharpe('net')}, 6) AS sharpe_net,
+ round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END), 8) AS hit_rate, round(CAST(0.0004 AS DOUBLE), 8) AS cost_per_pair FROM (SELECT *, ls - CAST(0.0004 AS DOUBLE) AS net FROM ls)"""
+
+
+@query(sql(_EVENTLEVEL, *_pairs("pt", "", "trade_ret")))
 def costed_eventlevel(spark, d):
     return _costed(_paid(spark, d))
 
@@ -426,7 +437,7 @@ def _costed(paid):
     return near(near(out, "mean_gross, mean_net, std_gross, std_net, hit_rate, cost_per_pair"), "sharpe_gross, sharpe_net", 6)
 
 
-@query()
+@query(sql(_EVENTLEVEL, *ridge_sql(), ("po", "SELECT op.event_id, op.pred, tc.trade_ret FROM op JOIN tc ON tc.ticker = op.ticker AND tc.date = op.date WHERE tc.trade_ret IS NOT NULL"), *_pairs("po", "", "trade_ret")))
 def costed_eventlevel_oos(spark, d):
     return _costed(_traded(_oos(spark, d, "ridge").select("event_id", "ticker", "date", "pred"), S.prices(spark, d)))
 
@@ -619,11 +630,25 @@ def engine_grid(spark, d):
     return _summary(_daily(spark, d, GRID))
 
 
-@query()
-def engine_oos(spark, d):
+def _oos_inputs(spark, d):
+    """Daily returns, and ridge's out-of-sample predictions with their outcomes."""
     rets = S.written(returns.daily_returns(S.prices(spark, d)), "returns")
-    preds = _oos(spark, d, "ridge").select(F.lit("base").alias("pred_set"), "event_id", "ticker", "date", "pred")
-    return _summary(engine.backtest(rets, preds, engine.scenario_table(spark, BOTH)))
+    return rets, _oos(spark, d, "ridge").select(F.lit("base").alias("pred_set"), "event_id", "ticker", "date", "pred", F.col("y").alias("y_true"))
+
+
+def _oos_summary(spark, d, scenarios):
+    rets, preds = _oos_inputs(spark, d)
+    return _summary(engine.backtest(rets, preds, engine.scenario_table(spark, scenarios)))
+
+
+@query(sql(_SUM_SQL, *ridge_sql(), *engine_sql("spo", BOTH)))
+def engine_oos(spark, d):
+    return _oos_summary(spark, d, BOTH)
+
+
+@query(sql(_SUM_SQL, *ridge_sql(), *engine_sql("spo", GRID)))
+def engine_grid_oos(spark, d):
+    return _oos_summary(spark, d, GRID)
 
 
 _REPORT = """SELECT CASE sm.scenario_id WHEN 0 THEN 'engine' ELSE 'engine_vt10' END AS variant, days, round(sharpe_gross, 6) AS sharpe_gross, round(sharpe_net, 6) AS sharpe_net, round(maxdd_gross, 8) AS maxdd_gross, round(maxdd_net, 8) AS maxdd_net,
@@ -671,13 +696,25 @@ def _year_scenarios(sets):
     return YEARS + [Scenario(len(YEARS) + i, pred_set=p) for i, p in enumerate(sorted(found - {s.pred_set for s in YEARS}))]
 
 
-@query(sql(_SUM_SQL + " WHERE days > 0", ("yr", "SELECT *, CAST(year(date) AS VARCHAR) AS y, count(*) OVER (PARTITION BY year(date)) AS c FROM sp"), ("ys", "SELECT 'ALL' AS pred_set, event_id, ticker, date, pred FROM yr UNION ALL SELECT y, event_id, ticker, date, pred FROM yr WHERE c >= 200"), *engine_sql("ys", YEARS)))
-def subsample_engine(spark, d):
-    rets, preds = _engine_inputs(spark, d)
+def _years(source):
+    return [("yr", f"SELECT *, CAST(year(date) AS VARCHAR) AS y, count(*) OVER (PARTITION BY year(date)) AS c FROM {source}"), ("ys", "SELECT 'ALL' AS pred_set, event_id, ticker, date, pred FROM yr UNION ALL SELECT y, event_id, ticker, date, pred FROM yr WHERE c >= 200"), *engine_sql("ys", YEARS)]
+
+
+def _by_year(spark, rets, preds):
     sets = S.written(robustness.by_year(preds), "years")
     return _summary(engine.backtest(rets, sets, engine.scenario_table(spark, _year_scenarios(sets))))
 
 
+@query(sql(_SUM_SQL + " WHERE days > 0", *_years("sp")))
+def subsample_engine(spark, d):
+    return _by_year(spark, *_engine_inputs(spark, d))
+
+
+@query(sql(_SUM_SQL + " WHERE days > 0", *ridge_sql(), ("spy", "SELECT event_id, ticker, date, pred FROM op"), *_years("spy")))
+def subsample_engine_oos(spark, d):
+    return _by_year(spark, *_oos_inputs(spark, d))
+
+
 @query()
 def random_predictions(spark, d):
     return near(robustness.random_predictions(S.signals(spark, d)).select("event_id", "pred"), "pred")
@@ -687,9 +724,8 @@ SANITY = [Scenario(i, pred_set=p) for i, p in enumerate(("base_oos_pred", "rando
 
 
 def _sanity_preds(spark, d):
-    rets, preds = _engine_inputs(spark, d)
-    labels = returns.event_cars(_study(spark, d)[1], {"y_true": (1, 5)})
-    return rets, S.written(preds.drop("pred_set").join(labels, "event_id", "left"), "sanity")
+    rets, preds = _oos_inputs(spark, d)
+    return rets, S.written(preds.drop("pred_set"), "sanity")
 
 
 @query()
