@@ -64,8 +64,8 @@ class Rows:
         return Rows(place[self.row[some]], slot[self.column[some]], self.value[some], int(columns.sum()) if columns is not None else self.width, self.dense[keep])
 
 
-def logistic(x: Rows, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: int = 300, weight: np.ndarray | None = None) -> np.ndarray:
-    """Weights of the columns of x for labels y in [0, 1]; the last column is the constant and is not shrunk by l1."""
+def logistic(x: Rows, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: int = 300, weight: np.ndarray | None = None, still: float = 2e-3) -> np.ndarray:
+    """Weights of the columns of x for labels y in [0, 1]; the last column is the constant and is not shrunk by l1. Ends once no weight moves by more than the share `still` of the largest."""
     n, size = x.shape
     w = np.zeros(size)
     if not n:
@@ -85,7 +85,7 @@ def logistic(x: Rows, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: i
         new = np.sign(new) * np.maximum(np.abs(new) - shrink, 0)
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
         moved = new - w
-        if np.abs(moved).max() < 2e-3 * max(1.0, np.abs(new).max()):
+        if np.abs(moved).max() < still * max(1.0, np.abs(new).max()):
             return new
         z, w, t = new + (t - 1) / u * moved, new, u
     return w

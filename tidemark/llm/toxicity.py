@@ -108,7 +108,7 @@ def _link(x: Rows, y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """Mask of features, and weights; both classes weigh the same."""
     n, p = len(y), max(y.sum(), 1)
     pick = _tied(x, y)
-    return pick, logistic(x.of(np.ones(n, bool), pick), y, l1=0.007 / max(n, 1) ** 0.5, l2=1e-4, steps=steps, weight=1 + y * ((n - y.sum()) / p - 1))
+    return pick, logistic(x.of(np.ones(n, bool), pick), y, l1=0.007 / max(n, 1) ** 0.5, l2=1e-4, steps=steps, weight=1 + y * ((n - y.sum()) / p - 1), still=1e-5)
 
 
 def train(features: np.ndarray, row: np.ndarray, column: np.ndarray, labels: np.ndarray, groups: np.ndarray, spare: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
@@ -123,13 +123,13 @@ def train(features: np.ndarray, row: np.ndarray, column: np.ndarray, labels: np.
     for name in CHAIN:
         y = labels * seeded.get(name, True)
         x = Rows(row, column, np.ones(len(row)), len(features), np.append(earlier, np.ones((n, 1)), axis=1))
-        pick, weights = _link(x, y, 60)
+        pick, weights = _link(x, y, 400)
         links.append((features[pick], weights))
         unseen = np.zeros(n)
         for k in range(FOLDS):
             out = fold == k
             if out.any() and not out.all():
-                pick, weights = _link(x.of(~out), y[~out], 30)
+                pick, weights = _link(x.of(~out), y[~out], 200)
                 unseen[out] = sigmoid(x.of(out, pick).dot(weights))
         earlier = np.append(earlier, unseen[:, None], axis=1)
     clean = np.sort(earlier[labels == 0, -1])
@@ -183,7 +183,7 @@ def _train(spare: float):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spare: float = 0.004) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spare: float = 0.003) -> Chain:
     """A chain fit on at most `sample` labelled rows of docs."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
