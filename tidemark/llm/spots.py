@@ -10,12 +10,13 @@ empty ones have likeness 1. Likeness is the Jaccard index of the sets.
 
 The next document is found without a global sort: ids are cut into blocks at quantiles, and the first
 document of each block also visits the block before.  Rows that repeat an id are ordered by the hash of
-their text; null ids come first.  Extra columns are ignored; an empty table gives an empty result.
+their text, by which many rows of one id are cut into blocks too; null ids come first. A table of one row is its own next.  Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -55,27 +56,37 @@ def likeness(a: str, b: str):
 
 
 def next_document(docs: DataFrame, blocks: int) -> DataFrame:
-    """(doc_id, text, next_text), blocks being a number of about equal ranges of ids."""
+    """(doc_id, text, mark, block, guest), blocks being a number of about equal ranges of ids; an id, or null, with many rows is cut by their marks.
+
+    The first row of each block is also a guest of the block before, the very first one of the last.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 100 * blocks)).first()[0]
-    cuts = sorted(set(cuts or []))
-    block = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if cuts else F.lit(0)
-    docs = docs.withColumn("block", block)
-    firsts = sorted((r.block, r.first) for r in docs.groupBy("block").agg(F.min("doc_id").alias("first")).where("first is not null").collect())  # one id for each block
-    before = dict(zip([b for b, _ in firsts], [firsts[i - 1][0] for i in range(len(firsts))]))
-    back = F.get(F.array(*[F.lit(before.get(b, 0)) for b in range(max(before, default=0) + 1)]), F.col("block"))
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    found = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 100 * blocks).alias("cuts"), F.avg(F.col("doc_id").isNull().cast("double")).alias("nulls")).first()
+    shares = lambda m: [-(1 << 63) + j * ((1 << 64) // m) for j in range(m)]
+    borders = [(None, x) for x in shares(max(1, math.ceil((found.nulls or 0.0) * blocks)))[1:]] + [(-(1 << 63), -(1 << 63))]
+    borders += [(v, x) for v, m in sorted(Counter(found.cuts or []).items()) for x in shares(m)]
+    place = F.struct("doc_id", "mark")
+    listed = F.array(*[F.struct(F.lit(v).cast("long").alias("doc_id"), F.lit(x).cast("long").alias("mark")) for v, x in borders])
+    docs = docs.withColumn("block", F.size(F.filter(listed, lambda b: b <= place)))
+    firsts = sorted((r.block, tuple(r["first"])) for r in docs.groupBy("block").agg(F.min(place).alias("first")).collect())  # one place for each block
+    numbers = {b: i for i, (b, _) in enumerate(firsts)}
+    first = F.create_map(*[x for b, (v, m) in firsts for x in (F.lit(b), F.struct(F.lit(v).cast("long").alias("doc_id"), F.lit(m).cast("long").alias("mark")))]) if firsts else F.lit(None)
+    back = F.create_map(*[x for b, i in numbers.items() for x in (F.lit(b), F.lit(firsts[i - 1][0]))]) if firsts else F.lit(None)
     own = F.struct("block", F.lit(0).alias("guest"))
-    visit = F.struct(back.alias("block"), F.lit(1).alias("guest"))
-    places = F.when(F.col("doc_id").isin([x for _, x in firsts]), F.array(own, visit)).otherwise(F.array(own))
-    placed = docs.select("doc_id", "text", F.explode(places).alias("at")).select("at.*", "doc_id", "text")
-    return placed.repartition("block")
+    if firsts:
+        visit = F.struct(F.element_at(back, F.col("block")).alias("block"), F.lit(1).alias("guest"))
+        places = F.when(F.element_at(first, F.col("block")).eqNullSafe(place), F.array(own, visit)).otherwise(F.array(own))
+    else:
+        places = F.array(own)
+    return docs.select("doc_id", "text", "mark", F.explode(places).alias("at")).select("at.*", "doc_id", "text", "mark").repartition("block")
 
 
 def fingerprints(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures) for every row of docs."""
     blocks = blocks or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_signatures(next_document(docs, blocks), "text", "own")
-    order = W.partitionBy("block").orderBy("guest", "doc_id", F.xxhash64("text"))
+    order = W.partitionBy("block").orderBy("guest", F.asc_nulls_first("doc_id"), "mark")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next": F.lead("own").over(order)}).where("guest = 0")
     half = F.expr("length(text) div 2").cast("int")
     rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - int(length(text) div 2))"), F.substring("next_text", F.lit(1), half)).alias("edited"), "own", "next")
