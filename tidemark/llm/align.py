@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from ._encode import encoder, read_ranks
 from ._shared import file_system, new_path, small, written
 from .bpe import _Places, _runs
 
-CHUNK = 32 << 20  # bytes of text, at least
+CHUNK = 8 << 20  # bytes of text, at least
 SALTS = 16
 TOKENS = 1 << 19  # bytes of groups that one batch of results holds, at least
 _ODD = re.compile(r"[^\S \t\n]")
@@ -77,17 +78,16 @@ class Aligned:
     """Units aligned in one pass: their groups in decimal, numbers of tokens and groups, links; ok tells those that both vocabularies give back."""
 
     def __init__(self, pair: Pair, units: list[str]):
-        ids_a, ids_b, raw = [pair.encode_a(u) for u in units], pair.encode_b(units) if units else [], [u.encode() for u in units]
+        (a, count_a), (b, count_b) = _flat(lambda some: map(pair.encode_a, some), units), _flat(pair.encode_b, units)
+        raw = [u.encode() for u in units]
         self.ok = np.ones(len(units), dtype=bool)
-        joined = b"".join(raw)
-        flat = lambda lists: np.fromiter((i for ids in lists for i in ids), np.int64)
-        a, b = flat(ids_a), flat(ids_b)
-        text = lambda table, ids: bytes(_joined(table, ids)[0])
-        if text(pair.bytes_a, a) != joined or text(pair.bytes_b, b) != joined:
-            for i, u in enumerate(raw):
-                self.ok[i] = text(pair.bytes_a, np.array(ids_a[i], np.int64)) == u == text(pair.bytes_b, np.array(ids_b[i], np.int64))
-            keep = np.flatnonzero(self.ok).tolist()
-            a, b, raw = flat(ids_a[i] for i in keep), flat(ids_b[i] for i in keep), [u if ok else b"" for u, ok in zip(raw, self.ok)]
+        parts = [(_joined(table, ids), count) for table, ids, count in ((pair.bytes_a, a, count_a), (pair.bytes_b, b, count_b))]
+        if any(bytes(data) != b"".join(raw) for (data, _), _ in parts):
+            for (data, ends), count in parts:
+                stops = ends[np.append(0, np.cumsum(count))].tolist()
+                self.ok &= np.fromiter((bytes(data[x:y]) == u for x, y, u in zip(stops, stops[1:], raw)), bool, len(raw))
+            a, b, raw = a[np.repeat(self.ok, count_a)], b[np.repeat(self.ok, count_b)], [u if ok else b"" for u, ok in zip(raw, self.ok)]
+        del parts
         n = len(units)
         ends_a, ends_b = np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b])
         unit_ends = np.cumsum(np.fromiter(map(len, raw), np.int64, n))
@@ -112,6 +112,16 @@ class Aligned:
         self.groups = [bytes(data[x:y]) for x, y in zip(stops, stops[1:])]
 
 
+def _flat(encode, units: list[str], most: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units, one after the other, and their numbers."""
+    ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(units), most):
+        own = list(encode(units[at : at + most]))
+        counts.append(np.fromiter(map(len, own), np.int64, len(own)))
+        ids.append(np.fromiter(chain.from_iterable(own), np.int64, int(counts[-1].sum())))
+    return np.concatenate(ids), np.concatenate(counts)
+
+
 def _joined(table: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """What ids stand for, one after the other, and where each begins; one more place ends the last."""
     found = pc.take(table, pa.array(ids))
