@@ -31,7 +31,7 @@ def basket(q: Column | float) -> Column:
 def sides(df: DataFrame, keys: list[str], q: float, least: int, y: str) -> DataFrame:
     """Rows of groups of at least `least`, flagged is_long and is_short; with a high q a row can be both. Rows without prediction or outcome y go."""
     df = df.where(present(y))
-    rows = (ranked(df, keys) if keys else ranked_wide(df, keys)).where(F.col("n") >= least).withColumn("k", basket(q))
+    rows = (ranked(df, keys) if keys == ["date"] else ranked_wide(df, keys)).where(F.col("n") >= least).withColumn("k", basket(q))
     return rows.withColumns({"is_long": F.col("rn") <= F.col("k"), "is_short": F.col("rn") > F.col("n") - F.col("k")})
 
 
@@ -68,13 +68,18 @@ def costed_pairs(ls: DataFrame, cost_bps: float = 2.0) -> DataFrame:
     )
 
 
-def monthly_baskets(df: DataFrame, keys: list[str], y: str, q: Column | float, least: int = 30) -> DataFrame:
+def monthly_baskets(df: DataFrame, keys: list[str], y: str, q: Column | float, least: int = 30, cells: DataFrame | None = None) -> DataFrame:
     """(keys, ym, n_events, k, gross_ls, turnover): baskets by month, turnover against the month kept before.
 
+    cells are further keys, a few rows, that q is made of; places don't depend on them, so only baskets are copied.
+
     Tickers of a basket are rows and never one list: those also in the basket before are found by a join on ticker and month.
     """
     dated = df.where(present(y)).withColumn("ym", F.date_format("date", "yyyy-MM"))
-    rows = ranked(dated, [*keys, "ym"]).where(F.col("n") >= least).withColumn("k", basket(q))
+    rows = ranked_wide(dated, [*keys, "ym"]).where(F.col("n") >= least)
+    if cells is not None:
+        rows, keys = rows.crossJoin(cells), [*keys, *cells.columns]
+    rows = rows.withColumn("k", basket(q))
     long, short = F.col("rn") <= F.col("k"), F.col("rn") > F.col("n") - F.col("k")
     out = rows.groupBy(*keys, "ym").agg(F.max("n").alias("n_events"), F.max("k").alias("k"), (F.avg(F.when(long, F.col(y))) - F.avg(F.when(short, F.col(y)))).alias("gross_ls"))
     past = W.partitionBy(*keys).orderBy("ym") if keys else W.orderBy("ym")  # a row for each month
@@ -109,7 +114,7 @@ def costed_grid(preds: DataFrame, returns_of, grid: DataFrame, least: int = 30)
     cell = ["delay_days", "horizon_days"]
     keys = [*cell, "q"]
     paired = pairs_by_q(rows, cell, cells)
-    months = monthly_baskets(rows.crossJoin(cells), keys, "trade_ret", F.col("q"), least)
+    months = monthly_baskets(rows, cell, "trade_ret", F.col("q"), least, cells)
     costs = F.broadcast(grid.select("cost_bps").distinct())
     by = [*keys, "cost_bps"]
     event = paired.crossJoin(costs).withColumn("net", F.col("ls") - 2 * F.col("cost_bps") * 1e-4).groupBy(*by).agg(F.count("net").alias("n_pairs"), F.avg("net").alias("event_mean_net"), hit_rate("net").alias("event_hit"))

@@ -3,39 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.places import placed
+
 
 def _mark(seed: int):
     return F.md5(F.concat(F.col("event_id").cast("string"), F.lit(f"|{seed}")))
 
 
 def shuffled(preds: DataFrame, keys: list[str], column: str, seed: int = 42) -> DataFrame:
-    """preds with column dealt anew within keys, in the order of a hash of the id.
-
-    Without keys places are found by splitting the hash into 4096 ranges, so no task sorts all rows.
-    """
-    order = _mark(seed)
-    if keys:
-        by = W.partitionBy(*keys)
-        to = preds.withColumn("_i", F.row_number().over(by.orderBy("event_id")))
-        source = preds.select(*keys, F.col(column).alias("_x"), F.row_number().over(by.orderBy(order, "event_id")).alias("_i"))
-        return to.join(source, [*keys, "_i"]).drop(column, "_i").withColumnRenamed("_x", column)
-    by_hash = _placed(preds.select("event_id", F.col(column).alias("_x"), order.alias("_k")), F.substring("_k", 1, 3), ["_k", "event_id"])
-    span = preds.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
-    width = max(1, ((span.hi or 0) - (span.lo or 0)) // 4096 + 1)
-    by_id = _placed(preds, F.floor((F.col("event_id") - (span.lo or 0)) / width), ["event_id"])
-    return by_id.drop(column).join(by_hash.select("_i", "_x"), "_i").drop("_i").withColumnRenamed("_x", column)
-
-
-def _placed(df: DataFrame, part, order: list[str]) -> DataFrame:
-    """df with _i, the place of each row when ranges of part are taken in order."""
-    rows = df.withColumn("_part", part)
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # 4096 rows at most
-    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return rows.join(F.broadcast(before), "_part").withColumn("_i", F.col("_before") + place).drop("_part", "_before")
+    """preds with column dealt anew within keys, in the order of a hash of the id; no task sorts all rows of a key."""
+    to = placed(preds, keys, [], [F.col("event_id")]).drop("_all")
+    source = placed(preds.select(*keys, "event_id", F.col(column).alias("_x"), _mark(seed).alias("_k")), keys, [F.col("_k")], [F.col("event_id")])
+    return to.drop(column).join(source.select(*keys, "_place", "_x"), [*keys, "_place"]).drop("_place").withColumnRenamed("_x", column)
 
 
 def random_predictions(preds: DataFrame, seed: int = 42) -> DataFrame:
