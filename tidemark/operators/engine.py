@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import present, sharpe
 from tidemark.operators.cleaning import next_session, sessions
 from tidemark.operators.longshort import basket, ranked
+from tidemark.sources.tables import written
 
 
+# The settings' names and defaults of the reference.
 @dataclass(frozen=True)
 class Scenario:
     scenario_id: int = 0
@@ -157,4 +159,5 @@ def backtest(returns: DataFrame, preds: DataFrame, scenarios: DataFrame) -> Data
     calendar = sessions(returns)
     trades = signal_trades(preds, calendar, books)
     active = active_book(trades, calendar.agg(F.count(F.lit(1)).cast("int").alias("days")))
-    return scenario_days(book_days(weights(limited(active, books), books), returns, calendar, books), scenarios)
+    held = written(weights(limited(active, books), books), "weights")  # read by returns and both sides of turnover
+    return scenario_days(book_days(held, returns, calendar, books), scenarios)
