@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRICE_CSV = "Date string, Open string, High string, Low string, Close string, Volume string"
@@ -39,6 +39,46 @@ def submissions_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUBMISSIONS).option("multiLine", True).json(path)
 
 
+def _file() -> Column:
+    """The file that a row comes from, in one spelling of local paths."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("file")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of all files, empty ones too, which scans leave out; the driver holds their names, as it does to scan them."""
+    found = spark.read.format("binaryFile").load(path)
+    listed = spark.createDataFrame([(name,) for name in found.inputFiles()], "file string").withColumn("file", F.regexp_replace("file", "^file:/+", "file:///"))
+    return listed.join(found.select(_file(), "length"), "file", "left").select("file", F.coalesce("length", F.lit(0)).cast("long").alias("length"))  # contents aren't read
+
+
+def landed_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """price_csv() of the files that hold a usable row, with their file, and (file, length, reason) of those that don't: empty, "No data" or broken ones.
+
+    A row is usable if its date and close can be read. Single bad rows of a good file are left to cleaning.
+    """
+    files, rows = _files(spark, path), price_csv(spark, path).select("*", _file())
+    usable = F.expr("try_cast(Date AS DATE)").isNotNull() & F.expr("try_cast(Close AS DOUBLE)").isNotNull()
+    good = rows.where(usable).groupBy("file").agg(F.count(F.lit(1)).alias("usable"))
+    reason = F.when(F.col("length") == 0, "empty").otherwise("no usable row")
+    return rows.join(good.select("file"), "file", "left_semi"), files.join(good, "file", "left_anti").select("file", "length", reason.alias("reason"))
+
+
+def landed_submissions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cik, filings, file) of the files that are JSON objects, and (file, length, reason) of the others.
+
+    Files are read as variants: a list that is missing, or of another type, is null and gives no filings, whatever other files have there.
+    """
+    text = spark.read.text(path, wholetext=True).select("value", _file())
+    files = _files(spark, path)
+    parsed = text.select("file", F.try_parse_json("value").alias("v"))
+    parsed = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
+    of = lambda name: F.try_variant_get("v", f"$.filings.recent.{name}", "array<string>").alias(name)
+    recent = F.struct(*[of(name) for name in ("form", "accessionNumber", "acceptanceDateTime")]).alias("recent")
+    docs = parsed.select(F.try_variant_get("v", "$.cik", "string").alias("cik"), F.struct(recent).alias("filings"), "file")
+    reason = F.when(F.col("length") == 0, "empty").otherwise("no JSON object")
+    return docs, files.join(parsed.select("file"), "file", "left_anti").select("file", "length", reason.alias("reason"))
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
