@@ -55,6 +55,43 @@ def test_against_brute_force(spark):
     assert run(spark, rows, Near(words=4)) == brute(rows, 4)
 
 
+def forms(n, changed, seed):
+    rng = random.Random(seed)
+    form = [f"f{i}" for i in range(400)]
+    rows = []
+    for i in range(n):
+        words = list(form)
+        for at in rng.sample(range(400), changed):
+            words[at] = f"x{rng.randrange(100000)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_dense_buckets(spark):
+    rows = corpus(7) + [(1000 + i, t) for i, t in forms(60, 7, 1)]
+    want = brute(rows, 5)
+    assert run(spark, rows, Near(words=5, sparse=0)) == want
+    assert run(spark, rows, Near(words=5, sparse=0, shingles=5000)) == want
+
+
+def test_forms_tell_no_more_pairs_than_rows_allow(spark, monkeypatch):
+    """Hundreds of texts of one form, their likeness about the threshold: pairs told in the last round stay below `sparse` a row and bucket."""
+    from tidemark.llm import minhash
+
+    told, candidates = [], minhash._candidates
+
+    def counting(*args):
+        pairs = candidates(*args)
+        told.append((args[-1], pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(minhash, "_candidates", counting)
+    rows = forms(300, 7, 2)
+    assert run(spark, rows, Near(words=5)) == brute(rows, 5)
+    assert sum(n for nearest, n in told if not nearest) <= 4 * len(rows) * 64
+    assert sum(n for nearest, n in told if not nearest) < 300 * 299 // 8
+
+
 def test_split_buckets(spark):
     rows = corpus(5)
     assert run(spark, rows, Near(words=5, block=3)) == brute(rows, 5)

@@ -13,7 +13,10 @@ deviations beyond the mean, which rules out most pairs below 0.74.
 
 Pairs already joined through others are not compared again: each text is compared with its nearest neighbour in
 another class, again and again until few such pairs are linked, and at last all pairs across the classes left
-are. Buckets above `block` rows are split into block pairs, so no group is collected whole.
+are. Buckets above `block` rows are split into block pairs, so no group is collected whole. A bucket that would tell more
+than `sparse` pairs a row there (form letters, most of them just below the threshold) tells none: its rows come again with
+their sets, once a block pair, and a task counts what sets have in common itself and tells one link for each two classes
+it joins. So what is written stays linear in the rows of a bucket; what is compared there does not.
 
 Every row gets a number as the table is written once with its sets; sets, buckets, links and classes go by these numbers,
 never by doc_id, which may be null or repeated. A set has the number of its first row: the smallest doc_id, nulls
@@ -45,6 +48,7 @@ CHUNKS = 17
 _EDGES = np.linspace(0, INDEXED, CHUNKS + 1).astype(int)
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP, _ROWS = 1024, 64
+DENSE = -1  # in place of a distance
 
 
 @dataclass(frozen=True)
@@ -54,6 +58,8 @@ class Near:
     words: int = 5
     percent: int = 80
     block: int = 4096
+    sparse: int = 4  # pairs a row that a bucket may tell one by one
+    shingles: int = 1 << 20  # of a block where sets travel
 
     @property
     def far(self) -> int:
@@ -165,8 +171,18 @@ def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.repeat(per_chunk, np.diff(_EDGES), axis=1) == unlike).argmax(axis=1)
 
 
+def _comparable(near: Near, n: np.ndarray, group: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Places of the rows before the last one that lie in another class (and side, if given) and are near it in size."""
+    small, large = np.minimum(n[:-1], n[-1]), np.maximum(n[:-1], n[-1])
+    keep = (group[:-1] != group[-1]) & (100 * small >= near.percent * large)
+    return np.flatnonzero(keep if side is None else keep & (side[:-1] != side[-1]))
+
+
 def _pairs_in(near: Near, nearest: bool):
-    """Pairs (u, v, distance) of a bucket's block pair that may be linked and aren't in one class yet."""
+    """Pairs (u, v, distance) of a bucket's block pair that may be linked and aren't in one class yet.
+
+    Where all pairs are asked for, distances are 0, and a bucket of too many gives (key, key, DENSE) instead.
+    """
     far = near.far
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,39 +195,97 @@ def _pairs_in(near: Near, nearest: bool):
             if not nearest:
                 idx = np.frombuffer(b"".join(table.column("idx").to_pylist()), np.uint16).reshape(-1, INDEXED)
             out: list[tuple] = []
+            dense: list[int] = []  # keys of buckets that would tell too many pairs
             best, other = np.full(len(ids), far + 1), np.zeros(len(ids), dtype=np.int64)
             for lo, hi in zip(first[:-1], first[1:]):
                 split = table.column("bi")[int(lo)].as_py() != table.column("bj")[int(lo)].as_py()
+                told_here: list[tuple] = []
+                told_rows = 0
                 for v in range(lo + 1, hi):
-                    small, large = np.minimum(n[lo:v], n[v]), np.maximum(n[lo:v], n[v])
-                    keep = (group[lo:v] != group[v]) & (100 * small >= near.percent * large)
-                    if split:
-                        keep &= side[lo:v] != side[v]
-                    u = np.flatnonzero(keep) + lo
+                    u = lo + _comparable(near, n[lo : v + 1], group[lo : v + 1], side[lo : v + 1] if split else None)
                     if not len(u):
                         continue
                     d = np.bitwise_count(sig[u] ^ sig[v]).sum(axis=1, dtype=np.int64)
                     if not nearest:  # a pair is told by the first of the buckets that it shares
-                        u, d = u[d <= far], d[d <= far]
-                        told = _first_shared(idx[u], idx[v]) == slot[v]
-                        out += [(ids[a], ids[v], x) for a, x in zip(u[told], d[told])]
+                        u = u[d <= far]
+                        u = u[_first_shared(idx[u], idx[v]) == slot[v]]
+                        if len(u):
+                            told_here.append((ids[u], np.full(len(u), ids[v])))
+                            told_rows += len(u)
+                        if told_rows > near.sparse * (hi - lo):
+                            break
                         continue
                     if d.min() < best[v]:
                         best[v], other[v] = d.min(), u[d.argmin()]
                     closer = u[d < best[u]]
                     other[closer] = v
                     best[u] = np.minimum(best[u], d)
+                if told_rows > near.sparse * (hi - lo):
+                    dense.append(table.column("key")[int(lo)].as_py())
+                else:
+                    out += told_here
             if nearest:
                 v = np.flatnonzero(best <= far)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[other[v]]), pa.array(ids[v]), pa.array(best[v].astype(np.int64))], names=["u", "v", "d"])
-            elif out:
-                a, b, d = (np.array(x, dtype=np.int64) for x in zip(*out))
-                got = pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b), "d": d})
-                yield from got.group_by(["u", "v"]).aggregate([("d", "min")]).rename_columns(["u", "v", "d"]).to_batches()
+            if out:
+                a, b = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.zeros(len(a), np.int64))], names=["u", "v", "d"])
+            if dense:
+                keys = pa.array(dense, pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, keys, pa.array(np.full(len(dense), DENSE))], names=["u", "v", "d"])
+
+    return run
+
+
+def _linked_in(near: Near):
+    """Links (a, b) of a dense bucket's block pair, one for each two classes that are joined."""
+    far = near.far
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = _starts("key", "bi", "bj")
+        for groups in sorted_groups(batches, starts):
+            first = np.append(starts(groups), groups.num_rows)
+            for lo, hi in zip(first[:-1], first[1:]):
+                rows = groups.slice(int(lo), int(hi - lo))
+                ids, n, side, slot, group = (rows.column(c).to_numpy() for c in ("id", "n", "side", "slot", "component"))
+                side = side if rows.column("bi")[0].as_py() != rows.column("bj")[0].as_py() else None
+                sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(-1, HASHES // 64)
+                idx = np.frombuffer(b"".join(rows.column("idx").to_pylist()), np.uint16).reshape(-1, INDEXED)
+                distinct, flat = np.unique(np.frombuffer(b"".join(rows.column("shingles").to_pylist()), np.uint64), return_inverse=True)
+                mine, group = np.split(flat, np.cumsum(n)[:-1]), group.copy()
+                mark, out = np.zeros(len(distinct), dtype=np.int32), []
+                for v in range(1, len(ids)):
+                    u = _comparable(near, n[: v + 1], group[: v + 1], side[: v + 1] if side is not None else None)
+                    u = u[np.bitwise_count(sig[u] ^ sig[v]).sum(axis=1, dtype=np.int64) <= far]
+                    u = u[_first_shared(idx[u], idx[v]) == slot[v]]
+                    if not len(u):
+                        continue
+                    mark[mine[v]] = 1
+                    common = np.add.reduceat(mark[np.concatenate([mine[x] for x in u])], np.cumsum(n[u]) - n[u])
+                    mark[mine[v]] = 0
+                    u = u[100 * common.astype(np.int64) >= near.percent * (n[u] + n[v] - common)]
+                    joined, at = np.unique(group[u], return_index=True)
+                    out += [(ids[x], ids[v]) for x in u[at]]
+                    group[np.isin(group, joined)] = group[v]
+                if out:
+                    a, b = (np.array(x, dtype=np.int64) for x in zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
+def _with_sets(near: Near):
+    """Puts the set of a text in its place, in rows (id, n, idx, sig, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, "text"):
+            words = Words(batch.column("text").to_pylist(), lower=True)
+            sets = [shingle_set(words.of(i), near.words).tobytes() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
+
+    return run, "id long, n long, idx binary, sig binary, shingles binary"
+
+
 def _confirm(near: Near):
     """Pairs whose full shingle sets are similar enough."""
 
@@ -234,22 +308,61 @@ def _links(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return pairs.select("u", "v").join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(near), "a long, b long")
 
 
+def _in_classes(shared: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Rows of the buckets with the class of their text."""
+    if classes is None:
+        return shared.withColumn("component", F.col("id"))
+    return shared.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+
+def _dealt(rows: DataFrame, blocks: DataFrame, pairs: bool) -> DataFrame:
+    """rows with their side, one of `blocks` of their bucket, and the block (bi = bj) or all block pairs that they belong to."""
+    rows = rows.join(blocks, "key").withColumn("side", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    if not pairs:
+        return rows.withColumns({"bi": F.col("side"), "bj": F.col("side")})
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
+
+
 def _candidates(shared: DataFrame, texts: DataFrame, near: Near, classes: DataFrame | None, nearest: bool) -> DataFrame:
-    """Pairs of one round: of each text the nearest in another class, or all pairs across classes."""
-    rows = shared.withColumn("component", F.col("id")) if classes is None else shared.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    """Pairs (u, v, d) of one round: of each text the nearest in another class, or all pairs across classes and dense buckets."""
+    rows = _in_classes(shared, classes)
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high"))
-    rows = rows.join(sizes.where("low < high").select("key", F.ceil(F.col("rows") / near.block).cast("int").alias("blocks")), "key")
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    if nearest:
-        rows = rows.withColumns({"bi": F.col("side"), "bj": F.col("side")})
-    else:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("side", "other"), "bj": F.greatest("side", "other")})
+    rows = _dealt(rows, sizes.where("low < high").select("key", F.ceil(F.col("rows") / near.block).cast("int").alias("blocks")), not nearest)
     about = ["n", "sig"] if nearest else ["n", "sig", "idx"]
     rows = rows.join(texts.select("id", *about), "id").select("key", "bi", "bj", "id", "slot", "side", "component", *about)
     found = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(_pairs_in(near, nearest), "u long, v long, d long")
     if nearest:  # of each text's offers, the nearest
-        return found.groupBy("v").agg(F.min_by("u", F.struct("d", "u")).alias("u")).select("u", "v")
-    return found.select("u", "v").distinct()
+        return found.groupBy("v").agg(F.min_by(F.struct("u", "d"), F.struct("d", "u")).alias("to")).select("to.u", "v", "to.d")
+    return found.distinct()
+
+
+def _dense_links(keys: DataFrame, shared: DataFrame, texts: DataFrame, near: Near, classes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of links in the buckets `keys`, and the written table of sets that they come from."""
+    rows = _in_classes(shared, classes).join(keys, "key", "left_semi")
+    run, schema = _with_sets(near)
+    asked = texts.join(rows.select("id").distinct(), "id", "left_semi")
+    sets = written(asked.select("id", "n", "idx", "sig", "text").mapInArrow(run, schema), "minhash-sets")
+    size = rows.join(sets.select("id", "n"), "id").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = _dealt(rows, size.select("key", F.ceil(F.col("n") / near.shingles).cast("int").alias("blocks")), True)
+    rows = rows.join(sets, "id").select("key", "bi", "bj", "id", "slot", "side", "component", "n", "sig", "idx", "shingles")
+    found = rows.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id").mapInArrow(_linked_in(near), "a long, b long")
+    return found, sets
+
+
+def _found(shared: DataFrame, texts: DataFrame, near: Near, classes: DataFrame | None, nearest: bool) -> DataFrame:
+    """The written links (a, b) of one round."""
+    pairs = _candidates(shared, texts, near, classes, nearest)
+    if nearest:
+        return written(_links(pairs, texts, near), "minhash-links")
+    pairs = written(pairs, "minhash-pairs")
+    links, sets = _links(pairs.where(F.col("d") != DENSE), texts, near), None
+    dense = pairs.where(F.col("d") == DENSE).select(F.col("u").alias("key")).distinct()
+    if not dense.isEmpty():
+        more, sets = _dense_links(dense, shared, texts, near, classes)
+        links = links.unionByName(more)
+    links = written(links, "minhash-links")
+    forget(pairs, *([sets] if sets is not None else []))
+    return links
 
 
 def _classes(rows: DataFrame, near: Near) -> DataFrame:
@@ -265,7 +378,7 @@ def _classes(rows: DataFrame, near: Near) -> DataFrame:
     texts = written(texts.select("id", "n", "idx", "text").mapInArrow(run, schema), "minhash-texts")
     classes, nearest, last = None, True, 0
     while True:
-        found = written(_links(_candidates(shared, texts, near, classes, nearest), texts, near), "minhash-links")
+        found = _found(shared, texts, near, classes, nearest)
         n = found.count()
         if n or classes is None:
             old, classes = classes, merged(classes, found)
