@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import present, sharpe
 from tidemark.operators.cleaning import next_session, sessions
 from tidemark.operators.longshort import basket, ranked
+from tidemark.operators.places import quantile
 from tidemark.sources.tables import written
 
 
@@ -150,7 +151,9 @@ def summary(daily: DataFrame) -> DataFrame:
 
 def extras(daily: DataFrame) -> DataFrame:
     """Exposure, leverage, its 95th percentile, and costs as a share of absolute gross returns."""
-    return daily.groupBy("scenario_id").agg(F.avg("gross_exposure").alias("avg_gross_exposure"), F.avg("lev").alias("avg_lev"), F.percentile("lev", 0.95).alias("p95_lev"), F.try_divide(F.sum("cost"), F.sum(F.abs("ret_gross"))).alias("cost_share"))
+    daily = written(daily, "days")
+    of = daily.groupBy("scenario_id").agg(F.avg("gross_exposure").alias("avg_gross_exposure"), F.avg("lev").alias("avg_lev"), F.try_divide(F.sum("cost"), F.sum(F.abs("ret_gross"))).alias("cost_share"))
+    return of.join(quantile(daily, ["scenario_id"], "lev", 0.95, "p95_lev"), "scenario_id", "left")
 
 
 def backtest(returns: DataFrame, preds: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -28,6 +28,22 @@ def placed(rows: DataFrame, keys: list[str], order: list[Column], ties: list[Col
     return inner.join(before, [*keys, "_part"]).withColumn("_place", F.col("_before") + F.col("_own")).drop("_part", "_before", "_own", "_w")
 
 
+def quantile(rows: DataFrame, keys: list[str], x: str, at: float, name: str) -> DataFrame:
+    """(keys, name): the exact quantile of x within keys, between two neighbours in proportion; null values and null keys are left out, keys without values too.
+
+    Values are counted, their places found by ranges, and the values at the two wanted places picked, so no task holds a group's values.
+    """
+    values = rows.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))
+    ranks = placed(values, keys, [F.col(x)], [], F.col("_c"))
+    wanted = F.lit(at) * (F.col("_all") - 1)
+    low, high = F.floor(wanted), F.ceil(wanted)
+    holds = lambda place: (F.col("_place") <= place) & (place < F.col("_place") + F.col("_c"))
+    picked = ranks.where(holds(low) | holds(high)).groupBy(*keys)
+    two = picked.agg(F.max(F.when(holds(low), F.col(x))).alias("_low"), F.max(F.when(holds(high), F.col(x))).alias("_high"), F.first(wanted - low).alias("_share"))
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_share")
+    return two.select(*keys, F.when(F.col("_low") == F.col("_high"), F.col("_low").cast("double")).otherwise(between).alias(name))
+
+
 def mean_ranks(rows: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
     """rows with the average rank of x within keys; equal values are counted first, so they meet in no task."""
     values = rows.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("_c"))

@@ -13,6 +13,7 @@ from tidemark.operators.engine import Scenario
 from tidemark.plans.oracle import _pairs, _sharpe, rounded, sql
 from tidemark.plans.oracle import engine as engine_sql
 from tidemark.plans.oracle import ridge as ridge_sql
+from tidemark.sources import store
 from tidemark.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,7 +166,7 @@ def explode_filings_2000(spark, d):
 
 @query(sql(f"SELECT ticker, date, {rounded('ret')} FROM rt"))
 def daily_returns(spark, d):
-    return near(returns.daily_returns(S.prices(spark, d)).select("ticker", "date", "ret"), "ret")
+    return near(returns.daily_returns(_prices(spark, d)).select("ticker", "date", "ret"), "ret")
 
 
 _FEATURES = "mom_1d, mom_5d, mom_20d, vol_20d, dollar_vol_20d"
@@ -173,13 +174,13 @@ _FEATURES = "mom_1d, mom_5d, mom_20d, vol_20d, dollar_vol_20d"
 
 @query(sql(f"SELECT ticker, date, {rounded('mom_1d, mom_5d, mom_20d, vol_20d')}, round(dollar_vol_20d, 4) AS dollar_vol_20d FROM ft"))
 def rolling_features(spark, d):
-    out = returns.rolling_features(S.prices(spark, d)).select("ticker", "date", *models.FEATURES)
+    out = returns.rolling_features(_prices(spark, d)).select("ticker", "date", *models.FEATURES)
     return near(near(out, "mom_1d, mom_5d, mom_20d, vol_20d"), "dollar_vol_20d", 4)
 
 
 @query(sql(f"SELECT ticker, date, {rounded('trade_ret')} FROM tc"))
 def trade_return_cc(spark, d):
-    return near(returns.trade_returns(S.prices(spark, d), 1, 5).select("ticker", "date", "trade_ret"), "trade_ret")
+    return near(returns.trade_returns(_prices(spark, d), 1, 5).select("ticker", "date", "trade_ret"), "trade_ret")
 
 
 @query(sql("SELECT f.event_id, f.ticker, f.trade_date FROM fi f SEMI JOIN rt ON rt.ticker = f.ticker AND rt.date = f.trade_date"))
@@ -192,17 +193,21 @@ def align_missing(spark, d):
     return returns.align(S.filings(spark, d), returns.daily_returns(S.prices(spark, d)), "left_anti").groupBy("ticker").agg(F.count(F.lit(1)).alias("missing"))
 
 
+def _stage(spark, d, name, tables, make, **kept):
+    return store.stage(spark, name, [f"{d}/{t}.parquet" for t in tables], {}, make, **kept)
+
+
 def _prices(spark, d):
-    return S.written(S.prices(spark, d), "prices")
+    return _stage(spark, d, "prices", ["lineitem"], lambda: S.prices(spark, d), by="ticker", order=("date",))
 
 
-def _joint(spark, d, prices=None):
-    return S.written(returns.market_fits(returns.joint_returns(returns.daily_returns(S.prices(spark, d) if prices is None else prices), "MKT")), "joint")
+def _joint(spark, d):
+    return _stage(spark, d, "joint", ["lineitem"], lambda: returns.market_fits(returns.joint_returns(returns.daily_returns(_prices(spark, d)), "MKT")))
 
 
-def _study(spark, d, prices=None):
-    joint = _joint(spark, d, prices)
-    study = S.written(returns.study_events(S.filings(spark, d), joint), "study")
+def _study(spark, d):
+    joint = _joint(spark, d)
+    study = _stage(spark, d, "study", ["lineitem", "orders"], lambda: returns.study_events(S.filings(spark, d), joint))
     return study, returns.abnormal_returns(study, joint)
 
 
@@ -283,7 +288,7 @@ def event_study_robustness(spark, d):
 
 def _dataset(spark, d):
     prices = _prices(spark, d)
-    study, ar = _study(spark, d, prices)
+    study, ar = _study(spark, d)
     study = study.withColumn("session_bucket", X.session_bucket(X.eastern(F.col("accepted_utc"))))
     return models.model_dataset(study, returns.event_cars(ar, {"y": (1, 5)}), returns.rolling_features(prices), ["session_bucket", "pred"])
 
@@ -474,7 +479,7 @@ _GRID = [
 
 def _grid(spark, d):
     px, by = _prices(spark, d), returns.by_ticker()
-    study = S.written(returns.study_events(S.filings(spark, d), _joint(spark, d, px)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred"), "study")
+    study = S.written(returns.study_events(S.filings(spark, d), _joint(spark, d)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred"), "study")
     cells = [F.struct(F.lit(a).alias("delay_days"), F.lit(h).alias("horizon_days"), (F.try_divide(F.lead("close", a + h).over(by), F.lead("close", a).over(by)) - 1).alias("trade_ret")) for a, h in _CELLS]
     trade = px.select("ticker", "date", F.array(*cells).alias("c")).select("ticker", "date", F.explode("c").alias("c")).select("ticker", "date", "c.*")
     grid = spark.createDataFrame([(a, h, q, c) for a, h in _CELLS for q in (0.1, 0.2, 0.3) for c in (0.0, 2.0, 5.0, 10.0)], "delay_days int, horizon_days int, q double, cost_bps double")
