@@ -419,7 +419,7 @@ def ls_pairs_monthly(spark, d):
 
 def _paid(spark, d):
     prices = _prices(spark, d)
-    study = returns.study_events(S.filings(spark, d), _joint(spark, d, prices)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred")
+    study = returns.study_events(S.filings(spark, d), _joint(spark, d)).select("event_id", "ticker", F.col("trade_date").alias("date"), "pred")
     return _traded(study, prices)
 
 
