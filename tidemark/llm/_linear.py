@@ -6,33 +6,45 @@ from functools import cached_property
 
 import numpy as np
 
+_BLOCK = 1 << 20
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    """The parts as one array; their list is emptied, so that none is held twice."""
+    out = np.concatenate(parts) if parts else np.empty(0, kind)
+    parts.clear()
+    return out
+
+
 class _Sums:
     """Weighted sums of entries by one of their two indices, which is sorted once for the many steps of a fit."""
 
-    def __init__(self, by: np.ndarray, other: np.ndarray, value: np.ndarray, size: int):
-        order = np.argsort(by.astype(np.min_scalar_type(size)), kind="stable")  # narrow numbers sort by radix
-        by = by[order]
+    def __init__(self, by: np.ndarray, other: np.ndarray, value: np.ndarray | None, size: int):
+        if (by[1:] < by[:-1]).any():
+            order = np.argsort(by.astype(np.min_scalar_type(size)), kind="stable")  # narrow numbers sort by radix
+            by, other, value = by[order], other[order], None if value is None else value[order]
         self.starts = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.empty(0, np.int64)
-        self.at, self.other, self.size = by[self.starts], other[order].astype(np.intp), size
-        self.value = None if (value == 1).all() else value[order]
+        self.at, self.other, self.size = by[self.starts], other.astype(np.intp), size
+        self.value = None if value is None or (value == 1).all() else value
 
     def of(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(self.size)
         if len(self.at):
             part = x.take(self.other)
-            out[self.at] = np.add.reduceat(part if self.value is None else part * self.value, self.starts)
+            if self.value is not None:
+                part *= self.value
+            out[self.at] = np.add.reduceat(part, self.starts)
         return out
 
 
 class Rows:
-    """A matrix whose first `width` columns are sparse, entries at (row, column), and whose last ones are dense."""
+    """A matrix whose first `width` columns are sparse, entries at (row, column), all 1 if value is None, and whose last ones are dense."""
 
-    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, width: int, dense: np.ndarray):
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray | None, width: int, dense: np.ndarray):
         self.row, self.column, self.value, self.width, self.dense = row, column, value, width, dense
         self.shape = (len(dense), width + dense.shape[1])
 
@@ -52,16 +64,33 @@ class Rows:
 
     def squares(self) -> np.ndarray:
         """Mean square of each column."""
-        return np.append(np.bincount(self.column, self.value**2, minlength=self.width), (self.dense**2).sum(0)) / max(self.shape[0], 1)
+        return np.append(np.bincount(self.column, None if self.value is None else self.value**2, minlength=self.width), (self.dense**2).sum(0)) / max(self.shape[0], 1)
 
     def scaled(self, by: np.ndarray) -> Rows:
-        return Rows(self.row, self.column, self.value * by[self.column], self.width, self.dense * by[self.width :])
+        value = by[self.column] if self.value is None else self.value * by[self.column]
+        return Rows(self.row, self.column, value, self.width, self.dense * by[self.width :])
 
     def of(self, keep: np.ndarray, columns: np.ndarray | None = None) -> Rows:
         """Rows in the mask `keep`, and of the sparse columns those of a mask."""
-        place, slot = np.cumsum(keep) - 1, np.cumsum(columns) - 1 if columns is not None else np.arange(self.width)
-        some = keep[self.row] & (columns[self.column] if columns is not None else True)
-        return Rows(place[self.row[some]], slot[self.column[some]], self.value[some], int(columns.sum()) if columns is not None else self.width, self.dense[keep])
+        some = keep[self.row]
+        if columns is not None:
+            some &= columns[self.column]
+        place = (np.cumsum(keep) - 1).astype(self.row.dtype)
+        row, column = place[self.row[some]], self.column[some]
+        if columns is not None:
+            column = (np.cumsum(columns) - 1).astype(column.dtype)[column]
+        return Rows(row, column, None if self.value is None else self.value[some], int(columns.sum()) if columns is not None else self.width, self.dense[keep])
+
+    def counts(self, keep: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the rows in the mask `keep`, the entries of each sparse column and the sum of their rows' weights, a block of entries at a time."""
+        times, sums = np.zeros(self.width, np.int64), np.zeros(self.width)
+        for at in range(0, len(self.row), _BLOCK):
+            row, column = self.row[at : at + _BLOCK], self.column[at : at + _BLOCK]
+            some = keep[row]
+            times += np.bincount(column[some], minlength=self.width)
+            some &= weight[row] != 0
+            sums += np.bincount(column[some], weight[row[some]], minlength=self.width)
+        return times, sums
 
 
 def logistic(x: Rows, y: np.ndarray, l1: float = 0.0, l2: float = 1e-4, steps: int = 300, weight: np.ndarray | None = None, still: float = 2e-3) -> np.ndarray:

@@ -13,6 +13,9 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of text at a time where each word becomes several numbers of features.
+BATCH = 1 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees; a temporary one where none is named and all tasks run in this process."""
@@ -76,7 +79,7 @@ def rows_where(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFrame
     """The rows of docs, all columns, whose text keep() marks in a list of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             yield batch.filter(pa.array(keep(batch.column("text").to_pylist())))
 
     rows = docs.select(F.col("text").cast("string").alias("text"), beside_text(docs).alias("rest"))

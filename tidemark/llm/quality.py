@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._linear import Rows, logistic, sigmoid
-from ._shared import rows_where, small, written
+from ._linear import Rows, joined, logistic, sigmoid
+from ._shared import BATCH, rows_where, small, written
 from ._words import Words, mix64
 
 SIZE = 8192
@@ -163,7 +163,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) ->
 
 
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches, "text"):
+    for batch in small(batches, "text", BATCH):
         texts = batch.column("text").to_pylist()
         f = figures(Words(texts))
         v = votes(f, repeated_lines(texts))
@@ -176,21 +176,21 @@ def _train(posterior: dict[tuple[int, ...], float], steps: int = 150):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, columns, values, dense, ys = [], [], [], [np.zeros((0, FIGURES))], [np.zeros(0)]
         n = 0
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             texts = batch.column("text").to_pylist()
             words = Words(texts)
             f, lines = figures(words), repeated_lines(texts)
             text, slot, share = _shares(words)
-            rows.append(text + n)
-            columns.append(slot)
+            rows.append((text + n).astype(np.int32))
+            columns.append(slot.astype(np.int32))
             values.append(share)
             dense.append(_dense(f, lines))
             ys.append(np.where(f[:, 0] > 0, [posterior.get(tuple(row), 0.5) for row in votes(f, lines).tolist()], 0.0))
             n += len(texts)
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        x, y = Rows(join(rows, np.int64), join(columns, np.int64), join(values, float), SIZE, np.concatenate(dense)), np.concatenate(ys)
+        x, y = Rows(joined(rows, np.int32), joined(columns, np.int32), joined(values, float), SIZE, np.concatenate(dense)), np.concatenate(ys)
         scale = 1 / (np.sqrt(x.squares()) + 1e-2)
-        w = logistic(x.scaled(scale), y, l2=1e-3, steps=steps) * scale
+        x = x.scaled(scale)
+        w = logistic(x, y, l2=1e-3, steps=steps) * scale
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], names=["weights"])
 
     return run
@@ -230,7 +230,7 @@ def scored(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """(doc_id, score, posterior, kept) for every row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             score, post = model.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(post), pa.array(score >= least)], names=["doc_id", "score", "posterior", "kept"])
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._linear import Rows, logistic, sigmoid
-from ._shared import rows_where, small, written
+from ._linear import Rows, joined, logistic, sigmoid
+from ._shared import BATCH, rows_where, small, written
 from ._words import Words, _span_hash, mix64
 
 # Seed words of the weak categories.
@@ -95,20 +95,21 @@ class Chain:
         return out
 
 
-def _tied(x: Rows, y: np.ndarray) -> np.ndarray:
-    """Mask of the features that are more frequent where y, by four deviations and on three texts at least."""
-    n, p = len(y), max(y.sum(), 1)
-    a, all_ = np.bincount(x.column, y[x.row], minlength=x.width), np.bincount(x.column, minlength=x.width)
+def _tied(x: Rows, y: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Mask of the features that are more frequent where y, among the rows in the mask `keep`, by four deviations and on three texts at least."""
+    n, p = keep.sum(), max(y[keep].sum(), 1)
+    all_, a = x.counts(keep, y)
     share = all_ / n
     z = (a / p - (all_ - a) / max(n - p, 1)) / np.sqrt(share * (1 - share) * (1 / p + 1 / max(n - p, 1)) + 1e-12)
     return (a >= 3) & (z > 4)
 
 
-def _link(x: Rows, y: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mask of features, and weights; both classes weigh the same."""
+def _link(x: Rows, y: np.ndarray, steps: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mask of features, and weights, from the rows in the mask `keep`; both classes weigh the same. Only entries of those rows and features are copied."""
+    pick = _tied(x, y, keep)
+    y = y[keep]
     n, p = len(y), max(y.sum(), 1)
-    pick = _tied(x, y)
-    return pick, logistic(x.of(np.ones(n, bool), pick), y, l1=0.007 / max(n, 1) ** 0.5, l2=1e-4, steps=steps, weight=1 + y * ((n - y.sum()) / p - 1), still=1e-5)
+    return pick, logistic(x.of(keep, pick), y, l1=0.007 / max(n, 1) ** 0.5, l2=1e-4, steps=steps, weight=1 + y * ((n - y.sum()) / p - 1), still=1e-5)
 
 
 def train(features: np.ndarray, row: np.ndarray, column: np.ndarray, labels: np.ndarray, groups: np.ndarray, spare: float) -> tuple[list[tuple[np.ndarray, np.ndarray]], float]:
@@ -116,20 +117,20 @@ def train(features: np.ndarray, row: np.ndarray, column: np.ndarray, labels: np.
     n = len(labels)
     if not n or labels.min() == labels.max():
         return [(np.empty(0, np.uint64), np.append(np.zeros(k), -30.0)) for k in range(len(CHAIN))], 0.5
-    seeded = {name: np.bincount(row, np.isin(features, own)[column], minlength=n) > 0 for name, own in _SEED_HASHES.items()}
+    seeded = {name: np.bincount(row[np.isin(features, own)[column]], minlength=n) > 0 for name, own in _SEED_HASHES.items()}
     seeded["veiled"] = ~np.logical_or.reduce(list(seeded.values()))
     fold = (mix64(groups) % np.uint64(FOLDS)).astype(int)
     links, earlier = [], np.zeros((n, 0))
     for name in CHAIN:
         y = labels * seeded.get(name, True)
-        x = Rows(row, column, np.ones(len(row)), len(features), np.append(earlier, np.ones((n, 1)), axis=1))
-        pick, weights = _link(x, y, 400)
+        x = Rows(row, column, None, len(features), np.append(earlier, np.ones((n, 1)), axis=1))
+        pick, weights = _link(x, y, 400, np.ones(n, bool))
         links.append((features[pick], weights))
         unseen = np.zeros(n)
         for k in range(FOLDS):
             out = fold == k
             if out.any() and not out.all():
-                pick, weights = _link(x.of(~out), y[~out], 200)
+                pick, weights = _link(x, y, 200, ~out)
                 unseen[out] = sigmoid(x.of(out, pick).dot(weights))
         earlier = np.append(earlier, unseen[:, None], axis=1)
     clean = np.sort(earlier[labels == 0, -1])
@@ -137,7 +138,10 @@ def train(features: np.ndarray, row: np.ndarray, column: np.ndarray, labels: np.
 
 
 def _train(spare: float):
-    """From rows of the sample, toxic ones first: only features of three toxic texts can be tied to a category."""
+    """From rows of the sample, toxic ones first: only features of three toxic texts can be tied to a category.
+
+    The fit is one task beside others of its executor, so texts are read in small batches and an entry is two narrow numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = None, []
@@ -151,11 +155,11 @@ def _train(spare: float):
                 at = np.searchsorted(found, f)
                 some = (at < len(found)) & (found[np.minimum(at, max(len(found) - 1, 0))] == f) if len(found) else np.zeros(len(f), bool)
                 rows.append(t[some])
-                columns.append(at[some])
+                columns.append(at[some].astype(np.int32))
             held.clear()
             return found
 
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             words, toxic = _read(batch.column("text").to_pylist()), batch.column("toxic").to_numpy()
             clean = np.flatnonzero(toxic == 0)
             if known is None:
@@ -164,20 +168,19 @@ def _train(spare: float):
                 order = np.lexsort((feature[some], text[some]))
                 text, feature = text[some][order], feature[some][order]
                 new = np.append(True, (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])) if len(text) else np.empty(0, bool)
-                held.append((text[new] + n, feature[new]))
+                held.append(((text[new] + n).astype(np.int32), feature[new]))
                 if len(clean):
                     known = candidates()
             if len(clean):
                 text, at = _presence(words, known)
                 some = toxic[text] == 0
-                rows.append(text[some] + n)
-                columns.append(at[some])
+                rows.append((text[some] + n).astype(np.int32))
+                columns.append(at[some].astype(np.int32))
             labels.append(toxic.astype(float))
             groups.append(batch.column("mark").to_numpy().view(np.uint64))
             n += batch.num_rows
         known = candidates() if known is None else known
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        links, cut = train(known, join(rows, np.int64), join(columns, np.int64), join(labels, float), join(groups, np.uint64), spare)
+        links, cut = train(known, joined(rows, np.int32), joined(columns, np.int32), joined(labels, float), joined(groups, np.uint64), spare)
         yield pa.RecordBatch.from_arrays([pa.array(range(len(links)), pa.int32()), pa.array([m.view(np.int64).tolist() for m, _ in links], pa.list_(pa.int64())), pa.array([w.tolist() for _, w in links], pa.list_(pa.float64())), pa.array([cut] * len(links))], names=["link", "words", "weights", "cut"])
 
     return run
@@ -201,7 +204,7 @@ def scored(docs: DataFrame, chain: Chain) -> DataFrame:
     names = ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             p = chain.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c) for c in p.T), pa.array(p[:, -1] >= chain.cut)], names=names)
 
