@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from ._shared import beside_text, forget, small, sorted_groups, unpacked, written
+from ._shared import BATCH, beside_text, forget, small, sorted_groups, unpacked, written
 from ._words import Words, mix64, shingle_set
 from .components import merged
 
@@ -83,7 +83,7 @@ def _describe(near: Near):
     """Adds the size and hash of each text's set and its indexed minwise values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             words = Words(batch.column("text").to_pylist(), lower=True)
             rows = []
             for i in range(batch.num_rows):
@@ -106,7 +106,7 @@ def _bits(near: Near):
     """Adds one bit of each minwise value to rows (id, n, idx, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             words = Words(batch.column("text").to_pylist(), lower=True)
             sig = [np.packbits((signature(shingle_set(words.of(i), near.words), HASHES) >> np.uint64(63)).astype(np.uint8)).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sig, pa.binary())], names=[*batch.schema.names, "sig"])
@@ -278,7 +278,7 @@ def _with_sets(near: Near):
     """Puts the set of a text in its place, in rows (id, n, idx, sig, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             words = Words(batch.column("text").to_pylist(), lower=True)
             sets = [shingle_set(words.of(i), near.words).tobytes() for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
@@ -290,7 +290,7 @@ def _confirm(near: Near):
     """Pairs whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(small(batches, "text_u"), "text_v"):
+        for batch in small(small(batches, "text_u", BATCH), "text_v", BATCH):
             left, right = (Words(batch.column(c).to_pylist(), lower=True) for c in ("text_u", "text_v"))
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i in range(batch.num_rows):

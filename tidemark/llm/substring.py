@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._shared import forget, quoted, small, sorted_groups, written
+from ._shared import BATCH, forget, quoted, small, sorted_groups, written
 from ._words import Words, chain
 
 GRAM = 3
@@ -74,7 +74,7 @@ def _runs(words: Words, window: int) -> tuple[np.ndarray, ...]:
 
 def _occurrences(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             words = Words(batch.column("text").to_pylist())
             text, starts, lengths, key, hits = _runs(words, window)
             pick = pa.array(text)
@@ -90,7 +90,7 @@ def _packed(window: int):
     """The flagged super-k-mers of each document as packed strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             words = Words(batch.column("text").to_pylist())
             joined, places = words.joined()
             flags = batch.column("flags")
@@ -168,7 +168,7 @@ def _kept(window: int):
     """The words left in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, "text"):
+        for batch in small(batches, "text", BATCH):
             words = Words(batch.column("text").to_pylist())
             joined, places = words.joined()
             change = np.zeros(len(words.hashes) + 1, dtype=np.int64)
