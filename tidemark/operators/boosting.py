@@ -1,14 +1,17 @@
 """Gradient-boosted regression trees by histograms, grown leaf by leaf, for all folds side by side.
 
-Rows are cut into quantile bins once and packed into blocks of one byte a feature.  A job is a round of all folds: each task routes its
-rows down the trees in growth and adds up residuals and counts by node, feature and bin; tasks' sums are merged, by a tree
+Rows are cut into quantile bins once; bins of narrow columns are packed into one code, whose sums give the histograms of all of their features.
+Rows of a fold with the same bins always get the same score, so they are one entry, with their number and the sum of their outcomes.
+
+A fold of at most `alone` entries is grown by one task, all trees in one job. A larger one is dealt into blocks, and a job is a round: each task
+routes its rows down the tree in growth and adds up residuals and counts by node, feature and bin; tasks' sums are merged, by a tree
 where there are many.  A node's histogram is only counted for the smaller child, the other one is its parent's rest.
 
 The next leaf to split is always that of the greatest gain. To know it in few rounds, every leaf that the remaining leaves could reach is split for a
 trial in one round; the order of gains then decides which splits stay, and the rest is dropped, so the tree is the one that
-splitting a leaf at a time gives. A node of at most `local` rows sends its rows instead of a histogram, and what grows below it needs no
-further round. What the driver holds are trees, histograms and the rows of such nodes, whose size follows from the parameters alone. Predictions of
-training rows are carried by blocks and checkpointed every few trees, so a lost executor costs a few trees' routing.
+splitting a leaf at a time gives. A node of at most `local` entries sends them instead of a histogram, and what grows below it needs no
+further round. What the driver holds are trees, histograms and the entries of such nodes, whose size follows from the parameters alone. Residuals
+are carried by blocks, kept after each tree and checkpointed every few trees, so a lost executor costs a few trees' routing; older checkpoints are deleted.
 
 Left are bins up to the cut. Gains are G^2 / (n + shrink) of both sides less that of the whole, and have to be above 0; ties go to the
 first leaf, feature and bin. Rows may be drawn anew every few trees by a hash of the id; with `every` 0 all rows are used.
@@ -21,15 +24,22 @@ import heapq
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import RDD, StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import written
+from tidemark.sources.tables import deleted, written
 
 MERGED_BY_DRIVER = 64
+SHARED, NARROW = 4096, 64  # codes that columns share, bins of such a column
+DEALT = 64  # blocks of a task at most
+RARE = 0.6  # share of codes
+AT_ONCE = 65_536  # rows, for arrays that stay in a processor's cache
 TIE = 1e-10  # gains this close, as sums in another order give, are equal
 
 
@@ -47,9 +57,104 @@ class Boosting:
     every: int = 0
     bins: int = 255
     seed: int = 42
-    keep: int = 5  # trees that each round routes rows down again
+    keep: int = 5  # trees that each round routes rows down again, in folds of one block
     checkpoint: int = 20  # trees between checkpoints
-    local: int = 8192  # rows, by node; 31 nodes of 13 features in 5 folds are 27 MB
+    local: int = 8192  # entries, by node; 31 nodes of 13 features in 5 folds are 27 MB
+    alone: int = 8_388_608  # entries of a fold that one task grows; 15 to 23 bytes each, and as many for rows of nodes
+
+    @property
+    def drawing(self) -> bool:
+        return bool(self.every) and self.rows < 1
+
+
+Entries = tuple  # (codes of each group, residual sums, numbers of rows or None where all are 1, ids or None)
+
+
+class Layout:
+    """Bins of a fold's columns as few codes: narrow columns share one. Features are the numbers, then whether a category has a value."""
+
+    def __init__(self, numbers: list[str], edges: dict[int, list[np.ndarray]], categories: list[tuple[str, str]], width: int):
+        self.numbers, self.edges, self.width = numbers, edges, width
+        self.values = {c: [v for of, v in categories if of == c] for c, _ in categories}
+        widths = [1 + max(len(own[i]) for own in edges.values()) for i in range(len(numbers))] + [1 + len(v) for v in self.values.values()]
+        self.groups: list[list[tuple[int, int, int]]] = []  # (column, width, stride)
+        self.sizes: list[int] = []
+        for column in sorted(range(len(widths)), key=lambda c: (widths[c], c)):
+            if not self.groups or widths[column] > NARROW or self.sizes[-1] * widths[column] > SHARED:
+                self.groups.append([])
+                self.sizes.append(1)
+            self.groups[-1].append((column, widths[column], self.sizes[-1]))
+            self.sizes[-1] *= widths[column]
+        place = {column: (g, w, stride) for g, group in enumerate(self.groups) for column, w, stride in group}
+        of = {c: len(numbers) + k for k, c in enumerate(self.values)}
+        asked = [(i, None) for i in range(len(numbers))] + [(of[c], self.values[c].index(v)) for c, v in categories]
+        self.asked = [(column, value, *place[column]) for column, value in asked]
+        self.bins = []  # of each feature, by code of its group
+        for _, value, g, w, stride in self.asked:
+            bins = np.arange(self.sizes[g]) // stride % w
+            self.bins.append((g, bins if value is None else (bins == value).astype(np.int64)))
+        self.plain = [len(group) == 1 and group[0][0] < len(numbers) for group in self.groups]  # a number's bins are the codes
+        filled = [j * width + b for j, (_, value, _, w, _) in enumerate(self.asked) for b in range(w if value is None else 2)]
+        self.filled = np.array(filled)  # bins that can hold rows
+
+    def codes(self, rows: pa.RecordBatch, fold: int) -> list[np.ndarray]:
+        columns = [np.searchsorted(e, rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64)) for c, e in zip(self.numbers, self.edges[fold])]
+        for c, values in self.values.items():
+            columns.append(pc.fill_null(pc.index_in(rows.column(c), pa.array(values, rows.column(c).type)), len(values)).to_numpy(zero_copy_only=False).astype(np.int64))
+        return [sum(columns[c] * stride for c, _, stride in group).astype(np.min_scalar_type(size - 1)) for group, size in zip(self.groups, self.sizes)]
+
+    def low(self, feature: int, cut: int, codes: list[np.ndarray], rows: np.ndarray | None) -> np.ndarray:
+        """Whether rows go left."""
+        g, bins = self.bins[feature]
+        own = codes[g] if rows is None else codes[g][rows]
+        return own <= cut if self.plain[g] else (bins <= cut)[own]
+
+    def histograms(self, sums: list[np.ndarray]) -> np.ndarray:
+        """(node, feature, bin, (sum, count, entries)) of sums by code, (node, code, ...) for each group."""
+        nodes = len(sums[0])
+        out = np.zeros((nodes, len(self.asked), self.width, 3))
+        by = {}
+        for g, group in enumerate(self.groups):
+            for column, w, stride in group:
+                by[column] = sums[g] if len(group) == 1 else sums[g].reshape(nodes, -1, w, stride, 3).sum(axis=(1, 3))
+        for j, (column, value, _, w, _) in enumerate(self.asked):
+            if value is None:
+                out[:, j, :w] = by[column]
+            else:
+                out[:, j, 1] = by[column][:, value]
+                out[:, j, 0] = by[column].sum(axis=1) - by[column][:, value]
+        return out
+
+
+def sums(layout: Layout, entries: Entries, rows: np.ndarray | None = None, at: np.ndarray | None = None, nodes: int = 1) -> list[np.ndarray]:
+    """(node, code, (sum, count, entries)) of each group, over some rows; `at` are these rows' nodes."""
+    codes, residual, n, _ = entries
+    out = [np.zeros((nodes, size, 3)) for size in layout.sizes]
+    for first in range(0, len(residual if rows is None else rows), AT_ONCE):
+        part = slice(first, first + AT_ONCE)
+        own = part if rows is None else rows[part]
+        sums_of, count = residual[own], None if n is None else n[own]
+        for c, to, size in zip(codes, out, layout.sizes):
+            key = c[own].astype(np.intp)
+            if at is not None:
+                key += at[part].astype(np.intp) * size
+            found = np.bincount(key, minlength=nodes * size).reshape(nodes, size)
+            to[..., 0] += np.bincount(key, sums_of, nodes * size).reshape(nodes, size)
+            to[..., 1] += found if n is None else np.bincount(key, count, nodes * size).reshape(nodes, size)
+            to[..., 2] += found
+    return out
+
+
+def chosen(entries: Entries, some: np.ndarray) -> Entries:
+    codes, residual, n, _ = entries
+    return [c[some] for c in codes], residual[some], None if n is None else n[some], None
+
+
+def joined(parts: list[Entries]) -> Entries:
+    """Entries one after the other."""
+    codes, residual, n, ids = zip(*parts)
+    n = None if all(x is None for x in n) else np.concatenate([np.ones(len(r)) if x is None else x for x, r in zip(n, residual)])
+    return [np.concatenate(c) for c in zip(*codes)], np.concatenate(residual), n, None if ids[0] is None else np.concatenate(ids)
 
 
 class Tree:
@@ -65,34 +170,65 @@ class Tree:
             x += [v, v]
         return n, n + 1
 
-    def reach(self, bins: np.ndarray, wanted: set[int], some: np.ndarray) -> dict[int, np.ndarray]:
-        """The rows among `some` that come to each wanted node, of bins (feature, row)."""
-        above = {v: p for p in range(len(self.feature)) if self.feature[p] >= 0 for v in (self.left[p], self.right[p])}
-        path = set(wanted)
-        for v in wanted:
-            while v in above and above[v] not in path:
-                v = above[v]
-                path.add(v)
-        out, stack = {}, [(0, some)]
-        while stack:
-            v, rows = stack.pop()
-            if v in wanted:
-                out[v] = rows
-            if self.feature[v] >= 0 and (self.left[v] in path or self.right[v] in path):
-                low = bins[self.feature[v]][rows] <= self.cut[v]
-                stack += [(self.left[v], rows[low]), (self.right[v], rows[~low])]
-        return out
 
-    def predict(self, bins: np.ndarray) -> np.ndarray:
-        out = np.empty(bins.shape[1])
-        for v, rows in self.reach(bins, {v for v, f in enumerate(self.feature) if f < 0}, np.arange(bins.shape[1])).items():
-            out[rows] = self.value[v]
+class Places:
+    """Which of some leaves rows come to: for each code a word of bits, one for each leaf that the code doesn't rule out."""
+
+    def __init__(self, tree: Tree, nodes: list[int], layout: Layout):
+        self.count, self.words = len(nodes), []  # of each 64 leaves: (group, bits by code, whether most codes have none)
+        for first in range(0, len(nodes), 64):
+            bits = {v: 1 << i for i, v in enumerate(nodes[first : first + 64])}
+            tables: list[np.ndarray | None] = [None] * len(layout.sizes)
+            self._below(tree, 0, bits, tables, layout)
+            share = {g: np.count_nonzero(t) / len(t) for g, t in enumerate(tables) if t is not None}
+            self.words.append([(g, tables[g], share[g] < RARE) for g in sorted(share, key=share.get)])
+
+    def _below(self, tree: Tree, node: int, bits: dict[int, int], tables: list, layout: Layout) -> int:
+        if node in bits or tree.feature[node] < 0:
+            return bits.get(node, 0)
+        left, right = (self._below(tree, v, bits, tables, layout) for v in (tree.left[node], tree.right[node]))
+        if left or right:
+            g, bins = layout.bins[tree.feature[node]]
+            if tables[g] is None:
+                tables[g] = np.full(layout.sizes[g], (1 << len(bits)) - 1, np.uint64)
+            tables[g] &= ~np.where(bins <= tree.cut[node], np.uint64(right), np.uint64(left))
+        return left | right
+
+    def __call__(self, codes: list[np.ndarray]) -> np.ndarray:
+        """Positions among the leaves, their number for rows that come to none."""
+        out = np.full(len(codes[0]), self.count, np.min_scalar_type(self.count))
+        for first, tables in enumerate(self.words):
+            if not tables:  # the root
+                out[:] = 0
+            rows, hit = slice(None), None
+            for g, table, rare in tables:
+                more = np.take(table, codes[g][rows], mode="clip")
+                hit = more if hit is None else np.bitwise_and(hit, more, out=hit)
+                if rare:  # only rows that a leaf is left for are looked at further
+                    left = np.flatnonzero(hit)
+                    rows, hit = left if isinstance(rows, slice) else rows[left], hit[left]
+            if hit is not None:
+                at = np.bitwise_count(hit - np.uint64(1))
+                if len(self.words) > 1:
+                    at = np.where(at < 64, at.astype(out.dtype) + out.dtype.type(64 * first), out[rows])
+                out[rows] = np.minimum(at, self.count)
         return out
 
 
+class Steps:
+    """What a tree adds to the scores of rows."""
+
+    def __init__(self, tree: Tree, layout: Layout):
+        leaves = [v for v, f in enumerate(tree.feature) if f < 0]
+        self.places, self.values = Places(tree, leaves, layout), np.array([tree.value[v] for v in leaves])
+
+    def __call__(self, codes: list[np.ndarray]) -> np.ndarray:
+        return self.values[self.places(codes)]
+
+
 def drawn(ids: np.ndarray, settings: Boosting, tree: int) -> np.ndarray | None:
     """Whether a row is among those of a tree; None where all are."""
-    if not settings.every or settings.rows >= 1:
+    if not settings.drawing:
         return None
     x = ids.astype(np.uint64) + np.uint64((settings.seed << 32) + tree // settings.every)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
@@ -108,7 +244,7 @@ def allowed(features: int, settings: Boosting, tree: int) -> np.ndarray:
 
 
 def best_split(hist: np.ndarray, use: np.ndarray, settings: Boosting) -> tuple[float, int, int] | None:
-    """(gain, feature, cut) of a histogram (feature, bin, (sum, count))."""
+    """(gain, feature, cut) of a histogram (feature, bin, (sum, count, ...))."""
     left = np.cumsum(hist, axis=1)[:, :-1]
     whole = hist[0].sum(axis=0)
     right = whole - left
@@ -124,20 +260,21 @@ def best_split(hist: np.ndarray, use: np.ndarray, settings: Boosting) -> tuple[f
 
 
 class Growth:
-    """One tree in growth: trial splits, their histograms or rows, and the order in which they would be made."""
+    """One tree in growth: trial splits, their histograms or entries, and the order in which they would be made."""
 
-    def __init__(self, settings: Boosting, use: np.ndarray, size: int):
-        self.settings, self.use, self.tree = settings, use, Tree()
+    def __init__(self, settings: Boosting, use: np.ndarray, size: int, layout: Layout):
+        self.settings, self.use, self.layout, self.tree = settings, use, layout, Tree()
         self.hist: dict[int, np.ndarray] = {}
         self.best: dict[int, tuple[float, int, int] | None] = {}
-        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.rows: dict[int, tuple[Entries, np.ndarray | None]] = {}  # entries, and which of them lie in the node if not all do
         self.counting, self.sending, self.split = ([], [0], []) if size <= settings.local else ([0], [], [])
         self.done = False
 
-    def take(self, counted: dict[int, np.ndarray], sent: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
-        """Histograms and rows of the nodes asked for; then the next trial splits, or the finished tree."""
-        for node, (bins, residual) in sent.items():
-            self._known(node, bins, residual)
+    def take(self, counted: dict[int, np.ndarray], sent: dict[int, tuple[Entries, np.ndarray | None]]) -> None:
+        """Histograms and entries of the nodes asked for; then the next trial splits, or the finished tree."""
+        for node, own in sent.items():
+            self.rows[node] = own
+            self.hist[node] = self._counted(own)
         self.hist.update(counted)
         for node in self.split:
             children = self.tree.left[node], self.tree.right[node]
@@ -166,27 +303,27 @@ class Growth:
         self.counting, self.sending, self.split = [], [], sorted(missing, key=lambda v: (-self.best[v][0], v))[: self.settings.leaves - 1 - len(made)]
         for node in self.split:
             _, feature, cut = self.best[node]
-            count = self.hist[node][feature, :, 1]
+            count = self.hist[node][feature, :, 2]
             sizes = count[: cut + 1].sum(), count[cut + 1 :].sum()
             children = self.tree.split(node, feature, cut)
             self.sending += [v for v, n in zip(children, sizes) if n <= self.settings.local]
             if min(sizes) > self.settings.local:
                 self.counting.append(children[0] if sizes[0] <= sizes[1] else children[1])
 
-    def _known(self, node: int, bins: np.ndarray, residual: np.ndarray) -> None:
-        self.rows[node] = bins, residual
-        self.hist[node] = histogram(bins, residual, np.arange(len(residual)), self.settings.bins + 1)
+    def _counted(self, own: tuple[Entries, np.ndarray | None]) -> np.ndarray:
+        return self.layout.histograms(sums(self.layout, *own))[0]
 
     def _split_here(self, node: int) -> None:
-        bins, residual = self.rows.pop(node)
+        entries, rows = self.rows.pop(node)
         _, feature, cut = self.best[node]
-        low = bins[feature] <= cut
-        sides = sorted(zip(self.tree.split(node, feature, cut), (low, ~low)), key=lambda side: np.count_nonzero(side[1]))
+        low = self.layout.low(feature, cut, entries[0], rows)
+        of = [np.flatnonzero(side) if rows is None else rows[side] for side in (low, ~low)]
+        sides = sorted(zip(self.tree.split(node, feature, cut), of), key=lambda side: len(side[1]))
         whole = self.hist.pop(node)
         for child, some in sides:
-            self.rows[child] = bins[:, some], residual[some]
+            self.rows[child] = entries, some
         small, large = (child for child, _ in sides)
-        self.hist[small] = histogram(*self.rows[small], np.arange(len(self.rows[small][1])), self.settings.bins + 1)
+        self.hist[small] = self._counted(self.rows[small])
         self.hist[large] = whole - self.hist[small]
         for child in (small, large):
             self.best[child] = best_split(self.hist[child], self.use, self.settings)
@@ -209,6 +346,7 @@ class Growth:
 
         copy(0, 0)
         self.tree, self.done = out, True
+        self.hist, self.rows = {}, {}  # copy() refers to itself, so a finished growth stays until garbage is collected
 
     def sums(self, node: int) -> np.ndarray:
         """Sum and count of a node; of a split one, from its children."""
@@ -217,128 +355,201 @@ class Growth:
         return self.sums(self.tree.left[node]) + self.sums(self.tree.right[node])
 
 
-def histogram(bins: np.ndarray, residual: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
-    """(feature, bin, (sum, count)) of rows."""
-    at = (bins[:, rows] + np.arange(0, len(bins) * width, width)[:, None]).ravel()
-    sums = np.bincount(at, weights=np.tile(residual[rows], len(bins)), minlength=len(bins) * width)
-    return np.stack([sums, np.bincount(at, minlength=len(bins) * width)], axis=-1).reshape(len(bins), width, 2)
+def quantile_edges(train: DataFrame, numbers: list[str], bins: int) -> dict[int, list[np.ndarray]]:
+    """Upper edges of about equal bins of each number, by fold."""
+    at = [i / bins for i in range(1, bins)]
+    found = train.groupBy("fold").agg(*[F.percentile_approx(F.col(c).cast("double"), at, 20 * bins).alias(c) for c in numbers]).collect()  # folds x numbers x bins
+    return {r["fold"]: [np.unique(np.array(r[c], dtype=np.float64)) for c in numbers] for r in found}
 
 
-def _packed(numbers: list[str], categories: list[tuple[str, str]], edges: dict[int, list[np.ndarray]]):
-    """Rows (fold, event_id, y, ...) as pickled blocks {fold: [ids, bins, y]}."""
+def _coded(layout: Layout, names: list[str], carried: list[str]):
+    """Rows (fold, carried columns, numbers, categories) with codes in place of bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
         for batch in batches:
             fold = batch.column("fold").to_numpy()
             for f in np.unique(fold).tolist():
                 own = batch.filter(pa.array(fold == f))
-                parts.setdefault(f, []).append((own.column("event_id").to_numpy(), binned(own, numbers, categories, edges[f]), own.column("y").to_numpy()))
-        block = {f: [np.concatenate(x, axis=-1) for x in zip(*own)] for f, own in parts.items()}
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+                codes = [pa.array(c.astype(np.int32)) for c in layout.codes(own, f)]
+                yield pa.RecordBatch.from_arrays([own.column("fold"), *(own.column(c) for c in carried), *codes], names=["fold", *carried, *names])
 
     return run
 
 
-def binned(rows: pa.RecordBatch, numbers: list[str], categories: list[tuple[str, str]], edges: list[np.ndarray]) -> np.ndarray:
-    """Bins (feature, row)."""
-    columns = [np.searchsorted(e, rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.uint8) for c, e in zip(numbers, edges)]
-    text = {c: np.array(rows.column(c).to_pylist(), dtype=object) for c in dict.fromkeys(c for c, _ in categories)}
-    columns += [(text[c] == value).astype(np.uint8) for c, value in categories]
-    return np.stack(columns)
+def _blocks(base: float, names: list[str], sizes: list[int], block: int, drawing: bool):
+    """A fold's cells as pickled entries, about `block` at a time."""
 
+    def packed(parts: list[Entries]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(joined(parts))], pa.binary())], names=["block"])
 
-def quantile_edges(train: DataFrame, numbers: list[str], bins: int) -> dict[int, list[np.ndarray]]:
-    """Upper edges of about equal bins of each number, by fold."""
-    at = [i / bins for i in range(1, bins)]
-    found = train.groupBy("fold").agg(*[F.percentile_approx(F.col(c).cast("double"), at, 20 * bins).alias(c) for c in numbers]).collect()  # folds x numbers x bins
-    return {r["fold"]: [np.unique(np.array(r[c], dtype=np.float64)) for c in numbers] for r in found}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            codes = [batch.column(c).to_numpy().astype(np.min_scalar_type(size - 1)) for c, size in zip(names, sizes)]
+            n = batch.column("n").to_numpy().astype(np.float64)
+            ids = batch.column("event_id").to_numpy() if drawing else None
+            parts.append((codes, n * base - batch.column("y").to_numpy(), None if (n == 1).all() else n, ids))
+            held += batch.num_rows
+            if held >= block:
+                yield packed(parts)
+                parts, held = [], 0
+        if held:
+            yield packed(parts)
+
+    return run
 
 
-def fit_folds(train: DataFrame, numbers: list[str], categorical: list[str], settings: Boosting, blocks: int):
-    """A model for each fold of train (fold, event_id, y, numbers, categorical): (base, trees, edges) by fold, and the categories."""
+def fit_folds(train: DataFrame, numbers: list[str], categorical: list[str], settings: Boosting, block: int) -> tuple[dict[int, tuple[float, list[Tree]]], Layout | None]:
+    """A model for each fold of train (fold, event_id, y, numbers, categorical): (base, trees) by fold, and how bins are coded."""
     spark = train.sparkSession
     edges = quantile_edges(train, numbers, settings.bins)
     if not edges:
-        return {}, []
+        return {}, None
     categories = sorted({(c, v) for c in categorical for (v,) in train.select(c).distinct().collect() if v is not None})  # forms and session buckets
-    sizes = {r["fold"]: (r["y"], r["n"]) for r in train.groupBy("fold").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()}
+    layout = Layout(numbers, edges, categories, settings.bins + 1)
+    names, carried = [f"code{g}" for g in range(len(layout.sizes))], ["y", *(["event_id"] if settings.drawing else [])]
     rows = train.select("fold", F.col("event_id").cast("long").alias("event_id"), F.col("y").cast("double").alias("y"), *numbers, *categorical)
-    packed = written(rows.repartition(blocks).mapInArrow(_packed(numbers, categories, edges), "block binary"), "boosting")
-    width, features = settings.bins + 1, len(numbers) + len(categories)
-    state = packed.rdd.map(lambda r: {f: [*own, np.full(len(own[0]), sizes[f][0])] for f, own in pickle.loads(r["block"]).items()}).persist()
-    trees: dict[int, list[Tree]] = {f: [] for f in edges}
-    pending: dict[int, list[Tree]] = {f: [] for f in edges}
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    coded = rows.mapInArrow(_coded(layout, names, carried), ", ".join([f"{c} {kinds[c]}" for c in ("fold", *carried)] + [f"{c} int" for c in names]))
+    one = F.lit(1).cast("long").alias("n")
+    cells = coded.select("fold", *carried, *names, one) if settings.drawing else coded.groupBy("fold", *names).agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    cells = written(cells, "boosting")
+    found = {r["fold"]: r for r in cells.groupBy("fold").agg(F.sum("y").alias("y"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("entries")).collect()}
+    everything, at_once = sum(r["entries"] for r in found.values()), spark.sparkContext.defaultParallelism
+
+    def fit(fold: int) -> tuple[float, list[Tree]]:
+        base, entries = found[fold]["y"] / found[fold]["n"], found[fold]["entries"]
+        blocks = -(-entries // block)
+        tasks = 1 if entries <= settings.alone else min(blocks, max(1, round(at_once * entries / everything), -(-blocks // DEALT)))  # folds' tasks run side by side
+        dealt = cells.where(F.col("fold") == fold).repartition(tasks).mapInArrow(_blocks(base, names, layout.sizes, block, settings.drawing), "block binary")
+        state = dealt.rdd.map(lambda r: pickle.loads(r["block"]))
+        if entries <= settings.alone:
+            return base, state.mapPartitions(functools.partial(_grown, layout, settings)).collect()
+        return base, _grown_by_rounds(state, layout, settings, entries, blocks > 1)
+
+    with ThreadPool(len(found)) as pool:  # folds wait for each other's jobs no more than cores make them
+        return dict(zip(found, pool.map(inheritable_thread_target(spark)(fit), found))), layout
+
+
+def _grown(layout: Layout, settings: Boosting, blocks: Iterator[Entries]) -> Iterator[Tree]:
+    """All trees of one task's entries."""
+    parts = list(blocks)
+    if not parts:
+        return
+    entries = joined(parts)
+    del parts
+    codes, residual, n, ids = entries
     for nth in range(settings.trees):
-        use = allowed(features, settings, nth)
-        growing = {f: Growth(settings, use, n) for f, (_, n) in sizes.items()}
-        while growing:
-            job = state.mapPartitions(_round({f: (g.tree, g.counting, g.sending) for f, g in growing.items()}, pending, settings, nth, width))
+        some = drawn(ids, settings, nth)
+        growth = Growth(settings, allowed(len(layout.asked), settings, nth), len(residual), layout)
+        growth.take({}, {0: (entries, None if some is None else np.flatnonzero(some))})
+        _add([Steps(growth.tree, layout)], codes, residual, n)
+        yield growth.tree
+
+
+def _add(steps: list[Steps], codes: list[np.ndarray], residual: np.ndarray, n: np.ndarray | None) -> None:
+    """Trees' steps added to residuals in place."""
+    for first in range(0, len(residual), AT_ONCE):
+        part = slice(first, first + AT_ONCE)
+        for step in steps:
+            more = step([c[part] for c in codes])
+            residual[part] += more if n is None else more * n[part]
+
+
+def _grown_by_rounds(state: RDD, layout: Layout, settings: Boosting, entries: int, many: bool) -> list[Tree]:
+    """All trees of a fold whose entries lie in blocks."""
+    spark_context = state.context
+    state, before = state.persist(StorageLevel.MEMORY_AND_DISK), None
+    trees: list[Tree] = []
+    since: list[Tree] = []
+    saved, saved_at, marked = None, 0, False
+    for nth in range(settings.trees):
+        growth = Growth(settings, allowed(len(layout.asked), settings, nth), entries, layout)
+        while not growth.done:
+            job = state.mapPartitions(_round(layout, growth.tree, growth.counting, growth.sending, since, settings, nth))
             counted, sent = functools.reduce(_merged, job.collect()) if state.getNumPartitions() <= MERGED_BY_DRIVER else job.treeReduce(_merged)
-            none = np.zeros((features, 0), np.uint8), np.zeros(0)
-            for f, g in growing.items():
-                rows_of = {v: tuple(np.concatenate(x, axis=-1) for x in zip(*sent.get((f, v), [none]))) for v in g.sending}
-                g.take({v: counted.get((f, v), np.zeros((features, width, 2))) for v in g.counting}, rows_of)
-                if g.done:
-                    trees[f].append(g.tree)
-                    pending[f].append(g.tree)
-            growing = {f: g for f, g in growing.items() if not g.done}
-        if (nth + 1) % settings.keep == 0 and nth + 1 < settings.trees:
-            now = state.map(functools.partial(_advanced, {f: list(own) for f, own in pending.items()})).persist()
-            if (nth + 1) % settings.checkpoint < settings.keep:
-                now.checkpoint()
-            now.count()
-            state.unpersist()
-            state, pending = now, {f: [] for f in edges}
+            if before is not None:  # this round has kept the new state
+                before, _ = None, before.unpersist()
+            if marked:
+                older, saved, marked = saved, state.getCheckpointFile(), False
+                deleted(spark_context, older)
+            histograms = np.zeros((len(growth.counting), len(layout.asked) * layout.width, 3))
+            if counted is not None:
+                histograms[:, layout.filled] = counted
+            none = [np.zeros(0, np.int64)] * len(layout.sizes), np.zeros(0), None, None
+            shape = len(layout.asked), layout.width, 3
+            growth.take({v: h.reshape(shape) for v, h in zip(growth.counting, histograms)}, {v: (joined(sent.get(v, [none])), None) for v in growth.sending})
+        trees.append(growth.tree)
+        since.append(growth.tree)
+        if nth + 1 < settings.trees and (many or (nth + 1) % settings.keep == 0):
+            before, state = state, state.map(functools.partial(_stepped, layout, since)).persist(StorageLevel.MEMORY_AND_DISK)
+            since = []
+            if nth + 1 - saved_at >= settings.checkpoint:
+                state.checkpoint()
+                saved_at, marked = nth + 1, True
     state.unpersist()
-    return {f: (sizes[f][0], trees[f], edges[f]) for f in edges}, categories
-
-
-def _advanced(since: dict[int, list[Tree]], block: dict) -> dict:
-    """A block with the scores of further trees added."""
-    return {f: [ids, bins, y, functools.reduce(lambda score, t: score + t.predict(bins), since[f], score)] for f, (ids, bins, y, score) in block.items()}
-
-
-def _round(asked: dict[int, tuple[Tree, list[int], list[int]]], since: dict[int, list[Tree]], settings: Boosting, nth: int, width: int):
-    """Histograms by (fold, node), and rows by (fold, node), of one task's blocks."""
-
-    def run(blocks: Iterator[dict]) -> Iterator[tuple[dict, dict]]:
-        counted: dict[tuple[int, int], np.ndarray] = {}
-        sent: dict[tuple[int, int], list] = {}
-        for block in blocks:
-            for f, (ids, bins, y, score) in _advanced(since, {f: own for f, own in block.items() if f in asked}).items():
-                tree, counting, sending = asked[f]
-                residual, some = score - y, drawn(ids, settings, nth)
-                found = tree.reach(bins, {*counting, *sending}, np.arange(len(y)) if some is None else np.flatnonzero(some))
-                for v in counting:
-                    hist = histogram(bins, residual, found[v], width)
-                    counted[f, v] = counted[f, v] + hist if (f, v) in counted else hist
-                for v in sending:
-                    sent.setdefault((f, v), []).append((bins[:, found[v]], residual[found[v]]))
-        yield counted, sent
+    deleted(spark_context, saved)
+    return trees
+
+
+def _stepped(layout: Layout, trees: list[Tree], entries: Entries) -> Entries:
+    """Entries with the steps of further trees added."""
+    codes, residual, n, ids = entries
+    residual = residual.copy()
+    _add([Steps(t, layout) for t in trees], codes, residual, n)
+    return codes, residual, n, ids
+
+
+def _round(layout: Layout, tree: Tree, counting: list[int], sending: list[int], since: list[Tree], settings: Boosting, nth: int):
+    """Filled bins of histograms, by node, and entries by node, of one task's blocks."""
+
+    def run(blocks: Iterator[Entries]) -> Iterator[tuple[np.ndarray | None, dict]]:
+        nodes = [*counting, *sending]
+        places, steps = Places(tree, nodes, layout), [Steps(t, layout) for t in since]
+        whole, sent = None, {}
+        for codes, residual, n, ids in blocks:
+            if steps:
+                residual = residual.copy()
+                _add(steps, codes, residual, n)
+            at, some = places(codes), drawn(ids, settings, nth)
+            if some is not None:
+                at[~some] = len(nodes)
+            entries = codes, residual, n, None
+            if counting:
+                rows = np.flatnonzero(at < len(counting))
+                part = sums(layout, entries, None if len(rows) == len(at) else rows, at[rows] if len(counting) > 1 else None, len(counting))
+                whole = part if whole is None else [a + b for a, b in zip(whole, part)]
+            rows = np.flatnonzero((at >= len(counting)) & (at < len(nodes)))
+            for v in np.unique(at[rows]).tolist():
+                sent.setdefault(nodes[v], []).append(chosen(entries, rows[at[rows] == v]))
+        yield None if whole is None else layout.histograms(whole).reshape(len(counting), -1, 3)[:, layout.filled], sent
 
     return run
 
 
-def _merged(a: tuple[dict, dict], b: tuple[dict, dict]) -> tuple[dict, dict]:
-    return tuple({k: x[k] + y[k] if k in x and k in y else x.get(k, y.get(k)) for k in {*x, *y}} for x, y in zip(a, b))
+def _merged(a: tuple[np.ndarray | None, dict], b: tuple[np.ndarray | None, dict]) -> tuple[np.ndarray | None, dict]:
+    counted = b[0] if a[0] is None else a[0] if b[0] is None else a[0] + b[0]
+    return counted, {k: a[1].get(k, []) + b[1].get(k, []) for k in {*a[1], *b[1]}}
 
 
-def scored(test: DataFrame, models: dict, numbers: list[str], categories: list[tuple[str, str]], carry: list[str]) -> DataFrame:
+def scored(test: DataFrame, models: dict[int, tuple[float, list[Tree]]], layout: Layout, carry: list[str]) -> DataFrame:
     """test (fold, event_id, ...) as (fold, event_id, carried columns, pred)."""
-    shared = test.sparkSession.sparkContext.broadcast((models, categories))  # folds x trees x leaves
-    test = test.select("fold", F.col("event_id").cast("long").alias("event_id"), *carry, *numbers, *dict.fromkeys(c for c, _ in categories))
+    shared = test.sparkSession.sparkContext.broadcast((models, layout))  # folds x trees x leaves
+    test = test.select("fold", F.col("event_id").cast("long").alias("event_id"), *carry, *layout.numbers, *layout.values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, categories = shared.value
+        models, layout = shared.value
+        steps: dict[int, list[Steps]] = {}
         for batch in batches:
             fold = batch.column("fold").to_numpy()
             for f in np.unique(fold).tolist():
                 own = batch.filter(pa.array(fold == f))
-                base, trees, edges = models[f]
-                bins, pred = binned(own, numbers, categories, edges), np.full(own.num_rows, base)
-                for tree in trees:
-                    pred += tree.predict(bins)
+                base, trees = models[f]
+                if f not in steps:
+                    steps[f] = [Steps(tree, layout) for tree in trees]
+                codes, pred = layout.codes(own, f), np.full(own.num_rows, base)
+                for step in steps[f]:
+                    pred += step(codes)
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("fold", "event_id", *carry)), pa.array(pred)], names=["fold", "event_id", *carry, "pred"])
 
     kinds = {f.name: f.dataType.simpleString() for f in test.schema.fields}

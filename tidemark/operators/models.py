@@ -67,10 +67,10 @@ def boosted(data: DataFrame, splits: int, settings: Boosting) -> DataFrame:
     marks = written(folds(data.select(F.col("trade_date").alias("date")), splits).withColumnRenamed("date", "trade_date"), "folds")
     roles = {r: data.join(F.broadcast(marks.where(F.col("role") == r).drop("role")), "trade_date") for r in ("train", "test")}  # days x folds
     train = written(roles["train"].select("fold", "event_id", "y", *NUMBERS, *CATEGORIES), "boosting-rows")
-    models, categories = fit_folds(train, NUMBERS, CATEGORIES, settings, 1 + train.count() // BLOCK)
+    models, layout = fit_folds(train, NUMBERS, CATEGORIES, settings, BLOCK)
     spans = F.broadcast(marks.where("role = 'test'").groupBy("fold").agg(F.min("trade_date").alias("test_start"), F.max("trade_date").alias("test_end")))
     test = roles["test"].select("fold", "event_id", "ticker", F.col("trade_date").alias("date"), "y", *NUMBERS, *CATEGORIES)
-    return scored(test, models, NUMBERS, categories, ["ticker", "date", "y"]).join(spans, "fold").select("event_id", "ticker", "date", "fold", "test_start", "test_end", "y", "pred")
+    return scored(test, models, layout, ["ticker", "date", "y"]).join(spans, "fold").select("event_id", "ticker", "date", "fold", "test_start", "test_end", "y", "pred")
 
 
 def walk_forward(data: DataFrame, model: str, splits: int = 5, alpha: float = 10.0, c: float = 1.0, least_train: int = 200, least_test: int = 50, boosting: Boosting | None = None) -> DataFrame:

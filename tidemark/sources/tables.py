@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,13 @@ def there(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def deleted(context: SparkContext, path: str | None) -> None:
+    """Delete a folder that nothing reads any more, if one is named."""
+    if path:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def first_table(spark: SparkSession, paths: list[str]) -> DataFrame | None:
     """The first of the Parquet tables that is there: boosted predictions before ridge ones, or an optional report; None without any."""
     return next((spark.read.parquet(p) for p in paths if there(spark, p)), None)
